@@ -268,3 +268,35 @@ def check_char_isbn10(c: Column) -> Column:
 def check_char_issn(c: Column) -> Column:
     """Check character of seven digits: weights 8 down to 2, modulo 11."""
     return _weighted_mod11(c, 7)
+
+
+def padded_equal(a: Column, b: Column) -> Column:
+    """Equality of blank-padded text: trailing blanks do not count."""
+    return F.rtrim(a) == F.rtrim(b)
+
+
+class Enum:
+    """Labels with a declared order."""
+
+    def __init__(self, *labels: str):
+        self.labels = labels
+
+    def ordinal(self, c: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for i, label in reversed(list(enumerate(self.labels))):
+            out = F.when(c == label, F.lit(i)).otherwise(out)
+        return out
+
+    def less(self, a: Column, b: Column) -> Column:
+        return self.ordinal(a) < self.ordinal(b)
+
+    def first(self) -> str:
+        return self.labels[0]
+
+    def last(self) -> str:
+        return self.labels[-1]
+
+    def between(self, low: str | None, high: str | None) -> list[str]:
+        lo = 0 if low is None else self.labels.index(low)
+        hi = len(self.labels) - 1 if high is None else self.labels.index(high)
+        return list(self.labels[lo : hi + 1])
