@@ -105,8 +105,9 @@ def running(
     aggs: Mapping[str, tuple[str, str]],
     totals: Mapping[str, tuple[str, str]] | None = None,
     chunks: int | None = None,
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Running aggregates up to and including each row.
+    """Running aggregates up to and including each row, or before it when not ``inclusive``.
 
     ``aggs`` maps an output name to ``(sum|count|min|max|last, column)``; ``last``
     is the latest non-NULL value. ``totals`` adds whole-key ``sum``/``count``/
@@ -115,7 +116,10 @@ def running(
     totals = totals or {}
     prepared = _prepare(df, keys, order, chunks)
     ordering = sort_columns(order)
-    local = Window.partitionBy(KEY, CHUNK).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
+    end = 0 if inclusive else -1
+    local = Window.partitionBy(KEY, CHUNK).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, end)
+    if not inclusive and any(fn == "last" for fn, _ in aggs.values()):
+        raise ValueError("last is inclusive only")
     apply = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
     partial = prepared
