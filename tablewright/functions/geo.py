@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablewright.functions.core import bound
+
 EPSILON = 1e-6  # fixed value: coordinates closer than this count as equal
 EARTH_RADIUS_M = 6378168.0  # fixed value
 EARTH_RADIUS_MILES = 3958.747716  # fixed value
@@ -164,6 +166,7 @@ def perpendicular(s: Column, t: Column) -> Column:
     return same(ax * bx + ay * by, F.lit(0.0))
 
 
+@bound
 def segments_cross(s: Column, t: Column) -> Column:
     """Do two segments meet? Ends count; collinear ones meet where they overlap."""
     side = lambda p, x, y: _cross(*_run(p), x - p["x1"], y - p["y1"])
@@ -244,6 +247,7 @@ def polygon_center(pts: Column) -> Column:
     return point(total("x") / n, total("y") / n)
 
 
+@bound
 def polygon_circle(pts: Column) -> Column:
     """Circle about the mean point whose radius is the mean distance of the points."""
     c = polygon_center(pts)
@@ -251,6 +255,7 @@ def polygon_circle(pts: Column) -> Column:
     return F.struct(c["x"].alias("x"), c["y"].alias("y"), r.alias("r"))
 
 
+@bound
 def polygon_contains(pts: Column, p: Column) -> Column:
     """Even number of edge crossings to the right means outside; the edge counts as inside."""
     def crosses(a: Column, b: Column) -> Column:
@@ -263,6 +268,7 @@ def polygon_contains(pts: Column, p: Column) -> Column:
     return (hits % 2 == 1) | on_edge
 
 
+@bound
 def polygons_overlap(a: Column, b: Column) -> Column:
     """Any edges meet, or one holds the other."""
     edges = lambda pts: F.zip_with(pts, _next(pts), segment)
@@ -270,6 +276,7 @@ def polygons_overlap(a: Column, b: Column) -> Column:
     return meet | polygon_contains(a, F.get(b, F.lit(0))) | polygon_contains(b, F.get(a, F.lit(0)))
 
 
+@bound
 def same_polygon(a: Column, b: Column) -> Column:
     """Equal point cycles, in either direction and from any start."""
     n = F.size(a)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablewright.functions.core import bound
+
 from tablewright.functions import arrays as ar
 
 
@@ -34,6 +36,7 @@ def subpath(p: Column, offset: int, length: int | None = None) -> Column:
     return F.array_join(F.slice(parts, start + 1, F.greatest(F.least(stop, n) - start, F.lit(0))), ".")
 
 
+@bound
 def index(p: Column, q: Column) -> Column:
     """Position of the first occurrence of ``q`` in ``p``, from 0; -1 when absent."""
     padded = F.concat(F.lit("."), p, F.lit("."))
@@ -42,6 +45,7 @@ def index(p: Column, q: Column) -> Column:
     return F.when(at == 0, F.lit(-1)).otherwise(F.size(labels(before)))
 
 
+@bound
 def lca(*paths: Column) -> Column:
     """Deepest common ancestor above all of the paths."""
     parts = [labels(p) for p in paths]

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablewright.functions.core import bind, bound
+
 HEX = "0123456789abcdef"
 
 
@@ -25,6 +27,7 @@ def _v6_hex(text: Column) -> Column:
     return F.lower(F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
 
 
+@bound
 def parse(text: Column) -> Column:
     """``10.1.2.3/16`` or ``fd00::1/64``; without a prefix length all bits count."""
     addr = F.split_part(text, F.lit("/"), F.lit(1))
@@ -77,18 +80,22 @@ def network_hex(addr: Column, bits: Column) -> Column:
     return _zip_hex(addr, _mask_hex(bits, F.length(addr)), lambda x, y: x.bitwiseAND(y))
 
 
+@bound
 def network(a: Column) -> Column:
     return _with(a, network_hex(a["addr"], a["bits"]))
 
 
+@bound
 def netmask(a: Column) -> Column:
     return _with(a, _mask_hex(a["bits"], _digits(a)), width(a))
 
 
+@bound
 def hostmask(a: Column) -> Column:
     return _with(a, _not_hex(_mask_hex(a["bits"], _digits(a))), width(a))
 
 
+@bound
 def broadcast(a: Column) -> Column:
     return _with(a, _zip_hex(a["addr"], _not_hex(_mask_hex(a["bits"], _digits(a))), lambda x, y: x.bitwiseOR(y)))
 
@@ -101,6 +108,7 @@ def same_family(a: Column, b: Column) -> Column:
     return a["family"] == b["family"]
 
 
+@bound
 def contains_eq(a: Column, b: Column) -> Column:
     """``a >>= b``: b lies in the network of a."""
     return same_family(a, b) & (a["bits"] <= b["bits"]) & (network_hex(a["addr"], a["bits"]) == network_hex(b["addr"], a["bits"]))
@@ -110,28 +118,36 @@ def contains(a: Column, b: Column) -> Column:
     return contains_eq(a, b) & (a["bits"] < b["bits"])
 
 
+@bound
 def overlaps(a: Column, b: Column) -> Column:
     return contains_eq(a, b) | contains_eq(b, a)
 
 
+@bound
 def merge(a: Column, b: Column) -> Column:
     """Smallest network that holds both."""
-    diff = _zip_hex(a["addr"], b["addr"], lambda x, y: x.bitwiseXOR(y))
+    return bind(_zip_hex(a["addr"], b["addr"], lambda x, y: x.bitwiseXOR(y)), lambda diff: _merge_at(a, b, diff))
+
+
+def _merge_at(a: Column, b: Column, diff: Column) -> Column:
     zeros = F.length(F.regexp_extract(diff, "^(0*)", 1))
     first = F.substring(diff, zeros + 1, F.lit(1))
     lead = F.when(first == "", 0).when(first == "1", 3).when(first.isin("2", "3"), 2).when(first.isin("4", "5", "6", "7"), 1).otherwise(0)
     common = F.least(zeros * 4 + lead, a["bits"], b["bits"])
-    return _with(a, network_hex(a["addr"], common), common)
+    return bind(common, lambda n: _with(a, network_hex(a["addr"], n), n))
 
 
+@bound
 def bit_and(a: Column, b: Column) -> Column:
     return _with(a, _zip_hex(a["addr"], b["addr"], lambda x, y: x.bitwiseAND(y)), F.greatest(a["bits"], b["bits"]))
 
 
+@bound
 def bit_or(a: Column, b: Column) -> Column:
     return _with(a, _zip_hex(a["addr"], b["addr"], lambda x, y: x.bitwiseOR(y)), F.greatest(a["bits"], b["bits"]))
 
 
+@bound
 def bit_not(a: Column) -> Column:
     return _with(a, _not_hex(a["addr"]))
 
@@ -140,6 +156,7 @@ def v4_number(a: Column) -> Column:
     return F.conv(a["addr"], 16, 10).cast("long")
 
 
+@bound
 def v4_plus(a: Column, n: Column) -> Column:
     """Version 4 address moved by ``n``; leaving the address space is an error."""
     moved = v4_number(a) + n
@@ -151,12 +168,14 @@ def v4_minus(a: Column, b: Column) -> Column:
     return v4_number(a) - v4_number(b)
 
 
+@bound
 def sort_key(a: Column) -> Column:
     """Order: family, network bits, prefix length, address."""
     shared = network_hex(a["addr"], a["bits"])
     return F.struct(a["family"].alias("f"), shared.alias("n"), a["bits"].alias("b"), a["addr"].alias("a"))
 
 
+@bound
 def host(a: Column) -> Column:
     """Address as text, without the prefix length."""
     pair = lambda i: F.conv(F.substring(a["addr"], 2 * i + 1, 2), 16, 10)
@@ -164,12 +183,16 @@ def host(a: Column) -> Column:
     groups = F.transform(
         F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.regexp_replace(F.substring(a["addr"], i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
     )
-    six = F.array_join(groups, ":")
+    return F.when(a["family"] == 6, bind(F.array_join(groups, ":"), _fold_zeros)).otherwise(four)
+
+
+def _fold_zeros(six: Column) -> Column:
+    """Write the first of the longest runs of zero groups as ``::``."""
     short = six
-    for n in range(2, 9):  # the longest run of zero groups is folded
+    for n in range(2, 9):
         run = r"(?:^|:)0(?::0){%d}(?=:|$)" % (n - 1)
         short = F.when(six.rlike(run), F.regexp_replace(_first(six, run), "\u0001:?", "::")).otherwise(short)
-    return F.when(a["family"] == 6, short).otherwise(four)
+    return short
 
 
 def _first(c: Column, pattern: str) -> Column:
@@ -177,6 +200,7 @@ def _first(c: Column, pattern: str) -> Column:
     return F.regexp_replace(c, f"^(.*?){pattern}", "$1\u0001")
 
 
+@bound
 def text(a: Column) -> Column:
     """Address with the prefix length where it is not the full one."""
     return F.when(a["bits"] == width(a), host(a)).otherwise(F.concat(host(a), F.lit("/"), a["bits"].cast("string")))

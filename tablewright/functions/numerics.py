@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablewright.functions.core import bound
+
 
 def trunc(c: Column) -> Column:
     """Drop the fraction."""
@@ -181,6 +183,7 @@ def _below_hundred(n: Column) -> Column:
     )
 
 
+@bound
 def _below_thousand(n: Column) -> Column:
     hundred, rest = F.floor(n / 100), n % 100
     head = F.concat(_word(ONES, hundred), F.lit(" hundred"))
@@ -188,6 +191,7 @@ def _below_thousand(n: Column) -> Column:
     return F.when(hundred == 0, _below_hundred(rest)).when(rest == 0, head).otherwise(F.concat(head, link, _below_hundred(rest)))
 
 
+@bound
 def cash_words(m: Column) -> Column:
     """Amount in words, such as ``Twelve dollars and five cents``.
 

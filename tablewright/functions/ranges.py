@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablewright.functions.core import bound
+
 
 def make(lower: Column, upper: Column, bounds: str = "[)", step: Column | None = None) -> Column:
     """Range with bounds ``[) [] (] ()``. ``step`` gives a discrete type the canonical
@@ -116,6 +118,7 @@ def _pick(test: Column, a: Column, b: Column, bound: str) -> tuple[Column, Colum
     )
 
 
+@bound
 def merge(a: Column, b: Column) -> Column:
     """Smallest range that holds both."""
     lo, li = _pick(_starts_before_or_at(a, b), a, b, "lower")
@@ -123,18 +126,21 @@ def merge(a: Column, b: Column) -> Column:
     return F.when(a["empty"], b).when(b["empty"], a).otherwise(_canon(lo, hi, li, ui))
 
 
+@bound
 def union(a: Column, b: Column) -> Column:
     """Union; an error when a gap lies between."""
     joined = a["empty"] | b["empty"] | overlaps(a, b) | adjacent(a, b)
     return F.when(joined, merge(a, b)).otherwise(F.raise_error(F.lit("result of range union would not be contiguous")))
 
 
+@bound
 def intersect(a: Column, b: Column) -> Column:
     lo, li = _pick(_starts_before_or_at(a, b), b, a, "lower")
     hi, ui = _pick(_ends_after_or_at(a, b), b, a, "upper")
     return _canon(lo, hi, li, ui, ~overlaps(a, b))
 
 
+@bound
 def minus(a: Column, b: Column) -> Column:
     """Difference; an error when it would fall in two."""
     head = ~_starts_before_or_at(b, a)  # part of a before b
@@ -161,6 +167,7 @@ def length(r: Column) -> Column:
     return r["upper"] - r["lower"]
 
 
+@bound
 def text(r: Column) -> Column:
     """``[1,5)``, with nothing at an infinite bound, or ``empty``."""
     show = lambda c: F.coalesce(c.cast("string"), F.lit(""))
