@@ -1 +1 @@
-"""streaming."""
+"""Change feeds."""
