@@ -13,6 +13,7 @@ from collections.abc import Iterable, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions import arrays as ar
 from tablewright.functions import stemming
@@ -65,12 +66,12 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stem_english(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ws: None if ws is None else [stemming.english(w) for w in ws])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_english(word: pd.Series) -> pd.Series:
     return word.map(stemming.english, na_action="ignore")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def create_sql_function(spark: SparkSession, name: str, args: str, returns: str, body: str) -> None:
@@ -25,13 +26,13 @@ def strict(function, *columns):
     return F.when(known, function(*columns))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def compound(rate: pd.Series, years: pd.Series) -> pd.Series:
     """Growth factor of a yearly rate."""
     return (1.0 + rate) ** years
 
 
-@F.udtf(returnType="word string, place int")
+@F.udtf(returnType=T.StructType([T.StructField("word", T.StringType()), T.StructField("place", T.IntegerType())]))
 class SplitWords:
     """One row per blank-separated word."""
 

@@ -95,14 +95,17 @@ def predicate_buckets(edges: Sequence[float], op: str, value: float, value2: flo
 
 # -- summaries -----------------------------------------------------------------
 
-FILE = F.col("_metadata.file_path")
+
+def source_file() -> Column:
+    """Path of the file a row was read from."""
+    return F.col("_metadata.file_path").alias("file")
 
 
 def file_buckets(table: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
     """Partial histogram of every file: the set of buckets its rows fall in."""
     value = as_number(F.col(column), table)
     return (
-        table.select(FILE.alias("file"), bucket_of(edges, value).alias("b"), F.col(column).isNull().alias("void"))
+        table.select(source_file(), bucket_of(edges, value).alias("b"), F.col(column).isNull().alias("void"))
         .groupBy("file").agg(F.collect_set(F.when(~F.col("void"), F.col("b"))).alias("buckets"), F.count(F.lit(1)).alias("rows"))
         .withColumn("buckets", F.sort_array("buckets"))
     )
@@ -194,7 +197,7 @@ def minmax_summary(table: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.bool_or(F.col(c).isNull()).alias(f"{c}_has_null"),
             F.bool_and(F.col(c).isNull()).alias(f"{c}_all_null"),
         ]
-    return table.groupBy(FILE.alias("file")).agg(F.count(F.lit(1)).alias("rows"), *aggs)
+    return table.groupBy(source_file()).agg(F.count(F.lit(1)).alias("rows"), *aggs)
 
 
 def minmax_candidates(summary: DataFrame, column: str, op: str, value) -> DataFrame:
@@ -205,7 +208,7 @@ def minmax_candidates(summary: DataFrame, column: str, op: str, value) -> DataFr
 
 def inclusion_summary(table: DataFrame, lower: Column, upper: Column) -> DataFrame:
     """Hull of the intervals (or of one axis of the boxes) in each file."""
-    return table.groupBy(FILE.alias("file")).agg(F.min(lower).alias("lo"), F.max(upper).alias("hi"))
+    return table.groupBy(source_file()).agg(F.min(lower).alias("lo"), F.max(upper).alias("hi"))
 
 
 def inclusion_candidates(summary: DataFrame, lower, upper) -> DataFrame:
@@ -224,7 +227,7 @@ def bloom_summary(table: DataFrame, columns: Sequence[str], hashes: int = 3) ->
     """Signature of every file over several columns: positions of its set bits."""
     bits = F.array(*[b for c in columns for b in _bits(F.col(c), c, hashes)])
     return (
-        table.select(FILE.alias("file"), F.explode(bits).alias("bit")).groupBy("file").agg(F.collect_set("bit").alias("bits"))
+        table.select(source_file(), F.explode(bits).alias("bit")).groupBy("file").agg(F.collect_set("bit").alias("bits"))
     )
 
 

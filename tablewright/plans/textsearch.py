@@ -10,12 +10,16 @@ from tablewright.plans.registry import query
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 OCC = f"(SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents))"
-vec = ts.to_vector(F.col("text"))
+
+
+def vec():
+    """Vector of the document text."""
+    return ts.to_vector(F.col("text"))
 
 
 @query("fts_vector", "2.18.1", f"SELECT doc_id, md5(array_to_string({WORDS_SQL}, ' ')) AS terms, len({WORDS_SQL})::INTEGER AS n FROM documents")
 def fts_vector(t):
-    return t.documents.select("doc_id", vec.alias("v")).select(
+    return t.documents.select("doc_id", vec().alias("v")).select(
         "doc_id", F.md5(F.array_join(F.transform("v", lambda o: o["term"]), " ")).alias("terms"), F.size("v").alias("n")
     )
 
@@ -35,7 +39,7 @@ def fts_vector_english(t):
 )
 def fts_match(t):
     q = ts.to_query("the & (with | thr:*) & !by")
-    return t.documents.filter(q.on(vec)).select("doc_id")
+    return t.documents.filter(q.on(vec())).select("doc_id")
 
 
 @query(
@@ -48,7 +52,7 @@ def fts_match(t):
     """,
 )
 def fts_phrase(t):
-    docs = t.documents.select("doc_id", vec.alias("v"))
+    docs = t.documents.select("doc_id", vec().alias("v"))
     near = docs.filter(ts.phrase_query("of the").on(F.col("v"))).select("doc_id", F.lit("adjacent").alias("kind"))
     far = docs.filter(ts.Term("is").then(ts.Term("the"), 2).on(F.col("v"))).select("doc_id", F.lit("two apart").alias("kind"))
     return near.unionByName(far)
@@ -64,7 +68,7 @@ def fts_phrase(t):
 )
 def fts_weight_filter(t):
     title = ts.set_weight(ts.to_vector(F.col("source")), "A")
-    docs = t.documents.select("doc_id", vec.alias("body"), ts.append(title, vec).alias("v"))
+    docs = t.documents.select("doc_id", vec().alias("body"), ts.append(title, vec()).alias("v"))
     v = F.col("v")
     return docs.select(
         "doc_id", ts.Term("src1", weights="A").on(v).alias("in_title"), ts.Term("the").on(ts.keep_weights(v, ["D"])).alias("in_body"), ts.length(v).alias("uniq"),
@@ -83,7 +87,7 @@ def fts_weight_filter(t):
 )
 def fts_rank(t):
     q = ts.Term("the") | ts.Term("with")
-    docs = t.documents.select("doc_id", vec.alias("v")).filter(q.on(F.col("v")))
+    docs = t.documents.select("doc_id", vec().alias("v")).filter(q.on(F.col("v")))
     return docs.select("doc_id", F.round(ts.rank(F.col("v"), q), 6).alias("any_rank"), F.round(ts.rank(F.col("v"), q, norm=2), 9).alias("per_word"))
 
 
@@ -97,7 +101,7 @@ def fts_rank(t):
 )
 def fts_rank_near(t):
     q = ts.Term("with") & ts.Term("was")
-    docs = t.documents.select("doc_id", vec.alias("v")).filter(q.on(F.col("v")))
+    docs = t.documents.select("doc_id", vec().alias("v")).filter(q.on(F.col("v")))
     return docs.select("doc_id", F.round(ts.rank(F.col("v"), q), 6).alias("rank"))
 
 
@@ -112,7 +116,7 @@ def fts_rank_near(t):
 )
 def fts_rank_cover(t):
     q = ts.Term("with") & ts.Term("was")
-    return search.cover_rank(t.documents, "doc_id", vec, q).select("doc_id", F.round("rank", 6).alias("rank"), "covers")
+    return search.cover_rank(t.documents, "doc_id", vec(), q).select("doc_id", F.round("rank", 6).alias("rank"), "covers")
 
 
 @query(
@@ -129,7 +133,7 @@ def fts_headline(t):
 
 @query("fts_term_stats", "2.18.6", f"SELECT term, count(DISTINCT doc_id) AS ndoc, count(*) AS nentry FROM {OCC} GROUP BY 1")
 def fts_term_stats(t):
-    return search.term_statistics(t.documents, "doc_id", vec)
+    return search.term_statistics(t.documents, "doc_id", vec())
 
 
 @query(
@@ -144,7 +148,7 @@ def fts_query_algebra(t):
     q = ts.Term("the") & ts.Term("verb")
     rules = {ts.Term("verb"): ts.Term("was") | ts.Term("were")}
     new = q.rewrite(rules)
-    return t.documents.filter(new.on(vec)).select(
+    return t.documents.filter(new.on(vec())).select(
         "doc_id", F.lit(new.nodes()).alias("nodes"), F.lit(new.holds(ts.Term("was"))).alias("holds"), F.lit(repr(new)).alias("rewritten")
     )
 
