@@ -42,10 +42,13 @@ def cover_rank(df: DataFrame, key: str, vector: Column, query: ts.Query, weights
     """Cover density: every shortest stretch that holds all words adds its weight,
     divided by one plus the number of other words inside.
 
-    Only occurrences of the query's words leave the scan.
+    For alternatives every occurrence is a stretch; a phrase of two words keeps the
+    stretches of its distance. Only occurrences of the query's words leave the scan.
     """
     terms = query.terms()
     seen = occurrences(df, key, vector).withColumn("__t", _which(terms)).filter("__t >= 0")
+    if isinstance(query, (ts.Or, ts.Term)):
+        return seen.groupBy(key).agg(F.sum(ts._weight(F.col("w"), weights)).alias("rank"), F.count(F.lit(1)).alias("covers"))
     w = Window.partitionBy(key).orderBy("pos", "__t").rowsBetween(Window.unboundedPreceding, 0)
     latest = F.array(*[F.last(F.when(F.col("__t") == i, F.struct("pos", "__i")), ignorenulls=True).over(w) for i in range(len(terms))])
     inverse = 1.0 / ts._weight(F.col("w"), weights)
@@ -59,6 +62,8 @@ def cover_rank(df: DataFrame, key: str, vector: Column, query: ts.Query, weights
     covers = marked.groupBy(key, "__p").agg(F.min_by(F.struct("pos", "__i", "__inv"), "__i").alias("e"))
     starts = marked_inverse(seen, key, inverse)
     spans = covers.withColumn("__i", F.col("__p.__i")).join(starts, [key, "__i"])
+    if isinstance(query, ts.Phrase):
+        spans = spans.filter((F.col("e.pos") - F.col("__p.pos") == query.distance) & (F.col("__first") == 0))
     count = F.col("e.__i") - F.col("__i") + 1
     inv = F.col("e.__inv") - F.col("__before")
     noise = (F.col("e.pos") - F.col("__p.pos")) - (count - 1)
@@ -77,7 +82,7 @@ def marked_inverse(seen: DataFrame, key: str, inverse: Column) -> DataFrame:
     """Sum of inverse weights before each occurrence."""
     w = Window.partitionBy(key).orderBy("pos", "__t")
     before = F.coalesce(F.sum(inverse).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return seen.select(key, F.row_number().over(w).alias("__i"), before.alias("__before"))
+    return seen.select(key, F.row_number().over(w).alias("__i"), before.alias("__before"), F.col("__t").alias("__first"))
 
 
 def apply_dictionary(tokens: DataFrame, column: str, dictionary: DataFrame, word: str, to: str) -> DataFrame:
