@@ -23,6 +23,12 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(per_word))
 
 
+def trigram_codes(c: Column) -> Column:
+    """Distinct trigrams as numbers: three code points of 21 bits each."""
+    part = lambda g, i: F.ascii(F.substring(g, i, 1)).cast("long")
+    return F.transform(trigrams(c), lambda g: F.shiftleft(part(g, 1), 42) + F.shiftleft(part(g, 2), 21) + part(g, 3))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Shared trigrams over all trigrams of both texts."""
     x, y = trigrams(a), trigrams(b)

@@ -180,32 +180,33 @@ def within_distance_join(
 def trigram_join(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float = 0.3) -> DataFrame:
     """Pairs of distinct texts with trigram similarity of at least ``threshold``.
 
-    Each text is indexed under its rarest trigrams only. Two texts above the
-    threshold must share one of them, so common trigrams join nothing.
+    Each text is indexed under its rarest trigrams only: two texts above the threshold
+    must share one of them, so common trigrams join nothing. The place of a shared
+    trigram bounds how many more can follow; pairs that cannot reach the threshold are
+    dropped inside the join. Pairs travel without their trigrams until the last test.
     """
+    slack = F.lit(1e-9)
     texts = left.select(F.col(a).alias("txt")).union(right.select(F.col(b).alias("txt"))).filter("txt is not null").distinct()
-    grams = texts.select("txt", F.explode(strings.trigrams(F.col("txt"))).alias("g"))
+    grams = texts.select("txt", F.explode(strings.trigram_codes(F.col("txt"))).alias("g"))
     rarity = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     keyed = grams.join(rarity, "g").groupBy("txt").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("gs"))
-    size = F.size("gs")
-    keep = size - F.ceil(F.lit(threshold) * size - F.lit(1e-9)).cast("int") + 1
-    indexed = keyed.select(
-        "txt", F.transform("gs", lambda s: s["g"]).alias("all"),
-        F.explode(F.slice("gs", F.lit(1), F.least(F.greatest(keep, F.lit(1)), size))).alias("s"),
-    ).select("txt", "all", F.col("s.g").alias("g"))
-    lk = indexed.join(left.select(F.col(a).alias("txt")).distinct(), "txt", "left_semi")
-    rk = indexed.join(right.select(F.col(b).alias("txt")).distinct(), "txt", "left_semi")
-    x = lk.select("g", F.col("txt").alias(a), F.col("all").alias("__x"))
-    y = rk.select("g", F.col("txt").alias(b), F.col("all").alias("__y"))
-    shared = F.size(F.array_intersect("__x", "__y"))
-    score = shared / (F.size("__x") + F.size("__y") - shared)
-    short = F.least(F.size("__x"), F.size("__y"))
-    long = F.greatest(F.size("__x"), F.size("__y"))
-    return (
-        x.join(y, "g").filter(short >= F.lit(threshold) * long - F.lit(1e-9))
-        .withColumn("similarity", score).filter(F.col("similarity") >= threshold)
-        .select(a, b, "similarity").distinct()
+    keyed = keyed.select("txt", F.transform("gs", lambda s: s["g"]).alias("gs"), F.size("gs").alias("size"))
+    keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - slack).cast("int") + 1
+    indexed = keyed.select("txt", "size", F.posexplode(F.slice("gs", F.lit(1), F.least(F.greatest(keep, F.lit(1)), F.col("size")))).alias("at", "g"))
+    only = lambda df, side, name: df.join(side.select(F.col(name).alias("txt")).distinct(), "txt", "left_semi")
+    x = only(indexed, left, a).select("g", F.col("txt").alias(a), F.col("size").alias("__m"), F.col("at").alias("__i"))
+    y = only(indexed, right, b).select("g", F.col("txt").alias(b), F.col("size").alias("__n"), F.col("at").alias("__j"))
+    m, n = F.col("__m"), F.col("__n")
+    needed = F.lit(threshold / (1.0 + threshold)) * (m + n) - slack
+    reach = F.least(m - F.col("__i"), n - F.col("__j"))
+    pairs = x.join(y, "g").filter(reach >= needed).select(a, b).distinct()
+    sets = keyed.select("txt", "gs")
+    scored = (
+        pairs.join(sets.withColumnsRenamed({"txt": a, "gs": "__x"}), a).join(sets.withColumnsRenamed({"txt": b, "gs": "__y"}), b)
+        .withColumn("__s", F.size(F.array_intersect("__x", "__y")))
+        .withColumn("similarity", F.col("__s") / (F.size("__x") + F.size("__y") - F.col("__s")))
     )
+    return scored.filter(F.col("similarity") >= threshold).select(a, b, "similarity")
 
 
 def edit_one_join(left: DataFrame, right: DataFrame, a: str, b: str, same: Sequence[str] = ()) -> DataFrame:

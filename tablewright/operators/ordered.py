@@ -98,6 +98,13 @@ def _merge(fn: str, column: Column) -> Column:
     return {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}[fn](column)
 
 
+def _latest(order: Sequence[str], column: str) -> Column:
+    """Aggregate: the non-NULL value that comes last in a one-way order."""
+    position, desc = _position(order)
+    known = F.col(column).isNotNull()
+    return (F.min_by if desc else F.max_by)(F.when(known, F.col(column)), F.when(known, position))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -132,9 +139,12 @@ def running(
             chunk_aggs.append(apply[fn](column).alias(f"__c_{name}"))
     for name, (fn, column) in totals.items():
         chunk_aggs.append(apply[fn](column).alias(f"__t_{name}"))
+    one_way = len({desc for _, desc in parse_order(order)}) == 1
+    if one_way:
+        chunk_aggs += [_latest(order, c).alias(f"__c_{n}") for n, (fn, c) in aggs.items() if fn == "last"]
 
     stats = prepared.groupBy(KEY, CHUNK).agg(F.count(F.lit(1)).alias("__rows"), *chunk_aggs)
-    lasts = [(name, column) for name, (fn, column) in aggs.items() if fn == "last"]
+    lasts = [(name, column) for name, (fn, column) in aggs.items() if fn == "last" and not one_way]
     if lasts:
         # the last row of a chunk carries the running value out of it
         tail = Window.partitionBy(KEY, CHUNK).orderBy(*_reverse(order))

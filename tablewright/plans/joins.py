@@ -299,7 +299,7 @@ def join_asof_nearest(t):
 
 
 def titles(t):
-    return t.pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return t.spread("pages", "page_id").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
 TRGM_MACRO = """

@@ -16,7 +16,7 @@ def hosts(t):
     """10.<nation>.x.y/<12..32> per customer."""
     k = F.col("c_custkey")
     addr = F.format_string("10.%d.%d.%d/%d", F.col("c_nationkey"), F.floor(k % 65536 / 256), k % 256, 12 + k % 21)
-    return t.customer.select("c_custkey", "c_nationkey", net.parse(addr).alias("a"))
+    return t.spread("customer", "c_custkey").select("c_custkey", "c_nationkey", net.parse(addr).alias("a"))
 
 
 @query(
@@ -47,7 +47,7 @@ def inet_version6(t):
     a = net.parse(F.concat(F.lit("fd00::"), F.lower(F.hex(k + 1)), F.lit("/64")))
     mid = net.parse(F.format_string("fd00:0:0:%s:0:0:0:1", F.lower(F.hex(F.col("o_custkey") % 9 + 1))))
     mapped = net.parse(F.format_string("::ffff:10.%d.2.3", F.col("o_custkey") % 9))
-    return t.orders.select(
+    return t.spread("orders", "o_orderkey").select(
         "o_orderkey", net.text(a).alias("txt"), net.text(net.network(a)).alias("net"), net.text(mid).alias("mid"), a["addr"].alias("raw"), net.text(mapped).alias("mapped")
     )
 
@@ -114,7 +114,7 @@ def inet_order(t):
 def mac_addresses(t):
     raw = F.upper(F.concat(F.lpad(F.hex(F.col("o_custkey") + 4096), 6, "0"), F.lit("-"), F.lpad(F.hex(F.col("o_orderkey") % 16777216), 6, "0")))
     m = F.col("m")
-    return t.orders.select("o_orderkey", net.mac(raw).alias("m")).select(
+    return t.spread("orders", "o_orderkey").select("o_orderkey", net.mac(raw).alias("m")).select(
         "o_orderkey", net.mac_text(m).alias("txt"), net.mac_trunc(m).alias("tr"), net.mac_not(m).alias("inv"), net.mac_and(m, F.lit("ffffff000000")).alias("b_and"),
         net.mac_or(m, F.lit("ff0000000000")).alias("b_or"), (m > "001200000000").alias("gt"),
     )

@@ -143,4 +143,4 @@ def money_columns(t):
 
 @query("money_words", "2.11.13")
 def money_words(t):
-    return t.orders.select("o_orderkey", "o_totalprice", num.cash_words(F.col("o_totalprice").cast("decimal(19,2)")).alias("words"))
+    return t.spread("orders", "o_orderkey").select("o_orderkey", "o_totalprice", num.cash_words(F.col("o_totalprice").cast("decimal(19,2)")).alias("words"))

@@ -17,7 +17,7 @@ def two(t):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     a = rg.make(k % 40, k % 40 + c % 15)
     b = rg.make(c % 40, c % 40 + k % 11)
-    return t.orders.select(k.alias("k"), a.alias("a"), b.alias("b"))
+    return t.spread("orders", "o_orderkey").select(k.alias("k"), a.alias("a"), b.alias("b"))
 
 
 @query(

@@ -161,7 +161,7 @@ def bloom_skip(t):
 )
 def postings_lookup(t):
     path = scratch_path(t.spark, "postings")
-    skipping.write_postings(search.postings(t.documents, "doc_id", ts.to_vector(F.col("text"))), "term", path)
+    skipping.write_postings(search.postings(t.spread("documents", "doc_id"), "doc_id", ts.to_vector(F.col("text"))), "term", path)
     index = skipping.read_postings(t.spark, path, "term", ["the", "with", "was"])
     return search.match_postings(index, "doc_id", ["the", "with"], ["was"])
 

@@ -74,12 +74,12 @@ WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\
     f"SELECT element, round(count(*) / (SELECT count(*) FROM documents), 9) AS freq FROM (SELECT unnest({WORDS}) AS element FROM documents) GROUP BY 1 ORDER BY count(*) DESC, element LIMIT 25",
 )
 def most_common_elements(t):
-    return st.most_common_elements(t.documents, "doc_id", ts.words(F.col("text")), 25).select("element", F.round("freq", 9).alias("freq"))
+    return st.most_common_elements(t.spread("documents", "doc_id"), "doc_id", ts.words(F.col("text")), 25).select("element", F.round("freq", 9).alias("freq"))
 
 
 @query("element_count_histogram", "2.22.5", f"SELECT {', '.join(f'quantile_disc(n, {i / 10})::INTEGER AS b{i}' for i in range(11))} FROM (SELECT len({WORDS}) AS n FROM documents)")
 def element_count_histogram(t):
-    return st.element_count_histogram(t.documents, ts.words(F.col("text")), 10)
+    return st.element_count_histogram(t.spread("documents", "doc_id"), ts.words(F.col("text")), 10)
 
 
 @query(

@@ -19,7 +19,7 @@ def vec():
 
 @query("fts_vector", "2.18.1", f"SELECT doc_id, md5(array_to_string({WORDS_SQL}, ' ')) AS terms, len({WORDS_SQL})::INTEGER AS n FROM documents")
 def fts_vector(t):
-    return t.documents.select("doc_id", vec().alias("v")).select(
+    return t.spread("documents", "doc_id").select("doc_id", vec().alias("v")).select(
         "doc_id", F.md5(F.array_join(F.transform("v", lambda o: o["term"]), " ")).alias("terms"), F.size("v").alias("n")
     )
 
@@ -27,7 +27,7 @@ def fts_vector(t):
 @query("fts_vector_english", "2.18.1 2.18.11")
 def fts_vector_english(t):
     v = ts.to_vector(F.col("text"), "english")
-    return t.documents.filter("lang = 'en'").select("doc_id", v.alias("v")).select("doc_id", F.size("v").alias("n"), F.array_join(F.slice(ts.strip(F.col("v")), 1, 5), " ").alias("head"))
+    return t.spread("documents", "doc_id").filter("lang = 'en'").select("doc_id", v.alias("v")).select("doc_id", F.size("v").alias("n"), F.array_join(F.slice(ts.strip(F.col("v")), 1, 5), " ").alias("head"))
 
 
 @query(
@@ -39,7 +39,7 @@ def fts_vector_english(t):
 )
 def fts_match(t):
     q = ts.to_query("the & (with | thr:*) & !by")
-    return t.documents.filter(q.on(vec())).select("doc_id")
+    return t.spread("documents", "doc_id").filter(q.on(vec())).select("doc_id")
 
 
 @query(
@@ -52,7 +52,7 @@ def fts_match(t):
     """,
 )
 def fts_phrase(t):
-    docs = t.documents.select("doc_id", vec().alias("v"))
+    docs = t.spread("documents", "doc_id").select("doc_id", vec().alias("v"))
     near = docs.filter(ts.phrase_query("of the").on(F.col("v"))).select("doc_id", F.lit("adjacent").alias("kind"))
     far = docs.filter(ts.Term("is").then(ts.Term("the"), 2).on(F.col("v"))).select("doc_id", F.lit("two apart").alias("kind"))
     return near.unionByName(far)
@@ -68,7 +68,7 @@ def fts_phrase(t):
 )
 def fts_weight_filter(t):
     title = ts.set_weight(ts.to_vector(F.col("source")), "A")
-    docs = t.documents.select("doc_id", vec().alias("body"), ts.append(title, vec()).alias("v"))
+    docs = t.spread("documents", "doc_id").select("doc_id", vec().alias("body"), ts.append(title, vec()).alias("v"))
     v = F.col("v")
     return docs.select(
         "doc_id", ts.Term("src1", weights="A").on(v).alias("in_title"), ts.Term("the").on(ts.keep_weights(v, ["D"])).alias("in_body"), ts.length(v).alias("uniq"),
@@ -87,7 +87,7 @@ def fts_weight_filter(t):
 )
 def fts_rank(t):
     q = ts.Term("the") | ts.Term("with")
-    docs = t.documents.select("doc_id", vec().alias("v")).filter(q.on(F.col("v")))
+    docs = t.spread("documents", "doc_id").select("doc_id", vec().alias("v")).filter(q.on(F.col("v")))
     return docs.select("doc_id", F.round(ts.rank(F.col("v"), q), 6).alias("any_rank"), F.round(ts.rank(F.col("v"), q, norm=2), 9).alias("per_word"))
 
 
@@ -101,7 +101,7 @@ def fts_rank(t):
 )
 def fts_rank_near(t):
     q = ts.Term("with") & ts.Term("was")
-    docs = t.documents.select("doc_id", vec().alias("v")).filter(q.on(F.col("v")))
+    docs = t.spread("documents", "doc_id").select("doc_id", vec().alias("v")).filter(q.on(F.col("v")))
     return docs.select("doc_id", F.round(ts.rank(F.col("v"), q), 6).alias("rank"))
 
 
@@ -116,7 +116,7 @@ def fts_rank_near(t):
 )
 def fts_rank_cover(t):
     q = ts.Term("with") & ts.Term("was")
-    return search.cover_rank(t.documents, "doc_id", vec(), q).select("doc_id", F.round("rank", 6).alias("rank"), "covers")
+    return search.cover_rank(t.spread("documents", "doc_id"), "doc_id", vec(), q).select("doc_id", F.round("rank", 6).alias("rank"), "covers")
 
 
 @query(
@@ -128,12 +128,12 @@ def fts_rank_cover(t):
 )
 def fts_headline(t):
     h = ts.headline(F.col("text"), ["the", "of"])
-    return t.documents.select("doc_id", h.isNotNull().alias("marked"), F.length(h).alias("n"))
+    return t.spread("documents", "doc_id").select("doc_id", h.isNotNull().alias("marked"), F.length(h).alias("n"))
 
 
 @query("fts_term_stats", "2.18.6", f"SELECT term, count(DISTINCT doc_id) AS ndoc, count(*) AS nentry FROM {OCC} GROUP BY 1")
 def fts_term_stats(t):
-    return search.term_statistics(t.documents, "doc_id", vec())
+    return search.term_statistics(t.spread("documents", "doc_id"), "doc_id", vec())
 
 
 @query(
@@ -148,7 +148,7 @@ def fts_query_algebra(t):
     q = ts.Term("the") & ts.Term("verb")
     rules = {ts.Term("verb"): ts.Term("was") | ts.Term("were")}
     new = q.rewrite(rules)
-    return t.documents.filter(new.on(vec())).select(
+    return t.spread("documents", "doc_id").filter(new.on(vec())).select(
         "doc_id", F.lit(new.nodes()).alias("nodes"), F.lit(new.holds(ts.Term("was"))).alias("holds"), F.lit(repr(new)).alias("rewritten")
     )
 
@@ -157,7 +157,7 @@ def fts_query_algebra(t):
 @query("fts_parse", "2.18.9", "SELECT doc_id, md5(text) AS digest, true AS known FROM documents")
 def fts_parse(t):
     p = ts.parse(F.col("text"))
-    return t.documents.select("doc_id", p.alias("p")).select(
+    return t.spread("documents", "doc_id").select("doc_id", p.alias("p")).select(
         "doc_id", F.md5(F.array_join(F.transform("p", lambda x: x["token"]), "")).alias("digest"),
         F.forall("p", lambda x: ts.type_name(x["tokid"]).isNotNull()).alias("known"),
     )
@@ -166,7 +166,7 @@ def fts_parse(t):
 @query("fts_token_types", "2.18.9")
 def fts_token_types(t):
     return (
-        t.documents.select(F.explode(ts.parse(F.col("text"))).alias("p"))
+        t.spread("documents", "doc_id").select(F.explode(ts.parse(F.col("text"))).alias("p"))
         .groupBy(F.col("p.tokid").alias("tokid")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("p.token")).alias("longest"))
         .withColumn("alias", ts.type_name(F.col("tokid")))
     )
@@ -183,7 +183,7 @@ def fts_dictionaries(t):
     pairs = [("the", "det"), ("that", "det"), ("is", "verb"), ("was", "verb"), ("be", "verb")]
     synonyms = t.spark.createDataFrame(pairs, "word string, to string")
     # counts per word first: the dictionary join sees each distinct word once
-    tokens = t.documents.select(F.explode(ts.words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    tokens = t.spread("documents", "doc_id").select(F.explode(ts.words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     tokens = tokens.withColumn("term", search.integer_dictionary(F.col("term"), 3))
     return search.apply_dictionary(tokens, "term", synonyms, "word", "to").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -193,12 +193,12 @@ def fts_dictionaries(t):
     f"SELECT doc_id, md5(trim(replace(replace(' ' || array_to_string({WORDS_SQL}, ' ') || ' ', ' by the ', ' bythe '), ' of ', ' from '))) AS digest FROM documents",
 )
 def fts_thesaurus(t):
-    return t.documents.select("doc_id", F.md5(search.thesaurus(F.col("text"), {"of": "from", "by the": "bythe"})).alias("digest"))
+    return t.spread("documents", "doc_id").select("doc_id", F.md5(search.thesaurus(F.col("text"), {"of": "from", "by the": "bythe"})).alias("digest"))
 
 
 @query("fts_stems", "2.18.11")
 def fts_stems(t):
-    words = t.documents.filter("lang = 'en'").select(F.explode(ts.words(F.col("text"))).alias("word")).distinct()
+    words = t.spread("documents", "doc_id").filter("lang = 'en'").select(F.explode(ts.words(F.col("text"))).alias("word")).distinct()
     return words.select("word", ts.stem_english(F.col("word")).alias("stem"))
 
 
@@ -211,6 +211,6 @@ def fts_stems(t):
     """,
 )
 def fts_affix_dictionary(t):
-    tokens = t.documents.select(F.explode(ts.words(F.col("text"))).alias("word"))
+    tokens = t.spread("documents", "doc_id").select(F.explode(ts.words(F.col("text"))).alias("word"))
     known = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("w"))
     return search.affix_stems(tokens, "word", [("ing", ""), ("ies", "y"), ("s", "")], known, "w")

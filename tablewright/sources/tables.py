@@ -28,6 +28,13 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(self.path(name))
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """Table for work that is heavy per row: dealt to all cores when its files
+        make fewer tasks than there are cores. A large table is left as it is."""
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
