@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions import arrays as ar
 from tablewright.functions import stemming
+from tablewright.functions.core import bind
 
 # English stop words.
 STOP_ENGLISH = (
@@ -302,6 +303,51 @@ class Phrase(Query):
         return (" <-> " if self.distance == 1 else f" <{self.distance}> ").join(map(repr, self.parts))
 
 
+def match(v: Column, query: Query) -> Column:
+    """``vector @@ query``; the vector is made once, however many words are asked for."""
+    return bind(v, query.on)
+
+
+def match_text(c: Column, query: Query) -> Column:
+    """The same on plain text, for words and phrases without weights.
+
+    The words are written out with one blank between them, and each word or phrase
+    asked for is a substring search in that.
+    """
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    return bind(spaced, lambda s: _in_text(s, query))
+
+
+def _in_text(s: Column, query: Query) -> Column:
+    if isinstance(query, Not):
+        return ~_in_text(s, query.parts[0])
+    if isinstance(query, (And, Or)):
+        out = _in_text(s, query.parts[0])
+        for p in query.parts[1:]:
+            out = out & _in_text(s, p) if isinstance(query, And) else out | _in_text(s, p)
+        return out
+    steps = _chain(query)
+    if all(gap == 1 for _, gap in steps):
+        return F.contains(s, F.lit("".join(f" {t.word}" for t, _ in steps) + ("" if steps[-1][0].prefix else " ")))
+    pattern = ""
+    for term, gap in steps:
+        skip = r"(?: \S+){%d}" % (gap - 1) if gap > 1 else ""
+        pattern += skip + " " + re.escape(term.word)
+    return s.rlike(pattern + ("" if steps[-1][0].prefix else " "))
+
+
+def _chain(query: Query) -> list[tuple[Term, int]]:
+    """Words of a phrase with their distance to the word before."""
+    if isinstance(query, Term):
+        if query.weights:
+            raise TypeError("weights need a vector")
+        return [(query, 1)]
+    left, right = (_chain(p) for p in query.parts)
+    if any(t.prefix for t, _ in left) or len(right) > 1:
+        raise TypeError("this phrase needs a vector")
+    return [*left, (right[0][0], query.distance)]
+
+
 def plain_query(text: str, config: str = "simple") -> Query:
     """All words of a text, joined by ``&``."""
     found = [w for w in re.findall(r"[^\W_]+", text.lower()) if config == "simple" or w not in STOP_ENGLISH]
@@ -393,11 +439,20 @@ def rank(v: Column, query: Query, weights: Mapping[str, float] = WEIGHTS, norm:
     """Rank of a vector. ``norm`` is a sum of 1 (log length), 2 (length), 8 (unique
     words), 16 (log unique words) and 32 (rank / (rank + 1))."""
     terms = query.terms()
-    together = isinstance(query, (And, Phrase)) and len(terms) > 1
-    return _normalise(_rank_all(v, terms, weights) if together else _rank_any(v, terms, weights), v, norm)
+    score = _rank_all if isinstance(query, (And, Phrase)) and len(terms) > 1 else _rank_any
+
+    def asked(o: Column) -> Column:
+        out = terms[0]._test(o)
+        for t in terms[1:]:
+            out = out | t._test(o)
+        return out
+
+    # one pass keeps the occurrences that matter; the rest of the work is on those
+    return normalise_rank(bind(F.filter(v, asked), lambda few: score(few, terms, weights)), v, norm)
 
 
-def _normalise(r: Column, v: Column, norm: int, log_base: float = 2.0) -> Column:
+def normalise_rank(r: Column, v: Column, norm: int, log_base: float = 2.0) -> Column:
+    """Rank adjusted for the size of the document."""
     import math
 
     size, uniq = F.size(v), length(v)

@@ -54,8 +54,26 @@ def _position(order: Sequence[str]) -> tuple[Column, bool]:
     return F.struct(*fields), desc
 
 
+def _search_tree(value: Column, bounds: Column, n: int, desc: bool) -> Column:
+    """Number of the ``n`` sorted bounds at or before ``value``: a decision tree, compiled
+    with the rest of the stage, that makes log2(n) comparisons per row."""
+
+    def node(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        bound = F.get(bounds, F.lit(mid))
+        passed = bound >= value if desc else bound <= value
+        return F.when(passed, node(mid + 1, high)).otherwise(node(low, mid))
+
+    return node(0, n)
+
+
 def chunk_of(df: DataFrame, order: Sequence[str], chunks: int | None = None) -> Column:
-    """Chunk number of a row along ``order``; bounds come from a bounded sample."""
+    """Chunk number of a row along ``order``; bounds come from a bounded sample.
+
+    The first order column alone decides unless one of its values fills several chunks.
+    """
     chunks = chunks or default_chunks(df)
     position, desc = _position(order)
     sample = (
@@ -71,22 +89,35 @@ def chunk_of(df: DataFrame, order: Sequence[str], chunks: int | None = None) ->
     bounds = list(dict.fromkeys(drawn[step::step]))
     if not bounds:
         return F.lit(0)
-    kind = "array<" + df.select(position.alias("p")).schema["p"].dataType.simpleString() + ">"
+    kind = df.select(position.alias("p")).schema["p"].dataType
+    lead = [json.loads(b) for b in bounds]
+    leading = list(dict.fromkeys(json.dumps(b["v0"]) for b in lead if "v0" in b))
+    if len(leading) == len(bounds):
+        column = F.col(parse_order(order)[0][0])
+        found = _find(column, leading, kind["v0"].dataType.simpleString(), desc, compiled=True)
+        return F.when(column.isNull(), F.lit(0 if desc else len(bounds))).otherwise(found)
+    return _find(position, bounds, kind.simpleString(), desc, compiled=False)
+
+
+def _find(value: Column, bounds: list[str], kind: str, desc: bool, compiled: bool) -> Column:
+    """Place of a value among sorted bounds, given as JSON texts."""
 
     def literal(items: list[str]) -> Column:
-        return F.from_json(F.lit("[" + ",".join(items) + "]"), kind)
+        return F.from_json(F.lit("[" + ",".join(items) + "]"), f"array<{kind}>")
 
-    def passed(array: Column) -> Column:
-        return F.size(F.filter(array, (lambda b: b >= position) if desc else (lambda b: b <= position)))
+    def passed(array: Column, n: int | None) -> Column:
+        if compiled and n is not None:
+            return _search_tree(value, array, n, desc)
+        return F.size(F.filter(array, (lambda b: b >= value) if desc else (lambda b: b <= value)))
 
     if len(bounds) <= FLAT_SEARCH:
-        return passed(literal(bounds))
+        return passed(literal(bounds), len(bounds))
     blocks = [bounds[i : i + FANOUT] for i in range(0, len(bounds), FANOUT)]
-    outer = passed(literal([b[0] for b in blocks]))
+    outer = passed(literal([b[0] for b in blocks]), len(blocks))
     nested = F.from_json(
-        F.lit("[" + ",".join("[" + ",".join(b) + "]" for b in blocks) + "]"), f"array<{kind}>"
+        F.lit("[" + ",".join("[" + ",".join(b) + "]" for b in blocks) + "]"), f"array<array<{kind}>>"
     )
-    inner = passed(F.get(nested, F.greatest(outer - 1, F.lit(0))))
+    inner = passed(F.get(nested, F.greatest(outer - 1, F.lit(0))), None)
     return F.when(outer == 0, F.lit(0)).otherwise((outer - 1) * FANOUT + inner)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.functions import textsearch as ts
+from tablewright.functions.core import bind
 from tablewright.operators import search
 from tablewright.plans.registry import query
 
@@ -39,7 +40,7 @@ def fts_vector_english(t):
 )
 def fts_match(t):
     q = ts.to_query("the & (with | thr:*) & !by")
-    return t.spread("documents", "doc_id").filter(q.on(vec())).select("doc_id")
+    return t.spread("documents", "doc_id").filter(ts.match_text(F.col("text"), q)).select("doc_id")
 
 
 @query(
@@ -52,9 +53,10 @@ def fts_match(t):
     """,
 )
 def fts_phrase(t):
-    docs = t.spread("documents", "doc_id").select("doc_id", vec().alias("v"))
-    near = docs.filter(ts.phrase_query("of the").on(F.col("v"))).select("doc_id", F.lit("adjacent").alias("kind"))
-    far = docs.filter(ts.Term("is").then(ts.Term("the"), 2).on(F.col("v"))).select("doc_id", F.lit("two apart").alias("kind"))
+    docs = t.spread("documents", "doc_id").select("doc_id", "text")
+    text = F.col("text")
+    near = docs.filter(ts.match_text(text, ts.phrase_query("of the"))).select("doc_id", F.lit("adjacent").alias("kind"))
+    far = docs.filter(ts.match_text(text, ts.Term("is").then(ts.Term("the"), 2))).select("doc_id", F.lit("two apart").alias("kind"))
     return near.unionByName(far)
 
 
@@ -87,8 +89,9 @@ def fts_weight_filter(t):
 )
 def fts_rank(t):
     q = ts.Term("the") | ts.Term("with")
-    docs = t.spread("documents", "doc_id").select("doc_id", vec().alias("v")).filter(q.on(F.col("v")))
-    return docs.select("doc_id", F.round(ts.rank(F.col("v"), q), 6).alias("any_rank"), F.round(ts.rank(F.col("v"), q, norm=2), 9).alias("per_word"))
+    scores = lambda v: F.struct(ts.rank(v, q).alias("r"), F.size(v).alias("n"))
+    docs = t.spread("documents", "doc_id").select("doc_id", bind(vec(), scores).alias("s")).filter("s.r > 0")
+    return docs.select("doc_id", F.round("s.r", 6).alias("any_rank"), F.round(F.col("s.r") / F.col("s.n"), 9).alias("per_word"))
 
 
 @query(
@@ -101,8 +104,9 @@ def fts_rank(t):
 )
 def fts_rank_near(t):
     q = ts.Term("with") & ts.Term("was")
-    docs = t.spread("documents", "doc_id").select("doc_id", vec().alias("v")).filter(q.on(F.col("v")))
-    return docs.select("doc_id", F.round(ts.rank(F.col("v"), q), 6).alias("rank"))
+    scores = lambda v: F.struct(q.on(v).alias("hit"), F.round(ts.rank(v, q), 6).alias("rank"))
+    docs = t.spread("documents", "doc_id").select("doc_id", bind(vec(), scores).alias("s"))
+    return docs.filter("s.hit").select("doc_id", "s.rank")
 
 
 @query(
@@ -148,7 +152,7 @@ def fts_query_algebra(t):
     q = ts.Term("the") & ts.Term("verb")
     rules = {ts.Term("verb"): ts.Term("was") | ts.Term("were")}
     new = q.rewrite(rules)
-    return t.spread("documents", "doc_id").filter(new.on(vec())).select(
+    return t.spread("documents", "doc_id").filter(ts.match_text(F.col("text"), new)).select(
         "doc_id", F.lit(new.nodes()).alias("nodes"), F.lit(new.holds(ts.Term("was"))).alias("holds"), F.lit(repr(new)).alias("rewritten")
     )
 

@@ -8,40 +8,39 @@ from tablewright.functions import xmlx
 from tablewright.plans.registry import query
 
 
-def order_docs(t):
-    """One document per order with its lines; an order has few lines."""
-    line = xmlx.element("line", xmlx.escape(F.col("l_returnflag")), n=F.col("l_linenumber"), qty=F.col("l_quantity").cast("int"))
-    place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    # lines are counted per part first, so an order never carries more than its distinct lines
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(place.alias("p"), line.alias("x")))).alias("ls"))
-    body = F.array_join(F.transform("ls", lambda s: s["x"]), "")
-    return lines.select("l_orderkey", xmlx.element("order", body, id=F.col("l_orderkey")).alias("doc"), F.size("ls").alias("n"))
+def part_docs(t):
+    """One document per part: its name as numbered words, its brand and size."""
+    words = F.transform(
+        F.split("p_name", " "), lambda w, i: F.concat(F.lit('<w n="'), (i + 1).cast("string"), F.lit('">'), xmlx.escape(w), F.lit("</w>"))
+    )
+    body = F.concat(F.array_join(words, ""), xmlx.element("brand", xmlx.escape(F.col("p_brand"))))
+    return t.spread("part", "p_partkey").select("p_partkey", xmlx.element("part", body, id=F.col("p_partkey"), size=F.col("p_size")).alias("doc"))
 
 
 @query(
     "xml_paths", "2.17.1",
     """
-    SELECT l_orderkey, l_orderkey::VARCHAR AS id, count(*)::INTEGER AS n, bool_or(l_quantity::INTEGER > 45) AS big, CAST(sum(l_quantity::INTEGER) AS DOUBLE) AS qty,
-           string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nums FROM lineitem GROUP BY 1
+    SELECT p_partkey, p_partkey::VARCHAR AS id, len(string_split(p_name, ' '))::INTEGER AS n, p_size > 45 AS big, CAST(list_sum(range(1, len(string_split(p_name, ' ')) + 1)) AS DOUBLE) AS total,
+           replace(p_name, ' ', ',') AS words, p_brand AS brand FROM part
     """,
 )
 def xml_paths(t):
     doc = F.col("doc")
-    return order_docs(t).select(
-        "l_orderkey", F.xpath_string(doc, F.lit("/order/@id")).alias("id"), F.xpath_int(doc, F.lit("count(/order/line)")).alias("n"),
-        xmlx.exists(doc, "/order/line[@qty > 45]").alias("big"), F.xpath_number(doc, F.lit("sum(/order/line/@qty)")).alias("qty"),
-        F.array_join(F.xpath(doc, F.lit("/order/line/@n")), ",").alias("nums"),
+    return part_docs(t).select(
+        "p_partkey", F.xpath_string(doc, F.lit("/part/@id")).alias("id"), F.xpath_int(doc, F.lit("count(/part/w)")).alias("n"),
+        xmlx.exists(doc, "/part[@size > 45]").alias("big"), F.xpath_number(doc, F.lit("sum(/part/w/@n)")).alias("total"),
+        F.array_join(F.xpath(doc, F.lit("/part/w/text()")), ",").alias("words"), F.xpath_string(doc, F.lit("/part/brand")).alias("brand"),
     )
 
 
 @query(
     "xml_table", "2.17.2",
-    "SELECT l_orderkey, l_linenumber::VARCHAR AS n, l_returnflag AS flag, (l_quantity::INTEGER)::VARCHAR AS qty FROM lineitem",
+    "SELECT p_partkey, n::VARCHAR AS n, word FROM (SELECT p_partkey, unnest(w) AS word, generate_subscripts(w, 1) AS n FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part))",
 )
 def xml_table(t):
-    cols = {"n": "/order/line/@n", "flag": "/order/line/text()", "qty": "/order/line/@qty"}
+    cols = {"n": "/part/w/@n", "word": "/part/w/text()"}
     arrays = [F.xpath("doc", F.lit(p)).alias(c) for c, p in cols.items()]
-    return order_docs(t).select("l_orderkey", F.inline(F.arrays_zip(*arrays)))
+    return part_docs(t).select("p_partkey", F.inline(F.arrays_zip(*arrays)))
 
 
 @query(

@@ -186,6 +186,11 @@ def test_text_queries(spark):
     assert one(spark, ts.strip(v)) == ["ate", "cat", "fat", "rat"]
     assert on(ts.to_query("fat & (rats | dog) & !mouse", "english")) and on(ts.to_query("ca:*")) and not on(ts.to_query("fat:A"))
     assert on(ts.phrase_query("fat rat", "english")) and on(ts.phrase_query("ate the fat", "english")) and not on(ts.phrase_query("ate fat", "english"))
+    plain = ts.to_vector(L("One two, three-two four!"))
+    for q in (ts.to_query("two & !five"), ts.to_query("fo:*"), ts.to_query("tw"), ts.phrase_query("three two four"), ts.phrase_query("two four one"),
+              ts.Term("one").then(ts.Term("two"), 3), ts.Term("one").then(ts.Term("two"), 2)):
+        assert one(spark, ts.match_text(L("One two, three-two four!"), q)) == one(spark, ts.match(plain, q)), q
+    assert one(spark, ts.rank(plain, ts.Term("two"), norm=2)) == pytest.approx(one(spark, ts.rank(plain, ts.Term("two"))) / 5)
     q = ts.Term("a") & (ts.Term("b") | ~ts.Term("c"))
     assert q.nodes() == 6 and q.holds(ts.Term("c")) and repr(q.indexable()) == "'a' & 'b'"
     assert repr(q.rewrite({ts.Term("b"): ts.Term("x") & ts.Term("y")})) == "'a' & ( 'x' & 'y' | !'c' )"
