@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablewright.functions.core import bind
+
 
 def words(c: Column) -> Column:
     """Lower-case alphanumeric words."""
@@ -62,6 +64,32 @@ def word_similarity(needle: Column, haystack: Column) -> Column:
     return F.when((n == 0) | (F.size(x) == 0), F.lit(0.0)).otherwise(F.array_max(best))
 
 
+def edit_cost(a: Column, b: Column, insert: int = 1, delete: int = 1, substitute: int = 1) -> Column:
+    """Least cost of edits that turn ``a`` into ``b``, for short texts.
+
+    The table of costs is folded one letter of ``a`` at a time.
+    """
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+
+    def whole(s: Column) -> Column:
+        xs, ys = s["x"], s["y"]
+        n = F.size(ys)
+        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        first = F.transform(F.sequence(F.lit(0), n), lambda j: j * insert)
+
+        def row(costs: Column, letter: Column) -> Column:
+            def cell(done: Column, j: Column) -> Column:
+                swap = F.when(letter == F.get(ys, j - 1), 0).otherwise(substitute)
+                best = F.least(F.get(costs, j) + delete, F.element_at(done, -1) + insert, F.get(costs, j - 1) + swap)
+                return F.array_append(done, best)
+
+            return F.aggregate(places, F.array(F.get(costs, F.lit(0)) + delete), cell)
+
+        return F.element_at(F.aggregate(xs, first, row), -1)
+
+    return bind(F.struct(letters(a).alias("x"), letters(b).alias("y")), whole)
+
+
 # The digit each letter A..Z stands for in a sound code; 0 is silent.
 SOUND_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SOUND_DIGITS = "01230120022455012623010202"

@@ -1,4 +1,4 @@
-"""Recursive queries as driver loops over reliable checkpoints."""
+"""Recursive queries as driver loops over written rounds."""
 
 from __future__ import annotations
 
@@ -7,27 +7,37 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.session import cut_lineage
+from tablewright.session import scratch_path
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True, max_rounds: int = 10_000) -> DataFrame:
     """``WITH RECURSIVE``: apply ``step`` to the newest rows until none are left.
 
-    With ``distinct`` rows already seen are dropped (``UNION``), so cycles end; the
-    frontier and the seen set are joined by key and never leave the cluster.
+    With ``distinct`` rows already seen are dropped (``UNION``), so cycles end. Every
+    round is written to one folder of the shared directory: the plan of a round is a
+    scan and a join, however many rounds came before, and a lost executor costs no
+    round twice.
     """
-    names = seed.columns
-    frontier = cut_lineage(seed.distinct() if distinct else seed)
-    seen = frontier
-    for _ in range(max_rounds):
+    spark, names = seed.sparkSession, seed.columns
+    base = scratch_path(spark, "recursion")
+    schema = seed.schema
+
+    def store(df: DataFrame, number: int) -> DataFrame:
+        df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.parquet(f"{base}/round={number}")
+        return spark.read.schema(schema).parquet(f"{base}/round={number}")
+
+    def seen() -> DataFrame:
+        return spark.read.schema(schema).parquet(base).select(*names)
+
+    frontier = store(seed.distinct() if distinct else seed, 0)
+    for number in range(1, max_rounds + 1):
         fresh = step(frontier).select(*names)
         if distinct:
             row = lambda df: df.withColumn("__row", F.struct(*names))
-            fresh = row(fresh.distinct()).join(row(seen).select("__row"), "__row", "left_anti").select(*names)
-        frontier = cut_lineage(fresh)
+            fresh = row(fresh.distinct()).join(row(seen()).select("__row"), "__row", "left_anti").select(*names)
+        frontier = store(fresh, number)
         if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+            return seen()
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 

@@ -139,19 +139,19 @@ def circle_functions(t):
 @query(
     "point_in_polygon_join", "2.15.14",
     f"""
-    WITH n AS (SELECT 1.5 / sqrt(count(*)) AS h FROM embeddings), a AS (SELECT vec_id AS area_id, e0 AS cx, e1 AS cy, h FROM {E_SQL}, n WHERE label = 3)
-    SELECT area_id, p.vec_id FROM a JOIN (SELECT vec_id, e0 AS x, e1 AS y FROM {E_SQL} WHERE label <> 3) p ON abs(x - cx) + abs(y - cy) < h
+    WITH n AS (SELECT 1.5 / sqrt(count(*)) AS h FROM embeddings), a AS (SELECT vec_id AS area_id, e0 AS cx, e1 AS cy, h FROM {E_SQL}, n)
+    SELECT area_id, p.vec_id FROM a JOIN (SELECT vec_id, e0 AS x, e1 AS y FROM {E_SQL}) p ON vec_id <> area_id AND abs(x - cx) + abs(y - cy) < h
     """,
 )
 def point_in_polygon_join(t):
-    # one diamond about each vector of a label; its size falls with the density of points
+    # one diamond about each vector; its size falls with the density of points
     h = 1.5 / t.embeddings.count() ** 0.5
     v = vecs(t)
     x, y = F.col("p.x"), F.col("p.y")
     diamond = F.array(geo.point(x - h, y), geo.point(x, y + h), geo.point(x + h, y), geo.point(x, y - h))
-    areas = v.filter("label = 3").select(F.col("vec_id").alias("area_id"), diamond.alias("shape"))
-    points = v.filter("label <> 3").select("vec_id", x.alias("x"), y.alias("y"))
-    return spatial.point_in_polygon_join(points, areas, ("x", "y"), "shape", h).select("area_id", "vec_id")
+    areas = v.select(F.col("vec_id").alias("area_id"), diamond.alias("shape"))
+    points = v.select("vec_id", x.alias("x"), y.alias("y"))
+    return spatial.point_in_polygon_join(points, areas, ("x", "y"), "shape", h).filter("area_id <> vec_id").select("area_id", "vec_id")
 
 
 @query(

@@ -242,7 +242,7 @@ def join_point_in_interval(t):
     WITH n AS (SELECT 0.3 / sqrt(count(*)) AS r FROM embeddings),
     p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label FROM embeddings)
     SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)), 9) AS distance
-    FROM p a JOIN p b ON a.label < 5 AND b.label >= 5, n
+    FROM p a JOIN p b ON a.vec_id < b.vec_id, n
     WHERE sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= r
     """,
 )
@@ -251,11 +251,11 @@ def join_within_distance(t):
     n = t.embeddings.count()
     p = lambda side: t.embeddings.select(
         F.col("vec_id").alias(side), F.col("embedding")[0].cast("double").alias(f"x{side}"),
-        F.col("embedding")[1].cast("double").alias(f"y{side}"), F.col("label").alias(f"l{side}"),
+        F.col("embedding")[1].cast("double").alias(f"y{side}"), 
     )
     out = joins.within_distance_join(
-        p("a").filter("la < 5"), p("b").filter("lb >= 5"), ["xa", "ya"], ["xb", "yb"], 0.3 / n**0.5
-    )
+        p("a"), p("b"), ["xa", "ya"], ["xb", "yb"], 0.3 / n**0.5
+    ).filter("a < b")
     return out.select("a", "b", F.round("distance", 9).alias("distance"))
 
 

@@ -141,22 +141,21 @@ def regex_matches_rows(t):
 @query(
     "binary_encodings", "2.9.31 2.9.32 2.9.44",
     """
-    SELECT doc_id, lower(hex(encode(text[1:40]))) AS hx, to_base64(encode(text[1:40])) AS b64, text[1:40] AS back,
-           lower(hex(encode(text))[5:24]) AS cut, lower(hex(encode('Z' || s || 'ZZ'))) AS wide, lower(hex(encode(s))) AS trimmed,
+    SELECT doc_id, md5(lower(hex(encode(text)))) AS hx, md5(to_base64(encode(text))) AS b64, md5(text) AS back,
+           lower(hex(encode(text))[5:24]) AS cut, md5(lower(hex(encode('Z' || s || 'ZZ')))) AS wide, md5(lower(hex(encode(s)))) AS trimmed,
            CASE WHEN strpos(s, 'e') > 0 THEN octet_length(encode(s[1:strpos(s, 'e')]))::INTEGER ELSE 0 END AS at
-    FROM (SELECT *, trim(text[1:30], 'Z') AS s FROM documents)
+    FROM (SELECT *, trim(text, 'Z') AS s FROM documents)
     """,
 )
 def binary_encodings(t):
-    head = F.substring("text", 1, 40)
-    s = F.btrim(F.substring("text", 1, 30), F.lit("Z"))
+    s = F.btrim("text", F.lit("Z"))
     raw = F.encode(F.col("text"), "UTF-8")
+    wide = F.concat(F.lit(b"Z"), F.encode(s, "UTF-8"), F.lit(b"ZZ"))
     return t.documents.select(
-        "doc_id", F.lower(F.hex(F.encode(head, "UTF-8"))).alias("hx"), F.base64(F.encode(head, "UTF-8")).alias("b64"),
-        F.decode(F.unbase64(F.base64(F.encode(head, "UTF-8"))), "UTF-8").alias("back"),
+        "doc_id", F.md5(F.lower(F.hex(raw))).alias("hx"), F.md5(F.replace(F.base64(raw), F.lit("\r\n"), F.lit(""))).alias("b64"),
+        F.md5(F.decode(F.unbase64(F.base64(raw)), "UTF-8")).alias("back"),
         F.lower(F.hex(F.substring(raw, 3, 10))).alias("cut"),
-        F.lower(F.hex(F.concat(F.lit(b"Z"), F.encode(s, "UTF-8"), F.lit(b"ZZ")))).alias("wide"),
-        F.lower(F.hex(binary.trim(F.concat(F.lit(b"Z"), F.encode(s, "UTF-8"), F.lit(b"ZZ")), b"Z"))).alias("trimmed"),
+        F.md5(F.lower(F.hex(wide))).alias("wide"), F.md5(F.lower(F.hex(binary.trim(wide, b"Z")))).alias("trimmed"),
         binary.position(F.encode(s, "UTF-8"), b"e").alias("at"),
     )
 
@@ -164,13 +163,14 @@ def binary_encodings(t):
 @query(
     "weighted_edit_distance", "2.9.33",
     """
-    SELECT DISTINCT p_name, levenshtein(p_name, 'red bolt')::INTEGER AS d, CASE WHEN levenshtein(p_name, 'red bolt') <= 4 THEN levenshtein(p_name, 'red bolt')::INTEGER ELSE -1 END AS bounded
-    FROM part
+    SELECT DISTINCT p_name, levenshtein(p_name, 'red bolt')::INTEGER AS d, CASE WHEN levenshtein(p_name, 'red bolt') <= 4 THEN levenshtein(p_name, 'red bolt')::INTEGER ELSE -1 END AS bounded,
+           2 * levenshtein(p_name, 'red bolt')::INTEGER AS double_cost FROM part
     """,
 )
 def weighted_edit_distance(t):
     d = t.part.select("p_name").distinct()
-    return d.select("p_name", F.levenshtein("p_name", F.lit("red bolt")).alias("d"), F.levenshtein("p_name", F.lit("red bolt"), 4).alias("bounded"))
+    return d.select("p_name", F.levenshtein("p_name", F.lit("red bolt")).alias("d"), F.levenshtein("p_name", F.lit("red bolt"), 4).alias("bounded"),
+                    strings.edit_cost(F.col("p_name"), F.lit("red bolt"), 2, 2, 2).alias("double_cost"))
 
 
 @query(

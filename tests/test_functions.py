@@ -29,6 +29,10 @@ def test_text(spark):
     assert one(spark, strings.similarity(L("wow"), L("WOWa "))) == 0.5
     assert one(spark, F.array_sort(strings.trigrams(L("a b")))) == ["  a", "  b", " a ", " b "]
     assert one(spark, strings.word_similarity(L("word"), L("two words"))) == pytest.approx(0.8)
+    assert one(spark, strings.edit_cost(L("GUMBO"), L("GAMBOL"))) == 2
+    assert one(spark, strings.edit_cost(L("GUMBO"), L("GAMBOL"), 2, 1, 1)) == 3
+    assert one(spark, strings.edit_cost(L(""), L("abc"), 2, 1, 1)) == 6
+    assert one(spark, strings.edit_cost(L("abc"), L(""), 2, 1, 1)) == 3
     assert one(spark, strings.initcap_words(L("hi THOMAS-o'neil 2nd"))) == "Hi Thomas-O'Neil 2nd"
     assert one(spark, strings.chr_code(L(8364))) == "€"
     assert one(spark, strings.left(L("abcde"), -2)) == "abc"
