@@ -8,6 +8,7 @@ small table of chunk totals supplies what earlier chunks contribute.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -17,6 +18,7 @@ KEY, CHUNK, RN, BLOCK = "__key", "__chunk", "__rn", "__block"
 SAMPLES_PER_CHUNK = 16
 FLAT_SEARCH = 64
 FANOUT = 32
+MAX_CHUNKS = 8192
 
 
 def parse_order(order: Sequence[str]) -> list[tuple[str, bool]]:
@@ -38,8 +40,9 @@ def group_key(keys: Sequence[str]) -> Column:
 
 
 def default_chunks(df: DataFrame) -> int:
+    """One chunk per shuffle partition, so that a chunk is as large as a sort partition."""
     conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    return max(16, min(1024, int(conf)))
+    return max(16, min(MAX_CHUNKS, int(conf)))
 
 
 def _position(order: Sequence[str]) -> tuple[Column, bool]:
@@ -112,13 +115,14 @@ def _find(value: Column, bounds: list[str], kind: str, desc: bool, compiled: boo
 
     if len(bounds) <= FLAT_SEARCH:
         return passed(literal(bounds), len(bounds))
-    blocks = [bounds[i : i + FANOUT] for i in range(0, len(bounds), FANOUT)]
+    fan = max(FANOUT, math.isqrt(len(bounds)))
+    blocks = [bounds[i : i + fan] for i in range(0, len(bounds), fan)]
     outer = passed(literal([b[0] for b in blocks]), len(blocks))
     nested = F.from_json(
         F.lit("[" + ",".join("[" + ",".join(b) + "]" for b in blocks) + "]"), f"array<array<{kind}>>"
     )
     inner = passed(F.get(nested, F.greatest(outer - 1, F.lit(0))), None)
-    return F.when(outer == 0, F.lit(0)).otherwise((outer - 1) * FANOUT + inner)
+    return F.when(outer == 0, F.lit(0)).otherwise((outer - 1) * fan + inner)
 
 
 def _prepare(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunks: int | None) -> DataFrame:

@@ -30,9 +30,11 @@ def test_number_rows(skewed, order):
     same(got, skewed.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k"))))
 
 
-def test_many_chunks_use_two_level_search(skewed):
-    w = Window.orderBy(*ordered.sort_columns(["v", "id"]))
-    got = ordered.number_rows(skewed, [], ["v", "id"], "rn", chunks=200)
+@pytest.mark.parametrize("order", [["v", "id"], ["id"], ["-id"]])
+@pytest.mark.parametrize("chunks", [100, 3000])
+def test_many_chunks_use_two_level_search(skewed, order, chunks):
+    w = Window.orderBy(*ordered.sort_columns(order))
+    got = ordered.number_rows(skewed, [], order, "rn", chunks=chunks)
     same(got, skewed.withColumn("rn", F.row_number().over(w)))
 
 
