@@ -12,7 +12,7 @@ from tablewright.session import scratch_path
 
 #: Words are runs of anything but these six ASCII characters.
 BLANKS = r"[\x20\x09-\x0D]"
-BLANK_CHARS = " \t\n\x0b\x0c\r"
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 

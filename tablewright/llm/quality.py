@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import BLANK_CHARS, words_of
+from tablewright.llm.common import BLANKS, WORD, words_of
 
 # Frequent function words by language.
 COMMON = {
@@ -23,23 +23,20 @@ COMMON = {
     "de": "der die das und den von zu ist mit dem ein eine nicht auf im".split(),
     "es": "el la los las de y que en un una con por para del se es".split(),
 }
-SYMBOLS = "#*$%&|<>"
-PUNCTUATION = ".,;:!?'\"()-"
-DIGITS = "0123456789"
+SYMBOLS = "[#*$%&|<>]"
+PUNCTUATION = "[.,;:!?'\"()-]"
+DIGITS = "[0-9]"
 
-#: Jensen-Shannon distance (base 2, 0 to 1) above which a document goes, and the least number of characters or words.
-MAX_CHARS_DISTANCE = 0.25
-MAX_WORDS_DISTANCE = 0.75
-MIN_CHARS = 200
-MIN_WORDS = 50
+#: Jensen-Shannon distance (base 2, 0 to 1) above which a document goes, and the least number of words for each test.
+MAX_CHARS_DISTANCE, MIN_CHARS_WORDS = 0.22, 100
+MAX_WORDS_DISTANCE, MIN_COMMON_WORDS = 0.26, 150
 
 SPAN = 8
 CLASSES = 6
 
 
-def _without(text: Column, chars: str) -> Column:
-    """Number of characters of a text that are one of ``chars``."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def _repeated_words(words: Column) -> Column:
@@ -76,13 +73,14 @@ def _repeated_words(words: Column) -> Column:
 def base_columns(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the plain counts of each text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(F.col("__text"), "\n"), lambda x: F.length(F.translate(x, BLANK_CHARS, "")) > 0)
+    lines = F.filter(F.split(F.col("__text"), "\n"), lambda x: F.rlike(x, F.lit(WORD)))
     return (
         docs.withColumn("__text", text)
         .withColumn("__words", words_of(F.col("__text")))
         .withColumn("n_words", F.size("__words").cast("long"))
-        .withColumn("word_chars", F.length(F.translate("__text", BLANK_CHARS, "")).cast("long"))
-        .withColumn("n_symbols", _without(F.col("__text"), SYMBOLS))
+        .withColumn("__blank", _count(F.col("__text"), BLANKS))
+        .withColumn("word_chars", F.length("__text") - F.col("__blank"))
+        .withColumn("n_symbols", _count(F.col("__text"), SYMBOLS))
         .withColumn("__lines", lines)
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
         .withColumn("n_repeat_words", _repeated_words(F.col("__words")))
@@ -91,16 +89,14 @@ def base_columns(docs: DataFrame) -> DataFrame:
 
 
 def _histograms(df: DataFrame) -> DataFrame:
-    """Adds ``__chars`` and ``__common`` to a table with ``__text``, ``__words`` and ``lang``."""
+    """Adds ``__chars`` and ``__common`` to a table with ``__text __words __blank n_symbols lang``."""
     t = F.col("__text")
     table = F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     every = sorted({w for v in COMMON.values() for w in v})
     return (
-        df.withColumn("__upper", F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"))
-        .withColumn("__blank", _without(t, BLANK_CHARS)).withColumn("__sym", _without(t, SYMBOLS))
-        .withColumn("__punct", _without(t, PUNCTUATION)).withColumn("__digit", _without(t, DIGITS))
-        .withColumn("__other", F.length(t).cast("long") - F.col("__upper") - F.col("__blank") - F.col("__sym") - F.col("__punct") - F.col("__digit"))
-        .withColumn("__chars", F.array("__other", "__upper", "__blank", "__sym", "__punct", "__digit"))
+        df.withColumn("__upper", _count(t, r"\p{Lu}")).withColumn("__punct", _count(t, PUNCTUATION)).withColumn("__digit", _count(t, DIGITS))
+        .withColumn("__other", F.length(t) - F.col("__upper") - F.col("__blank") - F.col("n_symbols") - F.col("__punct") - F.col("__digit"))
+        .withColumn("__chars", F.array("__other", "__upper", "__blank", "n_symbols", "__punct", "__digit"))
         .withColumn("__hits", F.filter("__words", lambda w: w.isin(*every)))
         .withColumn("__list", table[F.col("lang")])
         .withColumn("__common", F.transform("__list", lambda c: F.size(F.filter("__hits", lambda w: w == c)).cast("long")))
@@ -124,6 +120,7 @@ def js_distance(p: Column, q: Column) -> Column:
 def references(docs: DataFrame) -> dict[str | None, tuple[list[int], list[int]]]:
     """Totals of both histograms by listed language, and over everything under None: at most one row per word list."""
     slim = docs.select("lang", F.coalesce("text", F.lit("")).alias("__text")).withColumn("__words", words_of(F.col("__text")))
+    slim = slim.withColumn("__blank", _count(F.col("__text"), BLANKS)).withColumn("n_symbols", _count(F.col("__text"), SYMBOLS))
     h = _histograms(slim).withColumn("__known", F.when(F.col("lang").isin(*COMMON), F.col("lang")))
     width = max(map(len, COMMON.values()))
     sums = [F.sum(F.get("__chars", F.lit(i))).alias(f"c{i}") for i in range(CLASSES)]
@@ -158,8 +155,8 @@ def quality(docs: DataFrame) -> DataFrame:
         .withColumn("chars_distance", js_distance(F.col("__chars"), F.col("__ref_chars")))
         .withColumn("words_distance", js_distance(F.col("__own"), F.col("__ref_words")))
     )
-    far = (F.length("__text") >= MIN_CHARS) & (F.coalesce("chars_distance", F.lit(0.0)) > MAX_CHARS_DISTANCE)
-    far = far | ((F.col("n_words") >= MIN_WORDS) & (F.coalesce("words_distance", F.lit(0.0)) > MAX_WORDS_DISTANCE))
+    far = (F.col("n_words") >= MIN_CHARS_WORDS) & (F.coalesce("chars_distance", F.lit(0.0)) > MAX_CHARS_DISTANCE)
+    far = far | ((F.col("n_words") >= MIN_COMMON_WORDS) & (F.coalesce("words_distance", F.lit(0.0)) > MAX_WORDS_DISTANCE))
     return out.withColumn("kept", ~F.col("base_failed") & ~far).drop(*[c for c in out.columns if c.startswith("__")])
 
 
