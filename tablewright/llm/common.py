@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.session import scratch_path
@@ -33,6 +36,26 @@ def n_words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this library to the Python workers, once per application, through Spark's own file server."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root = os.path.dirname(package)
+    target = os.path.join(tempfile.mkdtemp(prefix="run-"), "tablewright.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
+
+
 def per_batch(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], object]], schema: str) -> DataFrame:
     """Apply ``build()`` once per task, then its result to each Arrow batch.
 
@@ -53,6 +76,7 @@ def per_batch(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], obje
                 if piece.num_rows:
                     yield piece
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from tablewright.llm import chat, mixing, quality
+import public_tokenizers
+
+from tablewright.llm import bpe, chat, language, mixing, quality
 
 
 def _docs(spark, folder):
     return spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
 
 
+def op3_language_id(spark, folder):
+    return language.op3(_docs(spark, folder))
+
+
+def op5_bpe(spark, folder):
+    return bpe.digests(_docs(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_chat_formatting(spark, folder):
     return chat.op6(spark.read.parquet(f"{folder.rstrip('/')}/conversations.parquet"))
 
@@ -21,6 +31,6 @@ def op10_quality_rules(spark, folder):
     return quality.op10(_docs(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op6_chat_formatting, op8_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op5_bpe, op6_chat_formatting, op8_mixing, op10_quality_rules)}
 
 SQL: dict[str, str] = {}
