@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tablewright.llm import bpe, chat, language, mixing, quality
+from tablewright.llm import bpe, chat, language, mixing, quality, substrings
 
 
 def _docs(spark, folder):
@@ -15,6 +15,10 @@ def op3_language_id(spark, folder):
     return language.op3(_docs(spark, folder))
 
 
+def op4_substring_dedup(spark, folder):
+    return substrings.op4(_docs(spark, folder))
+
+
 def op5_bpe(spark, folder):
     return bpe.digests(_docs(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -31,6 +35,6 @@ def op10_quality_rules(spark, folder):
     return quality.op10(_docs(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op5_bpe, op6_chat_formatting, op8_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_substring_dedup, op5_bpe, op6_chat_formatting, op8_mixing, op10_quality_rules)}
 
 SQL: dict[str, str] = {}
