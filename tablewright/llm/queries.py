@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tablewright.llm import bpe, chat, language, mixing, quality, substrings
+from tablewright.llm import bpe, chat, language, mixing, quality, substrings, suffixes, wavelet
 
 
 def _docs(spark, folder):
@@ -27,14 +27,22 @@ def op6_chat_formatting(spark, folder):
     return chat.op6(spark.read.parquet(f"{folder.rstrip('/')}/conversations.parquet"))
 
 
+def op7_suffix_dedup(spark, folder):
+    return suffixes.op7(_docs(spark, folder))
+
+
 def op8_mixing(spark, folder):
     return mixing.op8(_docs(spark, folder))
 
 
+def op9_token_output(spark, folder):
+    return wavelet.op9(_docs(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark, folder):
     return quality.op10(_docs(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_substring_dedup, op5_bpe, op6_chat_formatting, op8_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_substring_dedup, op5_bpe, op6_chat_formatting, op7_suffix_dedup, op8_mixing, op9_token_output, op10_quality_rules)}
 
 SQL: dict[str, str] = {}
