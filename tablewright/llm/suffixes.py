@@ -8,9 +8,12 @@ Suffixes of a bucket are sorted by bottom-up mergesort, all buckets of a block o
 compared through prefix polynomial hashes: binary search finds their longest common extension, the byte after it
 decides. Sorted neighbours whose common extension reaches 400 bytes are duplicates, after their bytes are compared.
 
-Hot buckets, of more than ``PIECE`` contents, are split by content. Each piece is sorted on its own; what is single in
-its piece, and one suffix of each group of equal ones, then meet the other pieces by the hash of their 400 bytes, which
-Spark sums before and after its shuffle.
+Hot buckets, of more than ``PIECE`` contents, are dealt anew by longer anchors: the suffixes of a run fall into ranges of
+their distance to the anchor, and all suffixes of a range share some bytes before the anchor and some after it. These
+bytes are the new anchor, so equal suffixes still meet, while a common passage in different surroundings falls apart
+into single runs and a few short ones. What is still hot is split by content into pieces that are sorted on their own;
+what is single in its piece then meets the other pieces by the hash of its 400 bytes, which Spark sums before its
+shuffle.
 
 Defined results: a null or empty text has no bytes; a text below 400 bytes loses nothing; strings repeated in one
 document, overlapping or not, are removed at both places; repeated rows are texts of their own, so all their long
@@ -20,6 +23,7 @@ empty table.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +38,8 @@ LENGTH = 400
 GRAM = 16
 #: Contents of a bucket sorted in one piece.
 PIECE = 1024
+#: Limits of the distances to the anchor that hot buckets are dealt by.
+RANGES = (0, 8, 32, 128, 257, 353, 377, 385)
 #: Bytes of opened runs sorted at a time; a piece is never cut.
 SORT_BYTES = 1 << 22
 
@@ -51,34 +57,70 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
     return per_batch(docs.filter("doc_id is not null").select(docs["doc_id"].cast("long"), "text"), build, w.RUN_SCHEMA)
 
 
+OPENED = "doc_id long, anchor long, content long, place int, hot boolean, single boolean, start int, n int, raw binary"
+
+
+def _place(raw: bytes, anchor: int, length: int) -> int:
+    """Where the anchor lies in a run: the rightmost gram with that hash in the first window."""
+    g = w.grams(w.Prefix(w.VALUE_OF_BYTE[np.frombuffer(raw, np.uint8, length)]), GRAM).view(np.int64)
+    hits = np.flatnonzero(g == anchor)
+    return int(hits[-1]) if len(hits) else -1
+
+
+def _digest(raw: bytes, salt: int) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8, salt=salt.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+
+
+def _dealt_anew(raw: bytes, anchor: int, length: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """New anchor, content, the anchor's place, first suffix and number of suffixes for each range a run touches."""
+    place, n = _place(raw, anchor, length), len(raw) - length + 1
+    ranges = [r * (length - GRAM + 1) // RANGES[-1] for r in RANGES]
+    for low, high in zip(ranges, ranges[1:]) if place >= 0 else ():
+        first, last = max(0, place - high + 1), min(n - 1, place - low)
+        if first <= last:
+            core = raw[place - low:place + length - high + 1]
+            yield _digest(core, anchor + low), _digest(raw[first:last + length], 0), place - first, first, last - first + 1
+
+
 def _opened(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The wanted runs with their bytes."""
+    """The wanted runs with their bytes; runs of hot buckets dealt anew."""
 
     def build():
         def step(batch: pa.RecordBatch):
             texts, lists = batch.column("text").cast(pa.binary()), batch.column("wanted")
             owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             flat = pa.RecordBatch.from_struct_array(lists.flatten())
-            start, n = flat.column("start").to_pylist(), flat.column("n").to_pylist()
-            for at in range(0, flat.num_rows, 4096):
-                part = slice(at, min(at + 4096, flat.num_rows))
-                raw, last, seen = [], -1, b""
-                for o, s, k in zip(owner[part].tolist(), start[part], n[part]):
-                    if o != last:
-                        last, seen = o, texts[o].as_py() or b""
-                    raw.append(seen[s:s + k - 1 + length])
-                # a repeated doc_id may bring another text, too short for the place asked for
-                fits = [len(r) == k - 1 + length for r, k in zip(raw, n[part])]
-                raw = [r for r, ok in zip(raw, fits) if ok]
-                cut = flat.slice(at, part.stop - at).filter(pa.array(fits, pa.bool_()))
-                names = ["anchor", "piece", "pieces", "single", "start", "n"]
-                yield record(doc_id=batch.column("doc_id").take(pa.array(owner[part][fits])), **{c: cut.column(c) for c in names}, raw=pa.array(raw, pa.binary()))
+            ids = batch.column("doc_id").to_numpy()
+            fields = [flat.column(c).to_pylist() for c in ("anchor", "hot", "single", "start", "n")]
+            rows: list[tuple] = []
+            last, seen, size = -1, b"", 0
+            for o, anchor, hot, single, start, n in zip(owner.tolist(), *fields):
+                if o != last:
+                    last, seen = o, texts[o].as_py() or b""
+                raw = seen[start:start + n - 1 + length]
+                if len(raw) != n - 1 + length:
+                    continue  # a repeated doc_id brought another text
+                if hot:
+                    rows += [(ids[o], a, c, p, True, single, start + f, k, raw[f:f + k - 1 + length]) for a, c, p, f, k in _dealt_anew(raw, anchor, length)]
+                else:
+                    rows.append((ids[o], anchor, 0, -1, False, single, start, n, raw))
+                size += len(raw)
+                if size > SORT_BYTES:
+                    yield pack(rows)
+                    rows, size = [], 0
+            if rows:
+                yield pack(rows)
+
+        def pack(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+            names = "doc_id anchor content place hot single start n raw".split()
+            return record(**{c: pa.array(v, k) for c, v, k in zip(names, zip(*rows), kinds)})
 
         return step
 
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "piece", "pieces", "single", "start", "n")).alias("wanted"))
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "hot", "single", "start", "n")).alias("wanted"))
     rows = docs.select(docs["doc_id"].cast("long"), "text").join(by_doc, "doc_id")
-    return per_batch(rows, build, "doc_id long, anchor long, piece int, pieces int, single boolean, start int, n int, raw binary")
+    return per_batch(rows, build, OPENED)
 
 
 class Suffixes:
@@ -103,36 +145,44 @@ class Suffixes:
 
     def less(self, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         """Whether suffix x sorts before suffix y."""
-        n = self.common(x, y)
-        full = n >= self.length
-        at = np.where(full, 0, n)
-        return np.where(full, or_equal, self.data[x + at] < self.data[y + at])
+        full = self.equal(x, y)
+        out, rest = or_equal.copy(), np.flatnonzero(~full)
+        x, y = x[rest], y[rest]
+        at = self.common(x, y)
+        out[rest] = self.data[x + at] < self.data[y + at]
+        return out
+
+    def equal(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        p, n = self.prefix, self.length
+        return p.of(x, x + n) == p.of(y, y + n)
 
     def sorted(self, at: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Order of the suffixes at ``at``; element i belongs to the bucket that starts at ``begin[i]`` and holds
-        ``size[i]`` elements. Runs of 1, 2, 4, ... elements are merged: each element's new place is its place in its
-        own run plus the number of elements of the other run before it, by binary search."""
+        ``size[i]`` elements. Runs of 1, 2, 4, ... elements are merged: an element of a left run moves up by the number
+        of elements of the right run before it, by binary search; those of the right run fill the other places."""
         order = np.arange(len(at))
         inside = np.arange(len(at)) - begin
         width, most = 1, int(size.max()) if len(size) else 0
         while width < most:
-            run = inside // width
-            left = run % 2 == 0
-            other = np.where(left, run + 1, run - 1) * width
-            low = np.minimum(other, size)
-            high = np.minimum(other + width, size)
-            first, busy = low.copy(), np.flatnonzero(low < high)
+            left = np.flatnonzero((inside // width % 2 == 0) & (size > width))
+            first = np.minimum((inside[left] // width + 1) * width, size[left])
+            low, high = first.copy(), np.minimum(first + width, size[left])
+            busy = np.flatnonzero(low < high)
             while len(busy):
                 mid = (low[busy] + high[busy]) >> 1
-                # elements of the left run precede equal ones of the right run
-                before = self.less(at[order[begin[busy] + mid]], at[order[busy]], ~left[busy])
+                e = left[busy]
+                before = self.less(at[order[begin[e] + mid]], at[order[e]], np.zeros(len(e), bool))
                 low[busy] = np.where(before, mid + 1, low[busy])
                 high[busy] = np.where(before, high[busy], mid)
                 busy = busy[low[busy] < high[busy]]
-            pair = run // 2 * 2 * width
-            place = begin + pair + (inside - run * width) + (low - first)
+            moved = np.ones(len(at), bool)
+            moved[left] = False
+            free = np.ones(len(at), bool)
+            place = left + low - first
+            free[place] = False
             fresh = np.empty_like(order)
-            fresh[place] = order
+            fresh[place] = order[left]
+            fresh[np.flatnonzero(free)] = order[np.flatnonzero(moved)]
             order = fresh
             width *= 2
         return order
@@ -168,12 +218,14 @@ def sort_block(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.
     anchor, piece = rows.column("anchor").to_numpy(), rows.column("piece").to_numpy()
     n = rows.column("n").to_numpy().astype(np.int64)
     s = Suffixes(data, length)
-    # the anchor's place in a run: the rightmost gram with that hash that all windows of the run hold
-    g = w.grams(s.prefix, GRAM)
-    which, place = w.stretch_index(np.full(len(n), length - GRAM + 1))
-    hit = g[np.minimum(bounds[which] + place, len(g) - 1)].view(np.int64) == anchor[which]
-    found = np.zeros(len(n), np.int64)
-    np.maximum.at(found, which[hit], place[hit])
+    # the anchor's place in a run: the rightmost gram with that hash in its first window
+    found = rows.column("place").to_numpy().astype(np.int64)
+    plain = np.flatnonzero(found < 0)
+    if len(plain):
+        g = w.grams(s.prefix, GRAM).view(np.int64)
+        which, place = w.stretch_index(np.full(len(plain), length - GRAM + 1))
+        hit = np.flatnonzero(g[bounds[plain][which] + place] == anchor[plain][which])
+        found[plain[which[hit]]] = place[hit]  # the last one stays
     run, off = w.stretch_index(n)
     at = bounds[run] + off
     bucket = np.ones(len(n), bool)
@@ -186,7 +238,7 @@ def sort_block(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.
     order = s.sorted(at, np.repeat(first, sizes), np.repeat(sizes, sizes))
     at, run, off, key = at[order], run[order], off[order], key[order]
     near = np.flatnonzero(key[1:] == key[:-1])
-    near = near[s.common(at[near], at[near + 1]) >= length]
+    near = near[s.equal(at[near], at[near + 1])]
     near = near[_same_bytes(data, at[near], at[near + 1], length, run[near], run[near + 1])]
     twice = np.zeros(len(at), bool)
     twice[near] = twice[near + 1] = True
@@ -263,18 +315,32 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -
     )
     several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1")
     settled = runs.join(contents.filter("k > 1").select("anchor", "content"), ["anchor", "content"])
-    settled = settled.select("doc_id", F.explode("starts").alias("start"), (F.col("n") + length - 1).alias("n"))
+    settled = settled.select("doc_id", F.explode("starts").alias("start"), "n")
+    hot = F.col("contents") > piece
+    wanted = contents.join(several, "anchor").select("one.*", "anchor", hot.alias("hot"), (F.col("k") == 1).alias("single"))
+    opened = stored(_opened(docs, wanted, length), "suffix-opened")
+
+    # hot buckets, under their new anchors
+    anew = opened.filter("hot")
+    alike = anew.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "start")).alias("one"))
+    shared = alike.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.sum("k").alias("rows")).filter("rows > 1")
     pieces = F.ceil(F.col("contents") / piece).cast("int")
-    wanted = contents.join(several, "anchor").select(
-        "one.*", "anchor", F.pmod(F.xxhash64("content"), pieces).cast("int").alias("piece"), pieces.alias("pieces"), (F.col("k") == 1).alias("single")
+    anew = anew.join(shared, "anchor").join(alike, ["anchor", "content"])
+    settled_anew = anew.filter("k > 1 and single").select("doc_id", "start", "n")
+    anew = anew.filter((F.col("contents") > 1) & (F.struct("doc_id", "start") == F.col("one"))).select(
+        "doc_id", "anchor", F.pmod(F.xxhash64("content"), pieces).cast("int").alias("piece"), pieces.alias("pieces"), "place",
+        (F.col("single") & (F.col("k") == 1)).alias("single"), "start", "n", "raw",
     )
-    found = stored(_sorted_pieces(_opened(docs, wanted, length), length), "suffix-sorted")
-    # hot buckets: a suffix counts once for its piece however many equal ones are there
+    plain = opened.filter("not hot").select("doc_id", "anchor", F.lit(0).alias("piece"), F.lit(1).alias("pieces"), "place", "single", "start", "n", "raw")
+    found = stored(_sorted_pieces(plain.unionByName(anew), length), "suffix-sorted")
+
+    # what was split by content: each piece may hold an equal suffix
     open_ = found.filter("open")
     meet = open_.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("anchor", "hash")
     met = open_.filter("not done").join(meet, ["anchor", "hash"]).select("doc_id", "start", "n")
-    sorted_ = found.filter("not open").select("doc_id", "start", "n").unionByName(met).withColumn("n", F.col("n") + length - 1)
-    return settled.unionByName(sorted_).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = settled.unionByName(settled_anew).unionByName(found.filter("not open").select("doc_id", "start", "n")).unionByName(met)
+    spans = spans.withColumn("n", F.col("n") + length - 1)
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def op7(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
