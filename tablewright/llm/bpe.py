@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from tablewright.llm.common import per_batch, record
 
 #: Pieces remembered per Python worker.
-MEMORY = 600_000
+MEMORY = 1_200_000
 #: Longer pieces are not remembered.
 LONG_PIECE = 64
 
@@ -76,10 +76,19 @@ class Transducer:
         self.made_by = {m: (a, b, r) for (a, b), (r, m) in self.merges.items()}
         self.id_of = {b: i for i, b in self.bytes_of.items() if i not in set(self.special.values())}
         self.size_of = {i: len(b) for i, b in self.bytes_of.items()}
-        #: longest token by its first two bytes
-        self.reach: dict[bytes, int] = {}
-        for b in self.id_of:
-            self.reach[b[:2]] = max(len(b), self.reach.get(b[:2], 1))
+        #: a tree of all tokens: (node, byte) -> node, and the token that ends at a node
+        self.child: dict[int, int] = {}
+        self.token_at: list[int] = [-1]
+        for b, i in self.id_of.items():
+            node = 0
+            for byte in b:
+                key = node << 8 | byte
+                node = self.child.get(key, 0)
+                if not node:
+                    node = self.child[key] = len(self.token_at)
+                    self.token_at.append(-1)
+            self.token_at[node] = i
+        self.start_of: dict[int, int | None] = {}
         self.own = {}
         self.width = max(map(len, self.id_of))
         self.lookahead = self.width * self._longest_chain()
@@ -146,7 +155,7 @@ class Transducer:
                 a, limit = a_right, ra
             else:  # of equal merges the left one is done first
                 b, limit = b_left, rb + 1
-        if len(self.neighbours) > 4 * MEMORY:
+        if len(self.neighbours) > 2 * MEMORY:
             self.neighbours.clear()
         self.neighbours[left, right] = ok
         return ok
@@ -195,17 +204,23 @@ class Transducer:
 
     def longest(self, data: bytes, at: int) -> int:
         """Longest token that the bytes from ``at`` on start with."""
-        id_of = self.id_of
-        for n in range(min(self.reach.get(data[at:at + 2], 1), len(data) - at), 0, -1):
-            token = id_of.get(data[at:at + n])
-            if token is not None:
-                return token
-        raise ValueError("a byte is not in the vocabulary")
+        child, token_at, node, best = self.child, self.token_at, 0, -1
+        for byte in data[at:at + self.width]:
+            node = child.get(node << 8 | byte)
+            if node is None:
+                break
+            if token_at[node] >= 0:
+                best = token_at[node]
+        if best < 0:
+            raise ValueError("a byte is not in the vocabulary")
+        return best
 
     def shorter(self, token: int) -> int | None:
         """Longest token that is a proper start of another one."""
-        data = self.bytes_of[token]
-        return next((t for n in range(len(data) - 1, 0, -1) if (t := self.id_of.get(data[:n])) is not None), None)
+        if token not in self.start_of:
+            data = self.bytes_of[token]
+            self.start_of[token] = next((t for n in range(len(data) - 1, 0, -1) if (t := self.id_of.get(data[:n])) is not None), None)
+        return self.start_of[token]
 
     def within(self, data: bytes) -> tuple[int, ...]:
         """Ids of a piece that lies in the window as a whole: the same chain of neighbours, found from the front by

@@ -20,6 +20,7 @@ gives no file and an empty table.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import struct
@@ -42,7 +43,7 @@ SHARD_IDS = 1 << 21
 BLOCK_BITS = 1 << 15
 MAGIC = b"WVM1"
 #: Words remembered per Python worker.
-MEMORY = 1_000_000
+MEMORY = 1_500_000
 #: Characters encoded at a time, unless one text is longer.
 BLOCK_CHARS = 1 << 21
 
@@ -66,11 +67,7 @@ class WordEncoder:
         self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > MEMORY:
-            self.clear()
-        new = [w for w in words if w not in self.known]
-        if not new:
-            return
+        new = list(words)
         got = [e.ids for e in self.batch([w.decode() for w in new], add_special_tokens=False)]
         for i, w in enumerate(new, len(self.known)):
             self.known[w] = i
@@ -80,13 +77,15 @@ class WordEncoder:
         self.ids = np.append(self.ids, np.array([i for x in got for i in x], np.uint32))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.encode().split() for t in texts]
-        every = [w for ws in words for w in ws]
-        distinct = set(every)
+        words = [parts(t) for t in texts]
+        every = list(itertools.chain.from_iterable(words))
         if len(self.known) > MEMORY:
             self.clear()
-        self.learn(distinct)
-        index = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        index = np.fromiter(map(self.known.get, every, itertools.repeat(-1)), np.int64, len(every))
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            self.learn({every[i] for i in new.tolist()})
+            index[new] = [self.known[every[i]] for i in new.tolist()]
         sizes = self.size[index]
         which, place = stretch_index(sizes)
         ids = self.ids[self.first[index][which] + place]
@@ -94,6 +93,16 @@ class WordEncoder:
         return np.split(ids, ends[:-1]) if texts else []
 
 
+_ends = re.compile(rb"[.,;:!?](?<=[A-Za-z0-9].)[.,;:!?]*(?=[\t-\r ]|$)").sub
+
+
+def parts(text: str) -> list[bytes]:
+    """Words, with marks at the end of a plain word cut off and plain letters lowered, as the tokenizer would do: there
+    are fewer distinct ones. Special tokens are case sensitive, so texts with their opening are left alone."""
+    raw = text.encode()
+    return raw.split() if b"<|" in raw else _ends(rb" \g<0>", raw.lower()).split()
+
+
 @functools.lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
     """One per worker process, shared by the tasks it runs."""
@@ -105,19 +114,19 @@ def pack(ids: np.ndarray, doc_ids: list, sizes: list[int]) -> bytes:
     docs = zlib.compress(np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array(sizes, "<i8").tobytes() + bytes(d is None for d in doc_ids), 1)
     bits = max(1, int(ids.max()).bit_length() if len(ids) else 1)
     out = [MAGIC, struct.pack("<QIIQ", len(ids), bits, len(doc_ids), len(docs)), docs]
-    row = ids.astype(np.uint32)
+    row = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     for b in range(bits - 1, -1, -1):
-        plane = (row >> np.uint32(b)) & np.uint32(1)
-        ones = plane.astype(bool)
-        raw = np.packbits(ones).tobytes()
+        ones = (row & row.dtype.type(1 << b)).astype(bool)
+        packed = np.packbits(ones)
+        raw = packed.tobytes()
         step = BLOCK_BITS // 8
         blocks = [raw[i:i + step] for i in range(0, len(raw), step)]
         small = [zlib.compress(x, 1) for x in blocks]
         blocks = [min(x, y, key=len) for x, y in zip(blocks, small)]
-        per = np.add.reduceat(plane, np.arange(0, len(row), BLOCK_BITS), dtype=np.int64) if len(row) else np.zeros(0, np.int64)
+        per = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), step), dtype=np.int64) if len(row) else np.zeros(0, np.int64)
         before = np.cumsum(per) - per
         out += [struct.pack("<QI", len(row) - int(per.sum()), len(blocks)), before.astype("<u8").tobytes(), np.array([len(x) for x in blocks], "<u4").tobytes(), *blocks]
-        row = np.concatenate((row[~ones], row[ones]))
+        row = np.concatenate((row.take(np.flatnonzero(~ones)), row.take(np.flatnonzero(ones))))
     return b"".join(out)
 
 
@@ -208,12 +217,12 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All ids: the planes are undone from the lowest up, each put back into the order of the plane above."""
-        row = np.zeros(self.n, np.uint32)
+        row = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
             zeros, _, starts, _ = self.planes[level]
             ones = np.concatenate([self.block(level, i) for i in range(len(starts))]).astype(bool) if self.n else np.zeros(0, bool)
             up = np.empty_like(row)
-            up[~ones], up[ones] = row[:zeros], row[zeros:] | np.uint32(1 << (self.bits - 1 - level))
+            up[np.flatnonzero(~ones)], up[np.flatnonzero(ones)] = row[:zeros], row[zeros:] | row.dtype.type(1 << (self.bits - 1 - level))
             row = up
         return row
 
