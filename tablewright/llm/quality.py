@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import BLANKS, WORD, words_of
+from tablewright.llm.common import WORD, stored, words_of
 
 # Frequent function words by language.
 COMMON = {
@@ -63,25 +63,33 @@ def _repeated_words(words: Column) -> Column:
         covered = lambda p: F.aggregate(
             F.transform(p, lambda x, i: F.least(F.coalesce(F.get(p, i + 1) - x, F.lit(SPAN)), F.lit(SPAN)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x
         )
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(bound(bound(ordered, starts), covered))
+        return bound(bound(ordered, starts), covered)
 
     return bound(F.transform(words, lambda w: F.xxhash64(w)), lambda one: bound(
-        paired(one, 1), lambda two: bound(paired(two, 2), lambda four: bound(paired(four, 4), count))
+        paired(one, 1), lambda two: bound(paired(two, 2), lambda four: F.when(
+            F.size(F.array_distinct(four)) == F.size(four), F.lit(0).cast("long")  # no four words repeat
+        ).otherwise(bound(paired(four, 4), count)))
     ))
 
 
-def base_columns(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the plain counts of each text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(F.col("__text"), "\n"), lambda x: F.rlike(x, F.lit(WORD)))
+def _plain(docs: DataFrame) -> DataFrame:
+    """Adds ``__text __words __odd n_words word_chars n_symbols``; ``__odd`` is the text without small letters and
+    spaces, a small part of it, in which the rarer classes are counted."""
     return (
-        docs.withColumn("__text", text)
+        docs.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
         .withColumn("__words", words_of(F.col("__text")))
+        .withColumn("__odd", F.regexp_replace("__text", r"[\p{Ll} ]++", ""))
         .withColumn("n_words", F.size("__words").cast("long"))
-        .withColumn("__blank", _count(F.col("__text"), BLANKS))
-        .withColumn("word_chars", F.length("__text") - F.col("__blank"))
-        .withColumn("n_symbols", _count(F.col("__text"), SYMBOLS))
-        .withColumn("__lines", lines)
+        .withColumn("word_chars", F.length(F.array_join("__words", "")).cast("long"))
+        .withColumn("n_symbols", _count(F.col("__odd"), SYMBOLS))
+    )
+
+
+def base_columns(docs: DataFrame) -> DataFrame:
+    """The plain counts of each text."""
+    lines = F.filter(F.split(F.col("__text"), "\n"), lambda x: F.rlike(x, F.lit(WORD)))
+    return (
+        _plain(docs).withColumn("__lines", lines)
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
         .withColumn("n_repeat_words", _repeated_words(F.col("__words")))
         .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
@@ -89,17 +97,16 @@ def base_columns(docs: DataFrame) -> DataFrame:
 
 
 def _histograms(df: DataFrame) -> DataFrame:
-    """Adds ``__chars`` and ``__common`` to a table with ``__text __words __blank n_symbols lang``."""
-    t = F.col("__text")
+    """Adds ``__chars`` and ``__common``: counts by character class, and of the words listed for the language."""
     table = F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     every = sorted({w for v in COMMON.values() for w in v})
+    odd = F.col("__odd")
     return (
-        df.withColumn("__upper", _count(t, r"\p{Lu}")).withColumn("__punct", _count(t, PUNCTUATION)).withColumn("__digit", _count(t, DIGITS))
-        .withColumn("__other", F.length(t) - F.col("__upper") - F.col("__blank") - F.col("n_symbols") - F.col("__punct") - F.col("__digit"))
-        .withColumn("__chars", F.array("__other", "__upper", "__blank", "n_symbols", "__punct", "__digit"))
+        df.withColumn("__upper", _count(odd, r"\p{Lu}")).withColumn("__punct", _count(odd, PUNCTUATION)).withColumn("__digit", _count(odd, DIGITS))
+        .withColumn("__other", F.col("word_chars") - F.col("__upper") - F.col("n_symbols") - F.col("__punct") - F.col("__digit"))
+        .withColumn("__chars", F.array("__other", "__upper", F.length("__text") - F.col("word_chars"), "n_symbols", "__punct", "__digit"))
         .withColumn("__hits", F.filter("__words", lambda w: w.isin(*every)))
-        .withColumn("__list", table[F.col("lang")])
-        .withColumn("__common", F.transform("__list", lambda c: F.size(F.filter("__hits", lambda w: w == c)).cast("long")))
+        .withColumn("__common", F.transform(table[F.col("lang")], lambda c: (F.size("__hits") - F.size(F.array_remove("__hits", c))).cast("long")))
     )
 
 
@@ -117,14 +124,12 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
-def references(docs: DataFrame) -> dict[str | None, tuple[list[int], list[int]]]:
+def references(histograms: DataFrame) -> dict[str | None, tuple[list[int], list[int]]]:
     """Totals of both histograms by listed language, and over everything under None: at most one row per word list."""
-    slim = docs.select("lang", F.coalesce("text", F.lit("")).alias("__text")).withColumn("__words", words_of(F.col("__text")))
-    slim = slim.withColumn("__blank", _count(F.col("__text"), BLANKS)).withColumn("n_symbols", _count(F.col("__text"), SYMBOLS))
-    h = _histograms(slim).withColumn("__known", F.when(F.col("lang").isin(*COMMON), F.col("lang")))
+    h = histograms.withColumn("__known", F.when(F.col("lang").isin(*COMMON), F.col("lang")))
     width = max(map(len, COMMON.values()))
     sums = [F.sum(F.get("__chars", F.lit(i))).alias(f"c{i}") for i in range(CLASSES)]
-    sums += [F.sum(F.get("__common", F.lit(i))).alias(f"w{i}") for i in range(width)] + [F.sum(F.size("__words")).alias("n")]
+    sums += [F.sum(F.get("__common", F.lit(i))).alias(f"w{i}") for i in range(width)] + [F.sum("n_words").alias("n")]
     rows = h.groupBy("__known").agg(*sums).collect()
     out = {None: ([sum(r[f"c{i}"] or 0 for r in rows) for i in range(CLASSES)], [])}
     for r in rows:
@@ -134,10 +139,8 @@ def references(docs: DataFrame) -> dict[str | None, tuple[list[int], list[int]]]
     return out
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed chars_distance
-    words_distance kept``; columns of those names are replaced."""
-    refs = references(docs)
+def judged(counted: DataFrame, refs: dict) -> DataFrame:
+    """Adds ``chars_distance words_distance kept`` to rows with base counts and histograms."""
 
     def numbers(values: list[int]) -> Column:
         return F.array(*[F.lit(v).cast("long") for v in values])
@@ -148,8 +151,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
     rest = F.col("n_words") - F.aggregate("__common", F.lit(0).cast("long"), lambda s, x: s + x)
     out = (
-        _histograms(base_columns(docs))
-        .withColumn("__ref_chars", by_language(0, numbers(refs[None][0])))
+        counted.withColumn("__ref_chars", by_language(0, numbers(refs[None][0])))
         .withColumn("__ref_words", by_language(1, F.lit(None).cast("array<bigint>")))
         .withColumn("__own", F.concat("__common", F.array(rest)))
         .withColumn("chars_distance", js_distance(F.col("__chars"), F.col("__ref_chars")))
@@ -157,7 +159,15 @@ def quality(docs: DataFrame) -> DataFrame:
     )
     far = (F.col("n_words") >= MIN_CHARS_WORDS) & (F.coalesce("chars_distance", F.lit(0.0)) > MAX_CHARS_DISTANCE)
     far = far | ((F.col("n_words") >= MIN_COMMON_WORDS) & (F.coalesce("words_distance", F.lit(0.0)) > MAX_WORDS_DISTANCE))
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop(*[c for c in out.columns if c.startswith("__")])
+    return out.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` and ``n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed chars_distance
+    words_distance kept``; columns of those names are replaced. Texts are read twice, as they are not stored."""
+    refs = references(_histograms(_plain(docs.select("text", "lang"))))
+    out = judged(_histograms(base_columns(docs)), refs)
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
 def passing(docs: DataFrame) -> DataFrame:
@@ -166,5 +176,7 @@ def passing(docs: DataFrame) -> DataFrame:
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
-    return quality(docs.select("doc_id", "text", "lang")).select(*names)
+    """The counts are stored without the texts, so these are read once."""
+    names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed".split()
+    counted = stored(_histograms(base_columns(docs.select("doc_id", "text", "lang"))).select(*names, "lang", "__chars", "__common"), "quality")
+    return judged(counted, references(counted)).select(*names, "kept", "chars_distance", "words_distance")

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tablewright.llm import bpe, chat, language, mixing, quality, substrings, suffixes, wavelet
+from tablewright.llm import bpe, chat, kmeans_tree, language, minhash, mixing, quality, substrings, suffixes, wavelet
 
 
 def _docs(spark, folder):
     return spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
 
 
+def op1_minhash(spark, folder):
+    return minhash.op1(_docs(spark, folder))
+
+
+def op2_nearest_neighbours(spark, folder):
+    return kmeans_tree.op2(spark.read.parquet(f"{folder.rstrip('/')}/embeddings.parquet"))
+
+
 def op3_language_id(spark, folder):
     return language.op3(_docs(spark, folder))
 
@@ -43,6 +51,12 @@ def op10_quality_rules(spark, folder):
     return quality.op10(_docs(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_substring_dedup, op5_bpe, op6_chat_formatting, op7_suffix_dedup, op8_mixing, op9_token_output, op10_quality_rules)}
+def pipeline(spark, folder):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_nearest_neighbours, op3_language_id, op4_substring_dedup, op5_bpe, op6_chat_formatting, op7_suffix_dedup, op8_mixing, op9_token_output, op10_quality_rules, pipeline)}
 
 SQL: dict[str, str] = {}
