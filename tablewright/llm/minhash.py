@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import windows as w
@@ -30,10 +30,12 @@ from tablewright.llm.common import per_batch, record, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
-COMPONENTS = 64
-BAND = 4
-#: Agreeing components, as a share, below which a pair cannot be similar enough: 5 standard deviations from 0.8.
-AGREEMENT = 0.55
+COMPONENTS = 128
+BAND, BANDS = 5, 25
+#: Bits of a component that are kept for comparing two documents of a bucket, and agreeing components, as a share,
+#: below which a pair is not similar enough: nearly 4 standard deviations from what 0.8 gives.
+BITS = 4
+AGREEMENT = 0.68
 
 
 def shingles(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,7 +57,7 @@ def prob_minhash(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: i
     """Signatures, one row per document; documents without shingles have zeros."""
     total = np.bincount(owner, weights=weight, minlength=n_docs)
     sig = np.zeros((n_docs, m), np.uint64)
-    until = np.where(total > 0, (np.log(m) + 5) * m / np.maximum(total, 1), 0.0)
+    until = np.where(total > 0, (np.log(m) + 3) * m / np.maximum(total, 1), 0.0)
     todo = total > 0
     while todo.any():
         e = np.flatnonzero(todo[owner])
@@ -82,8 +84,27 @@ def prob_minhash(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: i
     return sig
 
 
+def packed(sig: np.ndarray) -> np.ndarray:
+    """The low bits of the components, 64 / BITS to a word."""
+    per = 64 // BITS
+    low = (sig & np.uint64((1 << BITS) - 1)).reshape(len(sig), -1, per)
+    return np.bitwise_or.reduce(low << (np.arange(per, dtype=np.uint64) * np.uint64(BITS)), axis=2)
+
+
+def differing(a: str, b: str) -> Column:
+    """Number of components in which two packed signatures differ."""
+    mask = int.from_bytes(b"\x11" * 8, "big")
+    total = F.lit(0)
+    for i in range(COMPONENTS * BITS // 64):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(mask)))
+    return total
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id h1 h2 bands sig``: two hashes of the word sequence, bucket keys, and 16 bits of each component."""
+    """``doc_id h1 h2 bands sig``: two hashes of the word sequence, bucket keys, and a few bits of each component, packed."""
 
     def build():
         def step(batch: pa.RecordBatch):
@@ -95,9 +116,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sig = prob_minhash(*shingles(values, bounds), k)
                 full = np.flatnonzero(np.diff(bounds) > 0)
                 sig = sig[full]
-                keys = np.zeros((len(full), COMPONENTS // BAND), np.uint64)
+                keys = np.zeros((len(full), BANDS), np.uint64)
                 for j in range(BAND):
-                    keys = w.scrambled(keys + sig[:, j::BAND] + np.arange(COMPONENTS // BAND, dtype=np.uint64))
+                    keys = w.scrambled(keys + sig[:, j:BAND * BANDS:BAND] + np.arange(BANDS, dtype=np.uint64))
                 whole, other = w.Prefix(values), w.Prefix(w.scrambled(values + np.uint64(77)))
                 lo, hi = bounds[:-1][full], bounds[1:][full]
 
@@ -106,13 +127,13 @@ def signatures(docs: DataFrame) -> DataFrame:
 
                 yield record(
                     doc_id=ids.slice(row, k).take(pa.array(full)), h1=whole.of(lo, hi).view(np.int64), h2=w.scrambled(other.of(lo, hi) + (hi - lo).astype(np.uint64)).view(np.int64),
-                    bands=lists(keys.view(np.int64), pa.int64()), sig=lists((sig & np.uint64(0x7FFF)).astype(np.int16), pa.int16()),
+                    bands=lists(keys.view(np.int64), pa.int64()), sig=lists(packed(sig).view(np.int64), pa.int64()),
                 )
 
         return step
 
     rows = docs.filter("doc_id is not null").select(docs["doc_id"].cast("long"), "text")
-    return per_batch(rows, build, "doc_id long, h1 long, h2 long, bands array<long>, sig array<short>")
+    return per_batch(rows, build, "doc_id long, h1 long, h2 long, bands array<long>, sig array<long>")
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -184,6 +205,23 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     return moved.select("doc_id", F.coalesce("root", "label").alias("label"))
 
 
+def _between_groups(buckets: DataFrame, labels: DataFrame, texts: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs ``a b``, a above b, from buckets that hold several groups: members outside the bucket's largest group with
+    members of other groups whose signatures agree enough; ``nearest`` keeps the best one for each other group."""
+    named = buckets.select("key", "doc_id").join(labels, "doc_id")
+    sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    mixed = stored(named.join(largest.select("key", F.col("top.label").alias("top")), "key").join(texts.select("doc_id", "sig"), "doc_id"), "minhash-mixed")
+    few = mixed.filter("label <> top").select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sa"))
+    many = mixed.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sb"), "top")
+    far = differing("sa", "sb")
+    # two small groups meet from both sides; one is enough
+    pairs = few.join(many, "key").filter("la <> lb and (lb = top or a > b)").filter(far <= int((1 - AGREEMENT) * COMPONENTS)).select("a", "b", "lb", far.alias("far"))
+    if nearest:
+        pairs = pairs.groupBy("a", "lb").agg(F.min(F.struct("far", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id class_id`` for every document; equal texts and linked texts share a class."""
     sigs = stored(signatures(docs), "minhash-signatures")
@@ -195,19 +233,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = texts.select("doc_id", F.col("doc_id").alias("label"))
     labels = stored(components(verified(stars, docs), labels), "minhash-labels")
 
-    # buckets of several groups: members outside the largest against members of other groups
-    named = buckets.select("key", "doc_id").join(labels, "doc_id")
-    sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    mixed = stored(named.join(largest.select("key", F.col("top.label").alias("top")), "key").join(texts.select("doc_id", "sig"), "doc_id"), "minhash-mixed")
-    few = mixed.filter("label <> top").select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sa"))
-    many = mixed.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sb"), "top")
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    # a pair of two small groups is met from both sides and kept once
-    pairs = few.join(many, "key").filter("la <> lb and (lb = top or a < b)").filter(agree >= int(AGREEMENT * COMPONENTS)).select("a", "b").distinct()
-    tried = stars.withColumn("t", F.lit(1))
-    pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    labels = components(verified(pairs, docs), labels)
+    tried = stars
+    for nearest in (True, False):
+        pairs = stored(_between_groups(buckets, labels, texts, nearest).join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
+        if pairs.isEmpty():
+            break
+        labels = stored(components(verified(pairs, docs), labels), "minhash-labels")
+        tried = tried.union(pairs)
 
     named = sigs.select("doc_id", "h1", "h2").join(texts.select("h1", "h2", F.col("doc_id").alias("t")), ["h1", "h2"])
     classes = named.join(labels.withColumnRenamed("doc_id", "t"), "t").select(F.col("doc_id").alias("__doc"), F.col("label").alias("__class")).distinct()

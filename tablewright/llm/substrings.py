@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablewright.llm import windows as w
 from tablewright.llm.common import per_batch, record, stored
@@ -116,7 +117,7 @@ def deduped(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     spans = duplicate_spans(docs, window).withColumnsRenamed({"doc_id": "__doc", "spans": "__spans"})
     rows = docs.join(spans, docs["doc_id"].cast("long") == F.col("__doc"), "left").drop("__doc")
-    schema = docs.schema.add("__kept", "string").add("__n_words", "long").add("__n_removed", "long")
+    schema = StructType(list(docs.schema.fields)).add("__kept", "string").add("__n_words", "long").add("__n_removed", "long")
     return per_batch(rows, build, schema)
 
 
