@@ -59,4 +59,48 @@ def pipeline(spark, folder):
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_nearest_neighbours, op3_language_id, op4_substring_dedup, op5_bpe, op6_chat_formatting, op7_suffix_dedup, op8_mixing, op9_token_output, op10_quality_rules, pipeline)}
 
-SQL: dict[str, str] = {}
+def _turn(column: str) -> str:
+    return f"replace(replace(coalesce({column}, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>')"
+
+
+#: Prefixes as whole strings, where the operator hashes them.
+SQL: dict[str, str] = {
+    "op6_chat_formatting": f"""
+        with turns as (
+            select conv_id, coalesce(role, chr(1)) || chr(2) || coalesce(text, chr(1)) as raw,
+                   '<|im_start|>' || {_turn("role")} || chr(10) || {_turn("text")} || '<|im_end|>' || chr(10) as line,
+                   row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as i
+            from conversations where conv_id is not null
+        ), prefixes as (
+            select conv_id, i, string_agg(raw, chr(3)) over (partition by conv_id order by i rows unbounded preceding) as prefix,
+                   string_agg(line, '') over (partition by conv_id order by i rows unbounded preceding) as rendered,
+                   max(i) over (partition by conv_id) as n
+            from turns
+        ), whole as (
+            select min(conv_id) as conv_id, max(n) as n_turns, count(*) as n_copies, any_value(rendered) as rendered, prefix
+            from prefixes where i = n group by prefix
+        )
+        select conv_id, n_turns, n_copies, rendered from whole
+        where prefix not in (select prefix from prefixes where i < n)
+    """,
+    "op4_substring_dedup": """
+        with texts as (
+            select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from documents
+        ), windows as (
+            select doc_id, i, hash(list_slice(words, i, i + 49)) as h, md5(array_to_string(list_slice(words, i, i + 49), ' ')) as m
+            from (select doc_id, words, unnest(range(1, len(words) - 48)) as i from texts)
+        ), firsts as (
+            select h, m, min(doc_id) as owner from windows group by h, m
+        ), gone as (
+            select distinct doc_id, i + j as place
+            from (select w.doc_id, w.i from windows w join firsts f using (h, m) where f.owner < w.doc_id), range(0, 50) r(j)
+        ), placed as (
+            select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as place from texts
+        ), kept as (
+            select doc_id, string_agg(word, ' ' order by place) as kept, count(*) as n
+            from placed p where not exists (select 1 from gone g where g.doc_id = p.doc_id and g.place = p.place) group by doc_id
+        )
+        select t.doc_id, len(words)::bigint as n_words, (len(words) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+        from texts t left join kept k using (doc_id)
+    """,
+}
