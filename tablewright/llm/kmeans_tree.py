@@ -28,7 +28,7 @@ from tablewright.llm.common import per_batch, record, ship, stored
 
 SAMPLE = 20_000
 LEAVES = 4096
-LEAF_ROWS = 512
+LEAF_ROWS = 4096
 BRANCHES = 16
 CALIBRATION = 200
 RECALL = 0.97
