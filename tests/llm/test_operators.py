@@ -72,7 +72,8 @@ def test_signature_estimates_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - 0.5) < 0.04
 
 
-def test_nearest_neighbours(spark):
+def test_nearest_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(kmeans_tree, "LEAF_ROWS", 256)
     rng = np.random.default_rng(3)
     v = rng.normal(size=(3000, 16)) + np.repeat(rng.normal(size=(10, 16)) * 4, 300, axis=0)
     v[5:900:20] = v[5]
