@@ -9,9 +9,10 @@ empty component left goes on to twice that time. No later arrival could change a
 
 Equal word sequences are one text from here on. Bands of four components make buckets. First each member of a bucket is
 compared with the bucket's smallest, in a star; the groups so far come from connected components. Only buckets that
-still hold several groups are looked at again: there, members outside the largest group are compared with members of
-other groups whose signatures agree enough. So every pair of different texts in a bucket is compared or already
-connected, and no group of copies is expanded into its pairs. Links are verified on the whole texts.
+still hold several groups are looked at again: there, members of different groups are compared when their rarest
+shingles and their signatures leave a link possible. So every pair of different texts in a bucket is compared, ruled
+out by a bound, or already connected, and no group of copies is expanded into its pairs. Links are verified on the whole
+texts.
 
 Defined results: a text with fewer than five words is one shingle; a text without words, or null, is a group of its own;
 a group is named by its smallest doc_id; repeated rows with one doc_id are one document and stay together; a null doc_id
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm import windows as w
@@ -32,10 +33,13 @@ SHINGLE = 5
 SIMILARITY = 0.8
 COMPONENTS = 128
 BAND, BANDS = 5, 25
-#: Bits of a component that are kept for comparing two documents of a bucket, and agreeing components, as a share,
-#: below which a pair is not similar enough: nearly 4 standard deviations from what 0.8 gives.
-BITS = 4
-AGREEMENT = 0.68
+#: Components of the longer sketch that documents of mixed buckets get, bits kept of each, and agreeing components, as a
+#: share, below which a pair is not similar enough: nearly 4 standard deviations from what 0.8 gives.
+SKETCH = 1024
+BITS = 2
+AGREEMENT = 0.806
+#: Documents whose longer sketch is drawn at a time.
+SKETCH_ROWS = 64
 
 
 def shingles(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,6 +88,11 @@ def prob_minhash(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: i
     return sig
 
 
+def lists(x: np.ndarray) -> pa.ListArray:
+    """Rows of 64-bit numbers as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1).view(np.int64)))
+
+
 def packed(sig: np.ndarray) -> np.ndarray:
     """The low bits of the components, 64 / BITS to a word."""
     per = 64 // BITS
@@ -93,18 +102,17 @@ def packed(sig: np.ndarray) -> np.ndarray:
 
 def differing(a: str, b: str) -> Column:
     """Number of components in which two packed signatures differ."""
-    mask = int.from_bytes(b"\x11" * 8, "big")
+    mask = int.from_bytes(b"\x55" * 8, "big")
     total = F.lit(0)
-    for i in range(COMPONENTS * BITS // 64):
+    for i in range(SKETCH * BITS // 64):
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         total = total + F.bit_count(x.bitwiseAND(F.lit(mask)))
     return total
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id h1 h2 bands sig``: two hashes of the word sequence, bucket keys, and a few bits of each component, packed."""
+    """``doc_id h1 h2 bands``: two hashes of the word sequence and bucket keys."""
 
     def build():
         def step(batch: pa.RecordBatch):
@@ -122,18 +130,15 @@ def signatures(docs: DataFrame) -> DataFrame:
                 whole, other = w.Prefix(values), w.Prefix(w.scrambled(values + np.uint64(77)))
                 lo, hi = bounds[:-1][full], bounds[1:][full]
 
-                def lists(x, kind):
-                    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1), kind))
-
                 yield record(
                     doc_id=ids.slice(row, k).take(pa.array(full)), h1=whole.of(lo, hi).view(np.int64), h2=w.scrambled(other.of(lo, hi) + (hi - lo).astype(np.uint64)).view(np.int64),
-                    bands=lists(keys.view(np.int64), pa.int64()), sig=lists(packed(sig).view(np.int64), pa.int64()),
+                    bands=lists(keys),
                 )
 
         return step
 
     rows = docs.filter("doc_id is not null").select(docs["doc_id"].cast("long"), "text")
-    return per_batch(rows, build, "doc_id long, h1 long, h2 long, bands array<long>, sig array<long>")
+    return per_batch(rows, build, "doc_id long, h1 long, h2 long, bands array<long>")
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -205,27 +210,90 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     return moved.select("doc_id", F.coalesce("root", "label").alias("label"))
 
 
-def _between_groups(buckets: DataFrame, labels: DataFrame, texts: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs ``a b``, a above b, from buckets that hold several groups: members outside the bucket's largest group with
-    members of other groups whose signatures agree enough; ``nearest`` keeps the best one for each other group."""
+def _elements(docs: DataFrame) -> DataFrame:
+    """``doc_id h p``: distinct shingles of each document and their share of all its shingles."""
+
+    def build():
+        def step(batch: pa.RecordBatch):
+            ids = batch.column("doc_id")
+            for row, data, offsets in w.text_blocks(batch.column("text")):
+                starts, ends, bounds = w.word_spans(data, offsets)
+                owner, h, n = shingles(w.word_values(data, starts, ends), bounds)
+                total = np.bincount(owner, weights=n, minlength=len(bounds) - 1)
+                yield record(doc_id=ids.slice(row, len(bounds) - 1).take(pa.array(owner)), h=h.view(np.int64), p=n / total[owner])
+
+        return step
+
+    return per_batch(docs.select("doc_id", "text"), build, "doc_id long, h long, p double")
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``doc_id sig``: a few bits of each component of a longer signature, packed."""
+
+    def build():
+        def step(batch: pa.RecordBatch):
+            ids = batch.column("doc_id")
+            for row, data, offsets in w.text_blocks(batch.column("text")):
+                starts, ends, bounds = w.word_spans(data, offsets)
+                owner, h, n = shingles(w.word_values(data, starts, ends), bounds)
+                for lo in range(0, len(bounds) - 1, SKETCH_ROWS):
+                    hi = min(lo + SKETCH_ROWS, len(bounds) - 1)
+                    a, b = np.searchsorted(owner, (lo, hi))
+                    sig = prob_minhash(owner[a:b] - lo, h[a:b], n[a:b], hi - lo, SKETCH)
+                    yield record(doc_id=ids.slice(row + lo, hi - lo), sig=lists(packed(sig)))
+
+        return step
+
+    return per_batch(docs.select("doc_id", "text"), build, "doc_id long, sig array<long>")
+
+
+def _between_groups(buckets: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs ``a b lb far`` of members of different groups, from the documents whose buckets hold several groups.
+
+    Members of a bucket meet on their rarest shingles only. Let u and v be the shares of two documents' shingles that the
+    other lacks. Their similarity is at most 2 / ((1 + u) / (1 - u) + (1 + v) / (1 - v)), so u and v of a linked pair keep
+    within a bound, and the rarest shingle they share has no more than u and v before it. A passage that thousands of
+    otherwise different documents hold comes late in that order, so they do not meet. Shingles of one group only count as
+    not shared. The pairs are complete for the buckets; ``lb`` is the larger group and ``b`` its member.
+    """
     named = buckets.select("key", "doc_id").join(labels, "doc_id")
-    sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    mixed = stored(named.join(largest.select("key", F.col("top.label").alias("top")), "key").join(texts.select("doc_id", "sig"), "doc_id"), "minhash-mixed")
-    few = mixed.filter("label <> top").select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sa"))
-    many = mixed.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sb"), "top")
-    far = differing("sa", "sb")
-    # two small groups meet from both sides; one is enough
-    pairs = few.join(many, "key").filter("la <> lb and (lb = top or a > b)").filter(far <= int((1 - AGREEMENT) * COMPONENTS)).select("a", "b", "lb", far.alias("far"))
-    if nearest:
-        pairs = pairs.groupBy("a", "lb").agg(F.min(F.struct("far", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    several = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    members = named.join(several, "key", "left_semi").select("doc_id", "label").distinct()
+    members = stored(members.join(sizes, "label"), "minhash-mixed")
+
+    whole = docs.filter("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    whole = whole.join(members.select("doc_id"), "doc_id", "left_semi")
+    # a document that rows repeat is sketched once
+    drawn = sketches(whole).groupBy("doc_id").agg(F.min("sig").alias("sig"))
+    parts = stored(_elements(whole).join(members.select("doc_id", "label"), "doc_id"), "minhash-elements")
+    common = parts.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("h", "n")
+    own = Window.partitionBy("doc_id")
+    # rows that repeat a document make this smaller, never larger
+    before = 1 - F.sum("p").over(own) + F.sum("p").over(own.orderBy("n", "h")) - F.col("p")
+    rare = parts.join(common, "h").withColumn("before", F.greatest(before, F.lit(0.0))).filter(F.col("before") <= 1 - SIMILARITY + 1e-9).select("doc_id", "h", "before")
+    rare = stored(rare.join(members, "doc_id").join(drawn, "doc_id"), "minhash-rare")
+
+    side = lambda x: [F.col(c).alias(c[0] + x) for c in ("doc_id", "before", "label", "size")] + [F.col("sig").alias("g" + x)]
+    # one of the two has no more than this before the shingle
+    near = (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9
+    load = lambda b: (1 + F.col(b)) / (1 - F.col(b))
+    left, right = rare.filter(F.col("before") <= near).select("h", *side("1")), rare.select("h", *side("2"))
+    far = differing("g1", "g2")
+    met = left.join(right, "h").filter(
+        (F.col("l1") != F.col("l2")) & ((F.col("b2") > near) | (F.col("d1") < F.col("d2")))
+        & (load("b1") + load("b2") <= 2 / SIMILARITY + 1e-6) & (far <= int((1 - AGREEMENT) * SKETCH))
+    )
+    swap = F.struct("s1", "l1") > F.struct("s2", "l2")
+    pick = lambda x: F.when(swap, F.col(x + "2")).otherwise(F.col(x + "1"))
+    other = lambda x: F.when(swap, F.col(x + "1")).otherwise(F.col(x + "2"))
+    return met.select(pick("d").alias("a"), other("d").alias("b"), other("l").alias("lb"), far.alias("far")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id class_id`` for every document; equal texts and linked texts share a class."""
     sigs = stored(signatures(docs), "minhash-signatures")
-    texts = stored(sigs.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("t")).select("h1", "h2", "t.*"), "minhash-texts")
+    texts = stored(sigs.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("t")).select("h1", "h2", "t.*"), "minhash-texts")
     buckets = texts.select("doc_id", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("hi")).filter("b < hi").select("key", "b")
     buckets = stored(buckets.join(shared, "key"), "minhash-buckets")
@@ -233,13 +301,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = texts.select("doc_id", F.col("doc_id").alias("label"))
     labels = stored(components(verified(stars, docs), labels), "minhash-labels")
 
-    tried = stars
-    for nearest in (True, False):
-        pairs = stored(_between_groups(buckets, labels, texts, nearest).join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
-        if pairs.isEmpty():
-            break
-        labels = stored(components(verified(pairs, docs), labels), "minhash-labels")
-        tried = tried.union(pairs)
+    tried = stars.union(stars.select("b", "a"))
+    pairs = stored(_between_groups(buckets, labels, docs).join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
+    # the nearest member of each other group first; what this leaves in different groups afterwards
+    first = stored(pairs.groupBy("a", "lb").agg(F.min(F.struct("far", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "minhash-first")
+    if not first.isEmpty():
+        labels = stored(components(verified(first, docs), labels), "minhash-labels")
+        now = lambda x: labels.select(F.col("doc_id").alias(x), F.col("label").alias("now_" + x))
+        rest = pairs.join(first, ["a", "b"], "left_anti").join(now("a"), "a").join(now("b"), "b").filter("now_a <> now_b").select("a", "b")
+        rest = stored(rest, "minhash-rest")
+        if not rest.isEmpty():
+            labels = stored(components(verified(rest, docs), labels), "minhash-labels")
 
     named = sigs.select("doc_id", "h1", "h2").join(texts.select("h1", "h2", F.col("doc_id").alias("t")), ["h1", "h2"])
     classes = named.join(labels.withColumnRenamed("doc_id", "t"), "t").select(F.col("doc_id").alias("__doc"), F.col("label").alias("__class")).distinct()
