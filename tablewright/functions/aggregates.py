@@ -41,9 +41,16 @@ def json_agg(value: Column, order: Sequence[str] = ()) -> Column:
 
 
 def json_object_agg(key: Column, value: Column) -> Column:
-    """JSON object from key/value rows, keys sorted, NULL values kept."""
-    pairs = F.sort_array(F.collect_list(F.struct(key.alias("k"), value.alias("v"))))
-    return F.to_json(F.map_from_entries(pairs), {"ignoreNullFields": "false"})
+    """JSON object from key/value rows, keys sorted, NULL values and repeated keys kept; a NULL key is an error."""
+
+    def text(v: Column) -> Column:
+        whole = F.to_json(F.struct(v.alias("x")), {"ignoreNullFields": "false"})
+        return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+    name = F.coalesce(key.cast("string"), F.raise_error(F.lit("a key of a JSON object is NULL")).cast("string"))
+    pair = F.concat(text(name), F.lit(":"), text(value))
+    pairs = F.sort_array(F.collect_list(F.struct(key.alias("k"), value.alias("v"), pair.alias("t"))))
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: p["t"]), ","), F.lit("}"))
 
 
 def hypothetical(value: Column, arg: Column) -> dict[str, Column]:

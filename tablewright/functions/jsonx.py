@@ -84,16 +84,22 @@ def strip_nulls(j: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(marked, ",\u0000", ""), "\u0000", "")
 
 
+def _names(j: Column) -> Column:
+    """Keys of an object, or the strings of an array."""
+    texts = F.filter(elements(j), lambda x: F.startswith(F.ltrim(x), F.lit('"')))
+    return F.coalesce(keys(j), F.transform(texts, lambda x: F.get_json_object(F.concat(F.lit("["), x, F.lit("]")), "$[0]")))
+
+
 def has_key(j: Column, key: str) -> Column:
-    return F.array_contains(keys(j), key)
+    return F.array_contains(_names(j), key)
 
 
 def has_any(j: Column, names: Sequence[str]) -> Column:
-    return F.arrays_overlap(keys(j), F.array(*[F.lit(n) for n in names]))
+    return F.arrays_overlap(_names(j), F.array(*[F.lit(n) for n in names]))
 
 
 def has_all(j: Column, names: Sequence[str]) -> Column:
-    return F.size(F.array_except(F.array(*[F.lit(n) for n in names]), keys(j))) == 0
+    return F.size(F.array_except(F.array(*[F.lit(n) for n in names]), _names(j))) == 0
 
 
 def concat(a: Column, b: Column) -> Column:

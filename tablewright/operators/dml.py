@@ -109,7 +109,7 @@ def apply_diff(old: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFr
 
 def notifications(changes: DataFrame, table: str, key: Sequence[str]) -> DataFrame:
     """One text per changed row: table, operation letter and key values."""
-    pairs = F.concat_ws(",", *[F.concat(F.lit(f"\"{k}\"='"), F.col(k).cast("string"), F.lit("'")) for k in key])
+    pairs = F.concat_ws(",", *[F.concat(F.lit(f"\"{k}\"='"), F.replace(F.col(k).cast("string"), F.lit("'"), F.lit("''")), F.lit("'")) for k in key])
     return changes.select(*key, "op", F.concat(F.lit(f'"{table}",'), F.col("op"), F.lit(","), pairs).alias("payload"))
 
 

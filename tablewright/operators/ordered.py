@@ -351,7 +351,8 @@ def exact_percentiles(
     Equal values are counted first and only cumulative counts are compared, so
     no task holds the values of a key. ``disc`` works for any ordered type.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    every = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = every.filter(F.col(value).isNotNull())
     ranked = running(counts, keys, [value], {"__cum": ("sum", "__n")}, totals={"__total": ("sum", "__n")})
     total, high = F.col("__total"), F.col("__cum") - 1
     low = F.col("__cum") - F.col("__n")
@@ -373,13 +374,19 @@ def exact_percentiles(
             ]
             lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
             outs.append((lo + (hi - lo) * F.col(f"__f_{name}")).alias(name))
-    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *outs)
+    out = ranked.groupBy(*keys).agg(*aggs).select(*keys, *outs)
+    if not keys:
+        return out
+    # a key whose values are all NULL has NULL quantiles
+    void = every.groupBy(*keys).agg(F.count(value).alias("__n")).filter("__n = 0").select(*keys)
+    return out.unionByName(void, allowMissingColumns=True)
 
 
 def modes(df: DataFrame, keys: Sequence[str], value: str, into: str = "mode") -> DataFrame:
-    """Most frequent value per key; the smallest of equally frequent ones."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("__n"), F.col(value))).alias(into))
+    """Most frequent value per key; the smallest of equally frequent ones; NULL if all are."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    place = F.when(F.col(value).isNotNull(), F.struct(-F.col("__n"), F.col(value)))
+    return counts.groupBy(*keys).agg(F.min_by(value, place).alias(into))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int = 1) -> DataFrame:

@@ -76,9 +76,11 @@ class Cursor:
         if self.last is None:
             return self.df
         here = F.struct(*[F.col(c) for c in self.order])
-        there = F.struct(*[F.lit(self.last[c]).alias(c) for c in self.order])
+        there = F.struct(*[F.lit(self.last[c]).cast(self.df.schema[c].dataType).alias(c) for c in self.order])
+        # NULLs come first, in structs as in the order
+        rest, first = self.df.filter(here > there), self.order[0]
         # the plain comparison on the first column reaches the file scan
-        return self.df.filter((F.col(self.order[0]) >= self.last[self.order[0]]) & (here > there))
+        return rest if self.last[first] is None else rest.filter(F.col(first) >= self.last[first])
 
 
 def _bag(a: DataFrame, b: DataFrame) -> DataFrame:

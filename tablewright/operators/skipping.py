@@ -65,6 +65,8 @@ def bucket_of(edges: Sequence[float], value: Column) -> Column:
             found = F.when(group == 0, F.lit(0)).otherwise(
                 (group - 1) * FANOUT + below(F.get(nested, F.greatest(group - 1, F.lit(0))))
             )
+    if not edges:
+        return F.when(value.isNotNull(), F.lit(OUTSIDE))
     return F.when((value < edges[0]) | (value > edges[-1]), F.lit(OUTSIDE)).otherwise(found)
 
 
@@ -72,6 +74,8 @@ def predicate_buckets(edges: Sequence[float], op: str, value: float, value2: flo
     """Buckets that can hold a match for ``< <= = >= > between``."""
     import bisect
 
+    if not edges:  # no histogram: every value lies outside
+        return [OUTSIDE]
     last = len(edges) - 2
     place = lambda v: min(max(bisect.bisect_right(edges, v) - 1, 0), last)
     # a run of equal edges is one value: take every bucket that touches it

@@ -71,6 +71,9 @@ def drop_unchanged(changes: DataFrame, stored: DataFrame, key: Sequence[str], co
 # Words of the feed text for each operation.
 FEED_WORDS = {"I": "INSERT", "U": "UPDATE", "D": "DELETE"}
 
+#: Types whose values a feed shows without quotes.
+PLAIN = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean")
+
 
 def feed_texts(
     changes: DataFrame, table: str, key: Sequence[str], columns: Sequence[str], op: str, xid: str, seq: str,
@@ -85,7 +88,7 @@ def feed_texts(
 
     def cell(c: str) -> Column:
         v = F.col(c).cast("string")
-        shown = F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("''")), F.lit("'")) if types[c] == "string" else v
+        shown = v if types[c].split("(")[0] in PLAIN else F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("''")), F.lit("'"))
         return F.concat(F.lit(f"{c}[{types[c]}]:"), F.coalesce(shown, F.lit("null")))
 
     word = F.col(op)
