@@ -211,7 +211,7 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _elements(docs: DataFrame) -> DataFrame:
-    """``doc_id h p``: distinct shingles of each document and their share of all its shingles."""
+    """``doc_id label h p``: distinct shingles of each document and their share of all its shingles."""
 
     def build():
         def step(batch: pa.RecordBatch):
@@ -220,11 +220,12 @@ def _elements(docs: DataFrame) -> DataFrame:
                 starts, ends, bounds = w.word_spans(data, offsets)
                 owner, h, n = shingles(w.word_values(data, starts, ends), bounds)
                 total = np.bincount(owner, weights=n, minlength=len(bounds) - 1)
-                yield record(doc_id=ids.slice(row, len(bounds) - 1).take(pa.array(owner)), h=h.view(np.int64), p=n / total[owner])
+                at = pa.array(owner + row)
+                yield record(doc_id=ids.take(at), label=batch.column("label").take(at), h=h.view(np.int64), p=n / total[owner])
 
         return step
 
-    return per_batch(docs.select("doc_id", "text"), build, "doc_id long, h long, p double")
+    return per_batch(docs.select("doc_id", "label", "text"), build, "doc_id long, label long, h long, p double")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -263,15 +264,15 @@ def _between_groups(buckets: DataFrame, labels: DataFrame, docs: DataFrame) -> D
     members = stored(members.join(sizes, "label"), "minhash-mixed")
 
     whole = docs.filter("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    whole = whole.join(members.select("doc_id"), "doc_id", "left_semi")
-    # a document that rows repeat is sketched once
-    drawn = sketches(whole).groupBy("doc_id").agg(F.min("sig").alias("sig"))
-    parts = stored(_elements(whole).join(members.select("doc_id", "label"), "doc_id"), "minhash-elements")
+    parts = stored(_elements(whole.join(members.select("doc_id", "label"), "doc_id")), "minhash-elements")
     common = parts.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("h", "n")
     own = Window.partitionBy("doc_id")
     # rows that repeat a document make this smaller, never larger
     before = 1 - F.sum("p").over(own) + F.sum("p").over(own.orderBy("n", "h")) - F.col("p")
     rare = parts.join(common, "h").withColumn("before", F.greatest(before, F.lit(0.0))).filter(F.col("before") <= 1 - SIMILARITY + 1e-9).select("doc_id", "h", "before")
+    rare = stored(rare, "minhash-rare")
+    # a document that rows repeat is sketched once
+    drawn = sketches(whole.join(rare.select("doc_id").distinct(), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("sig").alias("sig"))
     rare = stored(rare.join(members, "doc_id").join(drawn, "doc_id"), "minhash-rare")
 
     side = lambda x: [F.col(c).alias(c[0] + x) for c in ("doc_id", "before", "label", "size")] + [F.col("sig").alias("g" + x)]
