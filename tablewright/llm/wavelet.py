@@ -46,6 +46,8 @@ MAGIC = b"WVM1"
 MEMORY = 1_500_000
 #: Characters encoded at a time, unless one text is longer.
 BLOCK_CHARS = 1 << 21
+#: Unknown words given to the library in one line.
+LINE_WORDS = 1 << 13
 
 
 class WordEncoder:
@@ -60,6 +62,9 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        #: whether an id ends a piece
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -67,14 +72,27 @@ class WordEncoder:
         self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words)
-        got = [e.ids for e in self.batch([w.decode() for w in new], add_special_tokens=False)]
-        for i, w in enumerate(new, len(self.known)):
-            self.known[w] = i
-        size = np.array([len(x) for x in got], np.int64)
+        plain, other = [], []
+        for w in words:
+            (plain if (t := w.decode()).isalpha() else other).append(t)
+        for i in range(0, len(plain), LINE_WORDS):
+            line = plain[i:i + LINE_WORDS]
+            ids = np.array(self.batch([" ".join(line)], add_special_tokens=False)[0].ids, np.uint32)
+            # letters alone are one piece or more, so as many ends as words means one each
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(line):
+                self.remember(line, np.diff(last, prepend=-1), ids)
+            else:
+                other += line
+        got = [e.ids for e in self.batch(other, add_special_tokens=False)]
+        self.remember(other, np.array([len(x) for x in got], np.int64), np.array([i for x in got for i in x], np.uint32))
+
+    def remember(self, words: list[str], size: np.ndarray, ids: np.ndarray) -> None:
+        for i, w in enumerate(words, len(self.known)):
+            self.known[w.encode()] = i
         self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)
         self.size = np.append(self.size, size)
-        self.ids = np.append(self.ids, np.array([i for x in got for i in x], np.uint32))
+        self.ids = np.append(self.ids, ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [parts(t) for t in texts]
