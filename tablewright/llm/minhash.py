@@ -157,8 +157,8 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float(np.sum(1.0 / (above[common] / x[common] + below[common] / y[common])))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs ``a b`` whose texts are similar enough."""
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs ``a b`` whose texts, from ``doc_id text``, are similar enough."""
 
     def weighted(text: bytes):
         data = np.frombuffer(text, np.uint8)
@@ -181,7 +181,6 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
 
         return step
 
-    texts = docs.filter("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
@@ -248,7 +247,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return per_batch(docs.select("doc_id", "text"), build, "doc_id long, sig array<long>")
 
 
-def _between_groups(buckets: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+def _between_groups(buckets: DataFrame, labels: DataFrame, whole: DataFrame) -> DataFrame:
     """Pairs ``a b lb far`` of members of different groups, from the documents whose buckets hold several groups.
 
     Members of a bucket meet on their rarest shingles only. Let u and v be the shares of two documents' shingles that the
@@ -264,7 +263,6 @@ def _between_groups(buckets: DataFrame, labels: DataFrame, docs: DataFrame) -> D
     members = named.join(several, "key", "left_semi").select("doc_id", "label").distinct()
     members = stored(members.join(sizes, "label"), "minhash-mixed")
 
-    whole = docs.filter("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     parts = stored(_elements(whole.join(members.select("doc_id", "label"), "doc_id")), "minhash-elements")
     common = parts.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("h", "n")
     own = Window.partitionBy("doc_id")
@@ -300,20 +298,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = buckets.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("hi")).filter("b < hi").select("key", "b")
     buckets = stored(buckets.join(shared, "key"), "minhash-buckets")
     stars = buckets.filter("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct()
+    # only the texts that share a bucket are needed from here on; all texts go through a shuffle once
+    whole = docs.filter("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    whole = stored(whole.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), "minhash-whole")
     labels = texts.select("doc_id", F.col("doc_id").alias("label"))
-    labels = stored(components(verified(stars, docs), labels), "minhash-labels")
+    labels = stored(components(verified(stars, whole), labels), "minhash-labels")
 
     tried = stars.union(stars.select("b", "a"))
-    pairs = stored(_between_groups(buckets, labels, docs).join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
+    pairs = stored(_between_groups(buckets, labels, whole).join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
     # the nearest member of each other group first; what this leaves in different groups afterwards
     first = stored(pairs.groupBy("a", "lb").agg(F.min(F.struct("far", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "minhash-first")
     if not first.isEmpty():
-        labels = stored(components(verified(first, docs), labels), "minhash-labels")
+        labels = stored(components(verified(first, whole), labels), "minhash-labels")
         now = lambda x: labels.select(F.col("doc_id").alias(x), F.col("label").alias("now_" + x))
         rest = pairs.join(first, ["a", "b"], "left_anti").join(now("a"), "a").join(now("b"), "b").filter("now_a <> now_b").select("a", "b")
         rest = stored(rest, "minhash-rest")
         if not rest.isEmpty():
-            labels = stored(components(verified(rest, docs), labels), "minhash-labels")
+            labels = stored(components(verified(rest, whole), labels), "minhash-labels")
 
     named = sigs.select("doc_id", "h1", "h2").join(texts.select("h1", "h2", F.col("doc_id").alias("t")), ["h1", "h2"])
     classes = named.join(labels.withColumnRenamed("doc_id", "t"), "t").select(F.col("doc_id").alias("__doc"), F.col("label").alias("__class")).distinct()
