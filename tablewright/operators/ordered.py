@@ -73,19 +73,19 @@ def _search_tree(value: Column, bounds: Column, n: int, desc: bool) -> Column:
 
 
 def chunk_of(df: DataFrame, order: Sequence[str], chunks: int | None = None) -> Column:
-    """Chunk number of a row along ``order``; bounds come from a bounded sample.
+    """Chunk number of a row along ``order``; bounds come from a sample of about
+    ``SAMPLES_PER_CHUNK`` rows a chunk.
 
     The first order column alone decides unless one of its values fills several chunks.
     """
     chunks = chunks or default_chunks(df)
     position, desc = _position(order)
+    # the count only sets the rate: each task draws on its own and sends few rows
+    rate = min(1.0, chunks * SAMPLES_PER_CHUNK / max(1, df.count()))
     sample = (
-        df.select(position.alias("p"))
-        .withColumn("r", F.rand(17))
-        .orderBy("r")
-        .limit(chunks * SAMPLES_PER_CHUNK)
-        .orderBy(F.col("p").desc() if desc else F.col("p").asc())
-        .select(F.to_json("p").alias("j"))
+        df.select(position.alias("p")).sample(rate, 17)
+        .agg(F.sort_array(F.collect_list("p"), asc=not desc).alias("ps"))
+        .select(F.explode("ps").alias("p")).select(F.to_json("p").alias("j"))
     )
     drawn = [row.j for row in sample.collect()]
     step = max(1, len(drawn) // chunks)

@@ -139,13 +139,13 @@ def circle_functions(t):
 @query(
     "point_in_polygon_join", "2.15.14",
     f"""
-    WITH n AS (SELECT 1.5 / sqrt(count(*)) AS h FROM embeddings), a AS (SELECT vec_id AS area_id, e0 AS cx, e1 AS cy, h FROM {E_SQL}, n)
-    SELECT area_id, p.vec_id FROM a JOIN (SELECT vec_id, e0 AS x, e1 AS y FROM {E_SQL}) p ON vec_id <> area_id AND abs(x - cx) + abs(y - cy) < h
+    WITH a AS (SELECT vec_id AS area_id, e0 AS cx, e1 AS cy FROM {E_SQL})
+    SELECT area_id, p.vec_id FROM a JOIN (SELECT vec_id, e0 AS x, e1 AS y FROM {E_SQL}) p ON vec_id <> area_id AND abs(x - cx) + abs(y - cy) < 0.05
     """,
 )
 def point_in_polygon_join(t):
-    # one diamond about each vector; its size falls with the density of points
-    h = 1.5 / t.embeddings.count() ** 0.5
+    # one diamond about each vector
+    h = 0.05
     v = vecs(t)
     x, y = F.col("p.x"), F.col("p.y")
     diamond = F.array(geo.point(x - h, y), geo.point(x, y + h), geo.point(x + h, y), geo.point(x, y - h))

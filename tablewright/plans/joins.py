@@ -239,22 +239,19 @@ def join_point_in_interval(t):
 @query(
     "join_within_distance", "2.3.14",
     """
-    WITH n AS (SELECT 0.3 / sqrt(count(*)) AS r FROM embeddings),
-    p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label FROM embeddings)
+    WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label FROM embeddings)
     SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)), 9) AS distance
-    FROM p a JOIN p b ON a.vec_id < b.vec_id, n
-    WHERE sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= r
+    FROM p a JOIN p b ON a.vec_id < b.vec_id
+    WHERE sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= 0.01
     """,
 )
 def join_within_distance(t):
-    # the radius shrinks with the density, so matches per point stay level as the table grows
-    n = t.embeddings.count()
     p = lambda side: t.embeddings.select(
         F.col("vec_id").alias(side), F.col("embedding")[0].cast("double").alias(f"x{side}"),
         F.col("embedding")[1].cast("double").alias(f"y{side}"), 
     )
     out = joins.within_distance_join(
-        p("a"), p("b"), ["xa", "ya"], ["xb", "yb"], 0.3 / n**0.5
+        p("a"), p("b"), ["xa", "ya"], ["xb", "yb"], 0.01
     ).filter("a < b")
     return out.select("a", "b", F.round("distance", 9).alias("distance"))
 
@@ -315,13 +312,13 @@ TRGM_MACRO = """
     WITH txts AS (SELECT DISTINCT regexp_extract(html, '<title>([^<]*)</title>', 1) AS txt FROM pages), {TRGM_MACRO},
     p AS (SELECT x.txt AS a, y.txt AS b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.txt < y.txt GROUP BY ALL)
     SELECT a, b, round(shared / (sa.n + sb.n - shared), 6) AS similarity
-    FROM p JOIN sz sa ON a = sa.txt JOIN sz sb ON b = sb.txt WHERE shared / (sa.n + sb.n - shared) >= 0.45
+    FROM p JOIN sz sa ON a = sa.txt JOIN sz sb ON b = sb.txt WHERE shared / (sa.n + sb.n - shared) >= 0.3
     """,
 )
 def join_trigram(t):
     left = titles(t).select(F.col("title").alias("a"))
     right = titles(t).select(F.col("title").alias("b"))
-    return joins.trigram_join(left, right, "a", "b", 0.45).filter("a < b").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return joins.trigram_join(left, right, "a", "b", 0.3).filter("a < b").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 SOUND_SQL = """rpad(upper(w[1]) || regexp_replace(substr(

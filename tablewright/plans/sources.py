@@ -17,17 +17,15 @@ from tablewright.sources.tables import NAMES
 @query(
     "csv_export_import", "2.1.8 2.1.9",
     """
-    SELECT doc_id, md5(text) AS digest, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS lang, n_chars FROM documents
+    SELECT doc_id, md5(text) AS digest, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE lang END AS lang, n_chars FROM documents
     """,
 )
 def csv_export_import(t):
-    rows = t.documents.select("doc_id", "text", F.expr("if(doc_id % 7 = 0, null, lang)").alias("lang"), "n_chars")
+    rows = t.documents.select("doc_id", "text", F.expr("if(doc_id % 7 = 0, null, if(doc_id % 7 = 1, '', lang))").alias("lang"), "n_chars")
     path = scratch_path(t.spark, "csv")
-    # the text holds line ends, so they are written as marks
-    flat = rows.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\u0001")))
-    files.export_csv(flat, path, delimiter="|", null="\\N", force_quote=True)
-    back = files.import_csv(t.spark, path, flat.schema, delimiter="|", null="\\N")
-    return back.select("doc_id", F.md5(F.replace("text", F.lit("\u0001"), F.lit("\n"))).alias("digest"), "lang", "n_chars")
+    files.export_csv(rows, path, delimiter="|")
+    back = files.import_csv(t.spark, path, rows.schema, delimiter="|")
+    return back.select("doc_id", F.md5("text").alias("digest"), "lang", "n_chars")
 
 
 @query("copy_changed_rows", "2.1.10 2.20.4", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")

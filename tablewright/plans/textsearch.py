@@ -28,7 +28,7 @@ def fts_vector(t):
 @query("fts_vector_english", "2.18.1 2.18.11")
 def fts_vector_english(t):
     v = ts.to_vector(F.col("text"), "english")
-    return t.spread("documents", "doc_id").filter("lang = 'en'").select("doc_id", v.alias("v")).select("doc_id", F.size("v").alias("n"), F.array_join(F.slice(ts.strip(F.col("v")), 1, 5), " ").alias("head"))
+    return t.spread("documents", "doc_id").select("doc_id", v.alias("v")).select("doc_id", F.size("v").alias("n"), F.array_join(ts.strip(F.col("v")), " ").alias("terms"))
 
 
 @query(

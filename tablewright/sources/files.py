@@ -12,25 +12,30 @@ CORRUPT = "_bad_row"
 
 
 def export_csv(
-    df: DataFrame, path: str, delimiter: str = ",", null: str = "", header: bool = True, quote: str = '"', escape: str = '"',
+    df: DataFrame, path: str, delimiter: str = ",", null: str = "\\N", header: bool = True, quote: str = '"', escape: str = '"',
     force_quote: bool = False,
 ) -> None:
-    """Write rows as CSV parts."""
+    """Write rows as CSV parts. NULL is the ``null`` marker and '' an empty pair of quotes; a value equal to the marker
+    reads back as NULL."""
     (
         df.write.option("sep", delimiter).option("nullValue", null).option("header", header).option("quote", quote).option("escape", escape)
-        .option("quoteAll", force_quote).option("emptyValue", "").csv(path)
+        .option("quoteAll", force_quote).option("emptyValue", quote * 2)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     )
 
 
 def import_csv(
-    spark: SparkSession, path: str, schema: T.StructType, delimiter: str = ",", null: str = "", header: bool = True, quote: str = '"',
+    spark: SparkSession, path: str, schema: T.StructType, delimiter: str = ",", null: str = "\\N", header: bool = True, quote: str = '"',
     escape: str = '"', columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Read CSV with a declared schema; any bad row is an error. ``columns`` names the file's columns."""
+    """Read CSV with a declared schema; any bad row is an error. ``columns`` names the file's columns.
+
+    Quoted values may hold line ends, so a file is read as a whole; write many files.
+    """
     used = T.StructType([schema[c] for c in columns]) if columns else schema
     return (
         spark.read.schema(used).option("sep", delimiter).option("nullValue", null).option("header", header).option("quote", quote)
-        .option("escape", escape).option("mode", "FAILFAST").csv(path)
+        .option("escape", escape).option("mode", "FAILFAST").option("multiLine", True).option("emptyValue", "").csv(path)
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import aggregates, jsonx
 from tablewright.operators import dml, ordered, skipping
 from tablewright.operators.relational import Cursor
+from tablewright.sources import files
 from tablewright.streaming import changes
 
 
@@ -46,3 +47,11 @@ def test_quotes_of_feeds_and_notices(spark):
 def test_empty_histogram():
     assert skipping.predicate_buckets([], "=", 1.0) == [skipping.OUTSIDE]
     assert skipping.predicate_buckets([], "between", 1.0, 2.0) == [skipping.OUTSIDE]
+
+
+def test_csv_keeps_empty_null_and_line_ends(spark, tmp_path):
+    df = spark.createDataFrame([(1, ""), (2, None), (3, "a\nb"), (4, 'q"x,\r\ny'), (5, " z ")], "id int, s string")
+    for quoted in (False, True):
+        path = str(tmp_path / f"csv{quoted}")
+        files.export_csv(df, path, force_quote=quoted)
+        assert sorted(map(tuple, files.import_csv(spark, path, df.schema).collect())) == sorted(map(tuple, df.collect()))
