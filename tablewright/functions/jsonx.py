@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -119,31 +120,76 @@ def without_index(j: Column, i: int) -> Column:
     return F.concat(F.lit("["), F.array_join(F.filter(items, lambda x, k: k != at), ","), F.lit("]"))
 
 
+def _is(j: Column, opening: str) -> Column:
+    return F.startswith(F.ltrim(j), F.lit(opening))
+
+
+def _place(items: Column, step: str) -> Column | None:
+    """Position, from 0, that a path step names in an array; None if it is no integer."""
+    if not re.fullmatch(r"[+-]?[0-9]+", step):
+        return None
+    i = int(step)
+    return F.lit(i) if i >= 0 else F.size(items) + i
+
+
+def _child(j: Column, step: str) -> Column:
+    """Field or element a path step leads to; NULL if there is none."""
+    items = elements(j)
+    at = _place(items, step)
+    field = F.when(_is(j, "{"), F.element_at(entries(j), F.lit(step)))
+    return field if at is None else F.when(_is(j, "["), F.get(items, at)).otherwise(field)
+
+
+def _array_text(items: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+
+
 def set_path(j: Column, path: Sequence[str], value: Column, create: bool = True) -> Column:
-    """Object with the value at a path of keys replaced (or added when ``create``)."""
+    """The value at a path of keys and array positions replaced, or added when ``create``.
+
+    Negative positions count from the end; one past either end adds there. A path that leads nowhere changes nothing.
+    """
     head, rest = path[0], list(path[1:])
+    fresh = set_path(_child(j, head), rest, value, create) if rest else value
+    add = create and not rest
     fields = entries(j)
-    here = F.element_at(fields, F.lit(head))
-    fresh = set_path(here, rest, value, create) if rest else value
-    changed = from_entries(
-        F.map_concat(F.map_filter(fields, lambda k, v: k != head), F.create_map(F.lit(head), fresh))
-    )
-    exists = F.map_contains_key(fields, F.lit(head))
-    can = exists if (rest or not create) else F.lit(True)
-    return F.when(can, changed).otherwise(j)
+    changed = from_entries(F.map_concat(F.map_filter(fields, lambda k, v: k != head), F.create_map(F.lit(head), fresh)))
+    out = F.when(_is(j, "{") & (F.lit(add) | F.map_contains_key(fields, F.lit(head))), changed)
+    items = elements(j)
+    at = _place(items, head)
+    if at is not None:
+        inside = _is(j, "[") & (at >= 0) & (at < F.size(items))
+        out = out.when(inside, _array_text(F.transform(items, lambda x, k: F.when(k == at, fresh).otherwise(x))))
+        if add:
+            one = F.array(fresh)
+            out = out.when(_is(j, "["), _array_text(F.when(at < 0, F.concat(one, items)).otherwise(F.concat(items, one))))
+    return out.otherwise(j)
 
 
 def insert_path(j: Column, path: Sequence[str], value: Column) -> Column:
-    """Add a new key; a key that exists is left as it is."""
-    parent = get_path(j, *path[:-1]) if len(path) > 1 else j
-    return F.when(F.coalesce(has_key(parent, path[-1]), F.lit(True)), j).otherwise(set_path(j, path, value))
+    """Add a new key, or an element before a position; a key that exists is left as it is."""
+    head, rest = path[0], list(path[1:])
+    if rest:
+        inner = _child(j, head)
+        return F.when(inner.isNull(), j).otherwise(set_path(j, [head], insert_path(inner, rest, value), False))
+    out = F.when(_is(j, "{"), F.when(F.map_contains_key(entries(j), F.lit(head)), j).otherwise(set_path(j, [head], value)))
+    items = elements(j)
+    at = _place(items, head)
+    if at is not None:
+        before, after = F.filter(items, lambda x, k: k < at), F.filter(items, lambda x, k: k >= at)
+        out = out.when(_is(j, "["), _array_text(F.concat(before, F.array(value), after)))
+    return out.otherwise(j)
 
 
 def delete_path(j: Column, path: Sequence[str]) -> Column:
-    if len(path) == 1:
-        return without_keys(j, path[0])
-    inner = get_path(j, path[0])
-    return F.when(inner.isNull(), j).otherwise(set_path(j, [path[0]], delete_path(inner, path[1:])))
+    head, rest = path[0], list(path[1:])
+    if rest:
+        inner = _child(j, head)
+        return F.when(inner.isNull(), j).otherwise(set_path(j, [head], delete_path(inner, rest), False))
+    out = F.when(_is(j, "{"), without_keys(j, head))
+    if re.fullmatch(r"[+-]?[0-9]+", head):
+        out = out.when(_is(j, "["), without_index(j, int(head)))
+    return out.otherwise(j)
 
 
 def canonical(j: Column) -> Column:

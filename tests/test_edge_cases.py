@@ -55,3 +55,22 @@ def test_csv_keeps_empty_null_and_line_ends(spark, tmp_path):
         path = str(tmp_path / f"csv{quoted}")
         files.export_csv(df, path, force_quote=quoted)
         assert sorted(map(tuple, files.import_csv(spark, path, df.schema).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_json_paths_through_arrays(spark):
+    L, j = F.lit, F.lit('{"a":[1,2,{"b":3}]}')
+    cases = [
+        (jsonx.set_path(j, ["a", "0"], L("9")), '{"a":[9,2,{"b":3}]}'),
+        (jsonx.set_path(j, ["a", "-1", "b"], L("9")), '{"a":[1,2,{"b":9}]}'),
+        (jsonx.set_path(j, ["a", "7"], L("9")), '{"a":[1,2,{"b":3},9]}'),
+        (jsonx.set_path(j, ["a", "-7"], L("9")), '{"a":[9,1,2,{"b":3}]}'),
+        (jsonx.set_path(j, ["a", "7"], L("9"), False), '{"a":[1,2,{"b":3}]}'),
+        (jsonx.set_path(j, ["a", "0", "x"], L("9")), '{"a":[1,2,{"b":3}]}'),
+        (jsonx.insert_path(j, ["a", "1"], L("9")), '{"a":[1,9,2,{"b":3}]}'),
+        (jsonx.insert_path(j, ["a", "2", "c"], L("9")), '{"a":[1,2,{"b":3,"c":9}]}'),
+        (jsonx.delete_path(j, ["a", "-2"]), '{"a":[1,{"b":3}]}'),
+        (jsonx.delete_path(j, ["a", "2", "b"]), '{"a":[1,2,{}]}'),
+        (jsonx.delete_path(j, ["a", "x"]), '{"a":[1,2,{"b":3}]}'),
+    ]
+    got = spark.range(1).select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cases)]).first()
+    assert list(got) == [x for _, x in cases]
