@@ -7,7 +7,7 @@ and a component keeps the shingle of its first arrival. Two documents keep the s
 similarity. Arrivals are drawn up to a time by which nearly every component was hit, then stop; a document with an
 empty component left goes on to twice that time. No later arrival could change anything.
 
-Equal word sequences are one text from here on. Bands of four components make buckets. First each member of a bucket is
+Equal word sequences are one text from here on. Bands of five components make buckets. First each member of a bucket is
 compared with the bucket's smallest, in a star; the groups so far come from connected components. Only buckets that
 still hold several groups are looked at again: there, members of different groups are compared when their rarest
 shingles and their signatures leave a link possible. So every pair of different texts in a bucket is compared, ruled
