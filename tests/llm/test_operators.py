@@ -230,6 +230,18 @@ def test_quality(docs, nothing, rows):
     assert {r.doc_id for r in quality.passing(docs).collect()} == {d for d, r in got.items() if r.kept}
 
 
+def test_quality_of_short_texts(spark):
+    folder = "/root/testdata/sf0.01"
+    full = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    piped = [(10_000_000 + n, " | ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n // 2)), "en") for n in (90, 120, 149)]
+    piped += [(20_000_000 + n, " ".join(f"#*#{i} $%{i}&" for i in range(n // 2)), "en") for n in (20, 30, 60, 99)]
+    got = {r.doc_id: r for r in quality.op10(full.union(spark.createDataFrame(piped, full.schema))).collect()}
+    assert not any(got[d].base_failed or got[d].kept for d, *_ in piped)
+    good = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1").collect()}
+    short = [r for d, r in got.items() if d in good and not r.base_failed and r.n_words < 150]
+    assert len(short) > 50 and all(r.kept for r in short)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (2, 1, "bot", "b"), (2, 2, "user", "c"), (3, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "bot", "b"),
             (4, 0, "user", None), (5, 0, "user", ""), (6, 0, None, "<|im_end|>"), (None, 0, "user", "z"), (7, 0, "user", "a"), (7, 0, "user", "a")]
