@@ -11,7 +11,7 @@ Equal word sequences are one text from here on. Bands of five components make bu
 compared with the bucket's smallest, in a star; the groups so far come from connected components. Only buckets that
 still hold several groups are looked at again: there, members of different groups are compared when their rarest
 shingles and their signatures leave a link possible. So every pair of different texts in a bucket is compared, ruled
-out by a bound or by a sketch that is nearly 4 standard deviations off, or already connected, and no group of copies is expanded into its pairs. Links are verified on the whole
+out by a bound or, if both texts are long, by a sketch that is nearly 4 standard deviations off, or already connected, and no group of copies is expanded into its pairs. Links are verified on the whole
 texts.
 
 Defined results: a text with fewer than five words is one shingle; a text without words, or null, is a group of its own;
@@ -38,6 +38,8 @@ BAND, BANDS = 5, 25
 SKETCH = 1024
 BITS = 2
 AGREEMENT = 0.806
+#: Distinct shingles below which a text's pairs are verified whatever the sketch says.
+SHORT = 64
 #: Documents whose longer sketch is drawn at a time.
 SKETCH_ROWS = 64
 
@@ -94,9 +96,11 @@ def lists(x: np.ndarray) -> pa.ListArray:
 
 
 def packed(sig: np.ndarray) -> np.ndarray:
-    """The low bits of the components, 64 / BITS to a word."""
+    """A few bits of each component, 64 / BITS to a word. They are drawn from shingle and component number together: a short
+    text has few shingles, and bits of the shingles alone would agree or differ by chance in all components at once."""
     per = 64 // BITS
-    low = (sig & np.uint64((1 << BITS) - 1)).reshape(len(sig), -1, per)
+    drawn = w.scrambled(sig + w.scrambled(np.arange(1, sig.shape[1] + 1, dtype=np.uint64)))
+    low = (drawn & np.uint64((1 << BITS) - 1)).reshape(len(sig), -1, per)
     return np.bitwise_or.reduce(low << (np.arange(per, dtype=np.uint64) * np.uint64(BITS)), axis=2)
 
 
@@ -210,7 +214,7 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _elements(docs: DataFrame) -> DataFrame:
-    """``doc_id label h p``: distinct shingles of each document and their share of all its shingles."""
+    """``doc_id label h p n``: distinct shingles of each document, their share of all its shingles and their number."""
 
     def build():
         def step(batch: pa.RecordBatch):
@@ -220,11 +224,12 @@ def _elements(docs: DataFrame) -> DataFrame:
                 owner, h, n = shingles(w.word_values(data, starts, ends), bounds)
                 total = np.bincount(owner, weights=n, minlength=len(bounds) - 1)
                 at = pa.array(owner + row)
-                yield record(doc_id=ids.take(at), label=batch.column("label").take(at), h=h.view(np.int64), p=n / total[owner])
+                number = np.bincount(owner, minlength=len(bounds) - 1)
+                yield record(doc_id=ids.take(at), label=batch.column("label").take(at), h=h.view(np.int64), p=n / total[owner], n=number[owner])
 
         return step
 
-    return per_batch(docs.select("doc_id", "label", "text"), build, "doc_id long, label long, h long, p double")
+    return per_batch(docs.select("doc_id", "label", "text"), build, "doc_id long, label long, h long, p double, n long")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -255,7 +260,8 @@ def _between_groups(buckets: DataFrame, labels: DataFrame, whole: DataFrame) ->
     within a bound, and the rarest shingle they share has no more than u and v before it. A passage that thousands of
     otherwise different documents hold comes late in that order, so they do not meet. Shingles of one group only count as
     not shared. The bound
-    loses no pair; the sketch loses one at 0.8 with a chance of about 1 in 10,000. ``lb`` is the larger group and ``b`` its member.
+    loses no pair; the sketch loses one at 0.8 with a chance of about 1 in 10,000, and is not asked where one of the two
+    texts has fewer than SHORT shingles. ``lb`` is the larger group and ``b`` its member.
     """
     named = buckets.select("key", "doc_id").join(labels, "doc_id")
     several = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
@@ -268,13 +274,14 @@ def _between_groups(buckets: DataFrame, labels: DataFrame, whole: DataFrame) ->
     own = Window.partitionBy("doc_id")
     # rows that repeat a document make this smaller, never larger
     before = 1 - F.sum("p").over(own) + F.sum("p").over(own.orderBy("n", "h")) - F.col("p")
-    rare = parts.join(common, "h").withColumn("before", F.greatest(before, F.lit(0.0))).filter(F.col("before") <= 1 - SIMILARITY + 1e-9).select("doc_id", "h", "before")
+    rare = parts.withColumnRenamed("n", "length").join(common, "h").withColumn("before", F.greatest(before, F.lit(0.0)))
+    rare = rare.filter(F.col("before") <= 1 - SIMILARITY + 1e-9).select("doc_id", "h", "before", (F.col("length") < SHORT).alias("brief"))
     rare = stored(rare, "minhash-rare")
     # a document that rows repeat is sketched once
     drawn = sketches(whole.join(rare.select("doc_id").distinct(), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("sig").alias("sig"))
     rare = stored(rare.join(members, "doc_id").join(drawn, "doc_id"), "minhash-rare")
 
-    side = lambda x: [F.col(c).alias(c[0] + x) for c in ("doc_id", "before", "label", "size")] + [F.col("sig").alias("g" + x)]
+    side = lambda x: [F.col(c).alias(c[0] + x) for c in ("doc_id", "before", "label", "size")] + [F.col("brief").alias("brief" + x)] + [F.col("sig").alias("g" + x)]
     # one of the two has no more than this before the shingle
     near = (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9
     load = lambda b: (1 + F.col(b)) / (1 - F.col(b))
@@ -282,7 +289,7 @@ def _between_groups(buckets: DataFrame, labels: DataFrame, whole: DataFrame) ->
     far = differing("g1", "g2")
     met = left.join(right, "h").filter(
         (F.col("l1") != F.col("l2")) & ((F.col("b2") > near) | (F.col("d1") < F.col("d2")))
-        & (load("b1") + load("b2") <= 2 / SIMILARITY + 1e-6) & (far <= int((1 - AGREEMENT) * SKETCH))
+        & (load("b1") + load("b2") <= 2 / SIMILARITY + 1e-6) & (F.col("brief1") | F.col("brief2") | (far <= int((1 - AGREEMENT) * SKETCH)))
     )
     swap = F.struct("s1", "l1") > F.struct("s2", "l2")
     pick = lambda x: F.when(swap, F.col(x + "2")).otherwise(F.col(x + "1"))

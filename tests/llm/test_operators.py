@@ -72,6 +72,27 @@ def test_signature_estimates_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - 0.5) < 0.04
 
 
+def test_sketch_loses_no_short_pair():
+    # 9 shingles each, 8 of them shared: similarity 0.8
+    n, pairs = 9, 1000
+    h = windows.scrambled(np.random.default_rng(1).integers(0, 1 << 63, (pairs, n + 1), dtype=np.uint64))
+    both = np.stack((h[:, :n], np.delete(h, n - 1, axis=1)), 1).reshape(-1)
+    sig = minhash.prob_minhash(np.repeat(np.arange(2 * pairs), n), both, np.ones(len(both)), 2 * pairs, minhash.SKETCH)
+    x = minhash.packed(sig)[0::2] ^ minhash.packed(sig)[1::2]
+    far = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1)
+    assert (far <= int((1 - minhash.AGREEMENT) * minhash.SKETCH)).all()
+
+
+def test_pairs_of_short_texts_pass_the_sketch(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "AGREEMENT", 1.1)  # no pair passes
+    one, other = [f"w{i}" for i in range(13)], [f"v{i}" for i in range(200)]
+    texts = [(1, one), (2, [*one[:12], "end"]), (3, other), (4, [*other[:199], "end"])]
+    whole = spark.createDataFrame([(d, " ".join(t)) for d, t in texts], "doc_id long, text string")
+    buckets = spark.createDataFrame([(7, d) for d, _ in texts], "key long, doc_id long")
+    got = minhash._between_groups(buckets, whole.selectExpr("doc_id", "doc_id as label"), whole).collect()
+    assert [{r.a, r.b} for r in got] == [{1, 2}]
+
+
 def test_nearest_neighbours(spark, monkeypatch):
     monkeypatch.setattr(kmeans_tree, "LEAF_ROWS", 256)
     rng = np.random.default_rng(3)
