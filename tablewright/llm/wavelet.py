@@ -116,9 +116,15 @@ _ends = re.compile(rb"[.,;:!?](?<=[A-Za-z0-9].)[.,;:!?]*(?=[\t-\r ]|$)").sub
 
 def parts(text: str) -> list[bytes]:
     """Words, with marks at the end of a plain word cut off and plain letters lowered, as the tokenizer would do: there
-    are fewer distinct ones. Special tokens are case sensitive, so texts with their opening are left alone."""
+    are fewer distinct ones. Special tokens are case sensitive, so texts with their opening are left alone. The tokenizer
+    composes before it lowers, and some marks compose with one case only, so in a text with a mark that composes with
+    plain letters (U+0300 to U+0344, all led by the byte CC or CD) only plain words are lowered."""
     raw = text.encode()
-    return raw.split() if b"<|" in raw else _ends(rb" \g<0>", raw.lower()).split()
+    if b"<|" in raw:
+        return raw.split()
+    if b"\xcc" in raw or b"\xcd" in raw:
+        return [x.lower() if x.isascii() else x for x in _ends(rb" \g<0>", raw).split()]
+    return _ends(rb" \g<0>", raw.lower()).split()
 
 
 @functools.lru_cache(maxsize=2)

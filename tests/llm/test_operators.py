@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -191,6 +192,19 @@ def test_token_output(docs, nothing, rows):
     assert wavelet.op9(nothing, path).count() == 0
 
 
+def test_token_output_of_letters_with_marks():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), wavelet.WordEncoder(path)
+    marks = [chr(c) for c in (*range(0x300, 0x370), 0x1DC4, 0x20D0, 0x3099)]
+    texts = ["J\u030cemal", "H\u0331 Plain. WORDS, too! W\u030A?", "\u00c9T\u0308E, Y\u030a. K\u0308\u0331X"]
+    texts += [f"{a}{m}Na {b}{m}." for m in marks for a, b in zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")]
+    for t, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
+    # no other character composes with a plain letter
+    others = [chr(c) for c in range(0x80, 0x110000) if not (0x300 <= c <= 0x344 or 0xD800 <= c < 0xE000)]
+    assert all(unicodedata.normalize("NFC", a + c) == a + unicodedata.normalize("NFC", c) for a in "AHJTWYahjtwy" for c in others)
+
+
 def test_wavelet_matrix():
     ids = np.minimum(np.random.default_rng(1).zipf(1.3, 100_000), 49407).astype(np.uint32)
     s = wavelet.Shard(wavelet.pack(ids, [4, None], [10, len(ids) - 10]))
