@@ -202,7 +202,7 @@ def fts_thesaurus(t):
 
 @query("fts_stems", "2.18.11")
 def fts_stems(t):
-    words = t.spread("documents", "doc_id").filter("lang = 'en'").select(F.explode(ts.words(F.col("text"))).alias("word")).distinct()
+    words = t.spread("documents", "doc_id").select(F.explode(ts.words(F.col("text"))).alias("word")).distinct()
     return words.select("word", ts.stem_english(F.col("word")).alias("stem"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import aggregates, jsonx
 from tablewright.operators import dml, ordered, skipping
 from tablewright.operators.relational import Cursor
+from tablewright.plans import load_all
 from tablewright.sources import files
 from tablewright.streaming import changes
 
@@ -74,3 +75,10 @@ def test_json_paths_through_arrays(spark):
     ]
     got = spark.range(1).select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cases)]).first()
     assert list(got) == [x for _, x in cases]
+
+
+def test_stems_of_all_documents(spark, tmp_path):
+    rows = [(1, "running", "en"), (2, "coureurs", "fr"), (3, "letters", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = load_all()["fts_stems"].run(spark, str(tmp_path)).collect()
+    assert {r.word: r.stem for r in got} == {"running": "run", "coureurs": "coureur", "letters": "letter"}
