@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark import TaskContext
@@ -43,7 +44,7 @@ from tablewright.llm.common import per_batch, record, ship, stored
 from tablewright.llm.windows import stretch_index
 
 #: Bytes of text in a block, unless one text is longer.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 #: Offsets that one lane searches one after the other.
 LANE = 128
 #: Runs of white space from this length on go through the tokenizers library.
@@ -65,10 +66,7 @@ class Tokens:
             raise ValueError("the merges of this vocabulary are not in the order of its ids")
         ranks = {bytes(of[c] for c in t): i for t, i in names.items() if i not in special}
         self.fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.library = Tokenizer.from_file(path_a)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.library.encode_special_tokens = True
+        self.path_a = path_a
         self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_a = [b""] * (max([*names.values(), *special]) + 1)
         for b, i in ranks.items():
@@ -77,6 +75,14 @@ class Tokens:
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i in range(m.get_piece_size()) for p in [m.id_to_piece(i)]]
         self.sizes_a, self.sizes_b = (np.array([len(b) for b in x], np.int64) for x in (self.bytes_a, self.bytes_b))
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        t = Tokenizer.from_file(self.path_a)
+        t.no_truncation()
+        t.no_padding()
+        t.encode_special_tokens = True
+        return t
+
     def encode_a(self, text: str) -> list[int]:
         if len(text) >= 1000 and LONG_BLANK.search(text):
             return self.library.encode(text, add_special_tokens=False).ids
@@ -142,6 +148,7 @@ class Block:
 
     def __init__(self, t: Tokens, texts: list[str | None]):
         a, b = t.encode(texts)
+        self.most = max(len(t.bytes_a), len(t.bytes_b))
         self.n_a, self.n_b = (np.array([len(x) for x in y], np.int64) for y in (a, b))
         self.a, self.b = (np.array([i for x in y for i in x], np.int64) for y in (a, b))
         self.from_a, self.from_b = (np.concatenate(([0], np.cumsum(n))) for n in (self.n_a, self.n_b))
@@ -186,24 +193,23 @@ class Block:
         before_b, before_a = np.concatenate(([0], self.last_b + 1)), self.last_a + 1
         at_a = np.arange(len(self.a)) + before_b[np.cumsum(end_a) - end_a]
         at_b = np.arange(len(self.b)) + before_a[np.cumsum(end_b) - end_b] if len(self.b) else end_b
-        width = len(str(max(int(self.a.max(initial=0)), int(self.b.max(initial=0))))) + 1
+        width = len(str(self.most)) + 1
         cells = np.empty(len(self.a) + len(self.b), f"S{width}")
-        cells[at_a] = _cells(self.a, end_a, b",|", width)
-        cells[at_b] = _cells(self.b, end_b, b",;", width)
+        cells[at_a] = _cells(self.most, ",|", width)[end_a, self.a]
+        cells[at_b] = _cells(self.most, ",;", width)[end_b, self.b]
         bounds = self.from_a + self.from_b
         for k in range(len(self.n_a)):
             yield cells[bounds[k]:bounds[k + 1]].tobytes().translate(None, b"\0")[:-1]
 
 
-def _cells(ids: np.ndarray, ends: np.ndarray, marks: bytes, width: int) -> np.ndarray:
-    n = int(ids.max(initial=0)) + 1
-    table = np.array([b"%d%c" % (i, m) for m in marks for i in range(n)], f"S{width}")
-    return table[ids + n * ends]
+@functools.lru_cache(maxsize=2)
+def _cells(most: int, marks: str, width: int) -> np.ndarray:
+    return np.array([[f"{i}{m}" for i in range(most + 1)] for m in marks], f"S{width}")
 
 
 def text_groups(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
     """Rows of a batch in stretches of about BLOCK_BYTES of text."""
-    sizes = np.array([len(t or "") for t in batch.column("text").to_pylist()], np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, row = np.cumsum(sizes), 0
     while row < len(sizes):
         stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + BLOCK_BYTES, "right")))
