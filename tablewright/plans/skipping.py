@@ -1,4 +1,4 @@
-"""Data skipping over tables rewritten to many files."""
+"""Data skipping over tables laid out in blocks."""
 
 from __future__ import annotations
 
@@ -10,32 +10,30 @@ from tablewright.plans.joins import SPANS_SQL, busy_spans
 from tablewright.plans.registry import query
 from tablewright.session import scratch_path
 
-FILES = 48
 _layouts: dict[tuple[str, str, str], str] = {}
 
 
-def layout(t, name: str, frame, column: str, tie: list[str]):
-    """Table laid out in files by a column, loosely: a tenth of the rows is spread by hash.
+def layout(t, name: str, frame, column: str, stray, spread):
+    """Table laid out in blocks by a column, loosely: rows that are ``stray`` are spread by ``spread``, a number.
 
     Written once per session and source folder.
     """
     key = (t.spark.sparkContext.applicationId, t.folder, name)
     if key not in _layouts:
         path = scratch_path(t.spark, f"layout-{name}")
-        stray = F.pmod(F.xxhash64(*tie), F.lit(10)) == 0
-        lo, hi = frame.agg(F.min(column), F.max(column)).first()
+        lo, hi, n = frame.agg(F.min(column), F.max(column), F.count(F.lit(1))).first()
+        blocks = skipping.block_count(n)
         spot = (F.col(column) - F.lit(lo)) / F.lit(max(hi - lo, 1))
-        place = F.when(stray, F.pmod(F.xxhash64(F.lit(7), *tie), F.lit(FILES))).otherwise(F.floor(spot * (FILES - 1)))
-        frame.withColumn("__place", place).repartitionByRange(FILES, "__place", *tie).drop("__place").write.parquet(path)
+        skipping.write_blocks(frame, path, F.when(stray, F.pmod(spread, F.lit(blocks))).otherwise(F.floor(spot * (blocks - 1))))
         _layouts[key] = path
-    return t.spark.read.parquet(_layouts[key])
+    return skipping.read_blocks(t.spark, _layouts[key])
 
 
 def lines(t):
     src = t.lineitem.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")).alias("ship_day")
     )
-    return layout(t, "lineitem", src, "ship_day", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return layout(t, "lineitem", src, "ship_day", (F.col("l_orderkey") + F.col("l_partkey")) % 10 == 0, F.col("l_orderkey") + 7 * F.col("l_partkey"))
 
 
 LINES = "(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_returnflag, date_diff('day', DATE '1995-01-01', l_shipdate::DATE) AS ship_day FROM lineitem)"
@@ -48,7 +46,7 @@ LINES = "(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice
 def hist_skip_range(t):
     table = lines(t)
     index = skipping.Index.build(table, "ship_day", buckets=400, density=20)
-    rows = skipping.read_files(t.spark, index.candidates("between", 700, 730), table.schema).filter("ship_day BETWEEN 700 AND 730")
+    rows = skipping.pruned(table, index.candidates("between", 700, 730)).filter("ship_day BETWEEN 700 AND 730")
     return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
@@ -64,7 +62,7 @@ def hist_skip_operators(t):
     index = skipping.Index.build(table, "ship_day", buckets=100)
     out = None
     for op, v in OPS:
-        rows = skipping.read_files(t.spark, index.candidates(op, v), table.schema).filter(f"ship_day {op} {v}")
+        rows = skipping.pruned(table, index.candidates(op, v)).filter(f"ship_day {op} {v}")
         part = rows.agg(F.lit(f"{op} {v}").alias("predicate"), F.count(F.lit(1)).alias("n"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -72,25 +70,42 @@ def hist_skip_operators(t):
 
 @query("hist_skip_types", "2.21.9", "SELECT 'timestamp' AS kind, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-03' UNION ALL SELECT 'double', count(*) FROM events WHERE value > 150")
 def hist_skip_types(t):
-    table = layout(t, "events", t.events, "event_id", ["event_id"])
+    table = layout(t, "events", t.events, "event_id", F.col("event_id") % 10 == 0, F.col("event_id") * 7)
     day3 = 1704240000 * 1_000_000
     by_time = skipping.Index.build(table, "ts", buckets=50).candidates("<", day3)
     by_value = skipping.Index.build(table, "value", buckets=50).candidates(">", 150.0)
-    a = skipping.read_files(t.spark, by_time, table.schema).filter("ts < timestamp_ntz'2024-01-03'")
-    b = skipping.read_files(t.spark, by_value, table.schema).filter("value > 150")
+    a = skipping.pruned(table, by_time).filter("ts < timestamp_ntz'2024-01-03'")
+    b = skipping.pruned(table, by_value).filter("value > 150")
     tally = lambda kind, df: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
     return tally("timestamp", a).unionByName(tally("double", b))
 
 
-@query("hist_summary_entries", "2.21.3 2.21.4 2.21.5", "SELECT count(*) AS n, true AS complete, true AS some_shared FROM lineitem")
-def hist_summary_entries(t):
-    table = lines(t)
-    index = skipping.Index.build(table, "ship_day", buckets=400, density=20)
-    e = skipping.entries(index.summary)
-    files = e.select(F.size("files").alias("k"), "rows")
-    return files.agg(
-        F.sum("rows").alias("n"), (F.sum("k") == table.select("_metadata.file_name").distinct().count()).alias("complete"), (F.count(F.lit(1)) <= F.sum("k")).alias("some_shared")
+#: Buckets of ten days; the stretch of days beyond 2,000 lies outside.
+DAY_EDGES = [float(d) for d in range(0, 2001, 10)]
+
+
+@query(
+    "hist_summary_entries", "2.21.3 2.21.4 2.21.5",
+    f"""
+    WITH RECURSIVE ranged AS (
+      SELECT *, min(ship_day) OVER () AS lo, max(ship_day) OVER () AS hi, floor(sqrt(count(*) OVER () // 25))::INTEGER AS k FROM {LINES}
+    ), placed AS (
+      SELECT CASE WHEN (l_orderkey + l_partkey) % 10 = 0 THEN (l_orderkey + 7 * l_partkey) % k ELSE floor((ship_day - lo) / greatest(hi - lo, 1) * (k - 1)) END::INTEGER AS block,
+             CASE WHEN ship_day BETWEEN 0 AND 2000 THEN least(ship_day // 10, 199) ELSE -9999 END AS b FROM ranged
+    ), blocks AS (
+      SELECT row_number() OVER (ORDER BY block) AS i, block, s, n FROM (SELECT block, list(DISTINCT b) AS s, count(*) AS n FROM placed GROUP BY block)
+    ), fold AS (
+      SELECT i, block, n, 0::BIGINT AS entry, s AS held FROM blocks WHERE i = 1
+      UNION ALL
+      SELECT c.i, c.block, c.n, CASE WHEN len(f.held) > 40 THEN f.entry + 1 ELSE f.entry END, CASE WHEN len(f.held) > 40 THEN c.s ELSE list_distinct(list_concat(f.held, c.s)) END
+      FROM fold f JOIN blocks c ON c.i = f.i + 1
     )
+    SELECT entry, min(block) AS first_block, max(block) AS last_block, count(*) AS blocks, sum(n)::BIGINT AS rows, max(len(held))::INTEGER AS n_buckets FROM fold GROUP BY entry
+    """,
+)
+def hist_summary_entries(t):
+    index = skipping.Index.build(lines(t), "ship_day", density=20, edges=DAY_EDGES)
+    return index.entries.select("entry", "first_block", "last_block", "blocks", "rows", F.size("buckets").alias("n_buckets"))
 
 
 @query(
@@ -98,13 +113,15 @@ def hist_summary_entries(t):
     f"SELECT count(*) AS n FROM {LINES} WHERE ship_day > 2400 OR l_linenumber = 7",
 )
 def hist_skip_after_insert(t):
-    # every seventh line also arrives late, dated beyond the histogram
+    # every seventh line also arrives late, dated beyond the histogram, in blocks of its own
     table = lines(t)
     index = skipping.Index.build(table, "ship_day", buckets=400)
-    late = scratch_path(t.spark, "late")
-    table.filter("l_linenumber = 7 AND ship_day <= 2400").withColumn("ship_day", F.lit(100009)).write.parquet(late)
-    index = index.add_files(t.spark.read.schema(table.schema).parquet(late))
-    rows = skipping.read_files(t.spark, index.candidates(">", 2400), table.schema).filter("ship_day > 2400")
+    late, first = scratch_path(t.spark, "late"), index.next_block()
+    rows = table.filter("l_linenumber = 7 AND ship_day <= 2400").withColumn("ship_day", F.lit(100009)).drop("block")
+    skipping.write_blocks(rows, late, F.pmod("l_orderkey", F.lit(skipping.block_count(rows.count()))) + first)
+    more = skipping.read_blocks(t.spark, late)
+    index = index.add_blocks(more)
+    rows = skipping.pruned(table.unionByName(more), index.candidates(">", 2400)).filter("ship_day > 2400")
     return rows.agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -113,13 +130,15 @@ def hist_skip_after_insert(t):
     f"SELECT count(*) AS n FROM {LINES} WHERE ship_day BETWEEN 690 AND 760 AND NOT (ship_day > 700 AND ship_day < 720)",
 )
 def hist_skip_after_delete(t):
+    # the blocks touched are written again under new numbers; the summary drops the old ones
     table = lines(t)
     index = skipping.Index.build(table, "ship_day", buckets=400)
-    touched = index.candidates("between", 700, 720)
+    touched, first = index.candidates("between", 700, 720), index.next_block()
     rewritten = scratch_path(t.spark, "rewritten")
-    skipping.read_files(t.spark, touched, table.schema).filter("NOT (ship_day > 700 AND ship_day < 720)").write.parquet(rewritten)
-    index = index.replace_files(touched, t.spark.read.schema(table.schema).parquet(rewritten))
-    rows = skipping.read_files(t.spark, index.candidates("between", 690, 760), table.schema).filter("ship_day BETWEEN 690 AND 760")
+    skipping.write_blocks(skipping.pruned(table, touched).filter("NOT (ship_day > 700 AND ship_day < 720)"), rewritten, F.col("block") + first)
+    fresh = skipping.read_blocks(t.spark, rewritten)
+    index = index.replace_blocks(touched, fresh)
+    rows = skipping.pruned(table.unionByName(fresh), index.candidates("between", 690, 760)).filter("ship_day BETWEEN 690 AND 760")
     return rows.agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -130,8 +149,8 @@ def hist_skip_after_delete(t):
 def minmax_skip(t):
     table = lines(t)
     summary = skipping.minmax_summary(table, ["ship_day", "l_partkey"])
-    files = skipping.minmax_candidates(summary, "ship_day", "<", 15)
-    return skipping.read_files(t.spark, files, table.schema).filter("ship_day < 15").select("l_orderkey", "l_linenumber", "l_partkey", "ship_day")
+    blocks = skipping.minmax_candidates(summary, "ship_day", "<", 15)
+    return skipping.pruned(table, blocks).filter("ship_day < 15").select("l_orderkey", "l_linenumber", "l_partkey", "ship_day")
 
 
 @query(
@@ -139,17 +158,17 @@ def minmax_skip(t):
     f"SELECT span_id FROM ({SPANS_SQL}) WHERE lo <= 1704300000000000 AND hi >= 1704250000000000",
 )
 def inclusion_skip(t):
-    table = layout(t, "spans", busy_spans(t), "lo", ["span_id"])
-    files = skipping.inclusion_candidates(skipping.inclusion_summary(table, F.col("lo"), F.col("hi")), 1704250000000000, 1704300000000000)
-    return skipping.read_files(t.spark, files, table.schema).filter("lo <= 1704300000000000 AND hi >= 1704250000000000").select("span_id")
+    table = layout(t, "spans", busy_spans(t), "lo", F.col("span_id") % 10 == 0, F.col("span_id") * 7)
+    blocks = skipping.inclusion_candidates(skipping.inclusion_summary(table, F.col("lo"), F.col("hi")), 1704250000000000, 1704300000000000)
+    return skipping.pruned(table, blocks).filter("lo <= 1704300000000000 AND hi >= 1704250000000000").select("span_id")
 
 
 @query("bloom_skip", "2.21.12", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey = 77 AND l_linenumber = 3")
 def bloom_skip(t):
     table = lines(t)
-    summary = skipping.bloom_summary(table, ["l_partkey", "l_linenumber"])
-    files = skipping.bloom_candidates(summary, l_partkey=F.lit(77).cast("long"), l_linenumber=F.lit(3))
-    return skipping.read_files(t.spark, files, table.schema).filter("l_partkey = 77 AND l_linenumber = 3").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    signatures = skipping.Signatures.build(table, ["l_partkey", "l_linenumber"], error=0.01)
+    blocks = signatures.candidates(l_partkey=F.lit(77).cast("long"), l_linenumber=F.lit(3))
+    return skipping.pruned(table, blocks).filter("l_partkey = 77 AND l_linenumber = 3").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 @query(
@@ -161,8 +180,8 @@ def bloom_skip(t):
 )
 def postings_lookup(t):
     path = scratch_path(t.spark, "postings")
-    skipping.write_postings(search.postings(t.spread("documents", "doc_id"), "doc_id", ts.to_vector(F.col("text"))), "term", path)
-    index = skipping.read_postings(t.spark, path, "term", ["the", "with", "was"])
+    parts = skipping.write_postings(search.postings(t.spread("documents", "doc_id"), "doc_id", ts.to_vector(F.col("text"))), "term", path)
+    index = skipping.read_postings(t.spark, path, "term", ["the", "with", "was"], parts)
     return search.match_postings(index, "doc_id", ["the", "with"], ["was"])
 
 
@@ -173,10 +192,10 @@ def postings_lookup(t):
 def skip_and_or(t):
     table = lines(t)
     index = skipping.Index.build(table, "ship_day", buckets=200)
-    bloom = skipping.bloom_summary(table, ["l_partkey"])
-    files = skipping.both(index.candidates("between", 100, 140), skipping.bloom_candidates(bloom, l_partkey=F.lit(77).cast("long")))
-    a = skipping.read_files(t.spark, files, table.schema).filter("ship_day BETWEEN 100 AND 140 AND l_partkey = 77")
-    files = skipping.either(index.candidates("<", 20), index.candidates(">", 2400))
-    b = skipping.read_files(t.spark, files, table.schema).filter("ship_day < 20 OR ship_day > 2400")
+    signatures = skipping.Signatures.build(table, ["l_partkey"], error=0.01)
+    blocks = skipping.both(index.candidates("between", 100, 140), signatures.candidates(l_partkey=F.lit(77).cast("long")))
+    a = skipping.pruned(table, blocks).filter("ship_day BETWEEN 100 AND 140 AND l_partkey = 77")
+    blocks = skipping.either(index.candidates("<", 20), index.candidates(">", 2400))
+    b = skipping.pruned(table, blocks).filter("ship_day < 20 OR ship_day > 2400")
     tally = lambda kind, df: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
     return tally("and", a).unionByName(tally("or", b))

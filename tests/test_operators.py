@@ -1,9 +1,9 @@
-"""Operators on small fixtures: changes, recursion, skipping, samples, feeds."""
+"""Operators on small fixtures: changes, recursion, samples, feeds."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import dml, networks, recursion, relational, skipping
+from tablewright.operators import dml, networks, recursion, relational
 from tablewright.functions import net
 from tablewright.session import scratch_path
 from tablewright.sources import versions
@@ -68,53 +68,6 @@ def test_bags(spark):
     assert rows(relational.except_all(a, b)) == rows(a.exceptAll(b))
 
 
-@pytest.fixture(scope="module")
-def history(spark):
-    """Ids in order plus a tenth of strays, in 20 files; a value fills a third of the rows."""
-    path = scratch_path(spark, "fixture")
-    df = spark.range(20000).select(
-        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(5000)).otherwise(F.col("id")).alias("id2"),
-        F.when(F.col("id") % 10 == 0, F.pmod(F.xxhash64("id"), F.lit(20))).otherwise(F.floor(F.col("id") / 1000)).alias("f"),
-    )
-    df.repartitionByRange(20, "f").drop("f").write.parquet(path)
-    return spark.read.parquet(path)
-
-
-@pytest.mark.parametrize("op, value", [("<", 100), ("<=", 5000), ("=", 5000), ("=", 777), (">=", 19990), (">", 19999), ("=", -3), ("<", -3), (">", 1000000)])
-def test_skipping_equals_full_scan(spark, history, op, value):
-    index = skipping.Index.build(history, "id2", buckets=50, density=20)
-    got = skipping.read_files(spark, index.candidates(op, value), history.schema).filter(f"id2 {op} {value}").count()
-    assert got == history.filter(f"id2 {op} {value}").count()
-
-
-def test_skipping_reads_fewer_files(spark, history):
-    total = history.select("_metadata.file_name").distinct().count()
-    sparse = history.filter("id % 3 <> 0 AND id % 10 <> 0")
-    path = scratch_path(spark, "sparse")
-    sparse.repartitionByRange(20, "id").write.parquet(path)
-    table = spark.read.parquet(path)
-    index = skipping.Index.build(table, "id", buckets=100, density=5)
-    assert index.candidates("between", 4000, 4100).count() < total / 2
-    assert skipping.minmax_candidates(skipping.minmax_summary(table, ["id"]), "id", "=", 4001).count() <= 2
-    one = skipping.bloom_candidates(skipping.bloom_summary(table, ["id"]), id=F.lit(4001).cast("long"))
-    assert 1 <= one.count() < total / 2
-
-
-def test_density_closes_entries(spark):
-    files = spark.createDataFrame([(f"f{i:02d}", [i, i + 1], 10) for i in range(10)], "file string, buckets array<int>, rows long")
-    grouped = {r.file: r.entry for r in skipping.group_files(files, 20, 20.0).collect()}
-    # four files give five of twenty buckets: more than 20 percent closes the entry
-    assert [grouped[f"f{i:02d}"] for i in range(10)] == ["0-0"] * 4 + ["0-1"] * 4 + ["0-2"] * 2
-
-
-def test_bucket_search_two_levels(spark):
-    edges = [float(i) for i in range(0, 3001, 10)]
-    df = spark.range(-5, 3010).select("id", skipping.bucket_of(edges, F.col("id").cast("double")).alias("b"))
-    for r in df.collect():
-        want = skipping.OUTSIDE if r.id < 0 or r.id > 3000 else min(r.id // 10, 299)
-        assert r.b == want, r
-
-
 def test_address_join(spark):
     ips = spark.createDataFrame([("10.1.2.3",), ("10.1.9.9",), ("192.168.0.1",), ("fd00::5",)], "t string").select("t", net.parse(F.col("t")).alias("ip"))
     nets = spark.createDataFrame([("10.1.0.0/16",), ("10.1.2.0/24",), ("fd00::/64",)], "n string").select("n", net.parse(F.col("n")).alias("net"))
