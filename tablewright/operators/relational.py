@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tablewright.operators import ordered
+from tablewright.session import scratch_path
 
 
 def with_children(parent: DataFrame, *children: DataFrame) -> DataFrame:
@@ -55,32 +57,95 @@ def reservoir(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame
 
 
 class Cursor:
-    """Forward paging by the last key seen, so that each page is one bounded top-k scan."""
-
-    def __init__(self, df: DataFrame, order: Sequence[str]):
-        self.df, self.order, self.last = df, list(order), None
-
-    def fetch(self, n: int) -> DataFrame:
-        rest = self._rest()
-        page = rest.orderBy(*self.order).limit(n)
-        tail = page.orderBy(*[F.desc(c) for c in self.order]).limit(1).collect()
-        if tail:
-            self.last = tail[0]
-        return page
-
-    def move(self, n: int) -> None:
-        """Skip ``n`` rows."""
-        self.fetch(n)
-
-    def _rest(self) -> DataFrame:
-        if self.last is None:
-            return self.df
-        here = F.struct(*[F.col(c) for c in self.order])
-        there = F.struct(*[F.lit(self.last[c]).cast(self.df.schema[c].dataType).alias(c) for c in self.order])
-        # NULLs come first, in structs as in the order
-        rest, first = self.df.filter(here > there), self.order[0]
-        # the plain comparison on the first column reaches the file scan
-        return rest if self.last[first] is None else rest.filter(F.col(first) >= self.last[first])
+    """A result kept in order, read by position in any direction.
+
+    The result is stored once, cut along its order into chunks (folders of a partition column), with a directory of the
+    rows in each: so a position, absolute, relative or from the end, is in one chunk, and a fetch opens only the chunks
+    its range touches. The directory has at most ``ordered.MAX_CHUNKS`` rows. NULL keys come last. Rows with equal keys
+    stand in the order of their other columns; rows alike in all are told apart by nothing.
+
+    The cursor stands before the first row (position 0), on the row fetched last, or after the last row. ``fetch`` and
+    ``move`` take ``next``, ``prior``, ``first``, ``last``, ``absolute`` and ``relative`` with a number, and ``forward``
+    and ``backward`` with a number or ``"all"``.
+    """
+
+    def __init__(self, df: DataFrame, order: Sequence[str], scroll: bool = True, chunks: int | None = None):
+        self.scroll, self.at, self.columns = scroll, 0, df.columns
+        named = [n for n, _ in ordered.parse_order(order)]
+        plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant") and f.name not in named]
+        self.order = [*order, *plain]
+        path = scratch_path(df.sparkSession, "cursor")
+        self.bounds = {}
+        placed = df.withColumn("__chunk", ordered.chunk_of(df, list(order), chunks).cast("int"))
+        placed.repartition("__chunk").write.partitionBy("__chunk").parquet(path)
+        # an empty result leaves no folder to read a schema from
+        kept = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("__chunk", IntegerType())])).parquet(path)
+        self.stored = kept
+        self.count = 0
+        for r in kept.groupBy("__chunk").agg(F.count(F.lit(1)).alias("n")).orderBy("__chunk").collect():
+            self.bounds[r["__chunk"]] = (self.count, self.count + r.n)
+            self.count += r.n
+
+    def _range(self, first: int, last: int) -> DataFrame:
+        """Rows from one position to another, with ``position``."""
+        chunks = [c for c, (a, b) in self.bounds.items() if a < last and b >= first]
+        few = self.stored.filter(F.col("__chunk").isin(chunks))
+        starts = F.create_map(*[F.lit(x) for c in chunks for x in (c, self.bounds[c][0])]) if chunks else F.lit(None).cast("map<int,int>")
+        number = F.row_number().over(Window.partitionBy("__chunk").orderBy(*ordered.sort_columns(self.order)))
+        return few.withColumn("position", (starts[F.col("__chunk")] + number).cast("long")).filter(F.col("position").between(first, last)).drop("__chunk")
+
+    def _span(self, direction: str, n: int | str | None) -> tuple[int, int, bool]:
+        """First and last position asked for, and whether they are read backward; moves the cursor."""
+        at, end = self.at, self.count + 1
+        if direction in ("next", "prior"):
+            direction, n = ("forward" if direction == "next" else "backward"), 1
+        if direction in ("first", "last"):
+            direction, n = "absolute", 1 if direction == "first" else -1
+        if direction in ("forward", "backward") and isinstance(n, int) and n < 0:
+            direction, n = ("backward" if direction == "forward" else "forward"), -n
+        if direction in ("forward", "backward") and n == 0:
+            direction = "relative"
+        if direction in ("absolute", "relative"):
+            goal = at + n if direction == "relative" else n if n >= 0 else end + n
+            goal = min(max(goal, 0), end)
+            if goal < at or (goal == at and not 0 < at < end):
+                self._backward(goal < at)
+            self.at = goal
+            return goal, goal, False
+        if direction == "forward":
+            first, last = at + 1, self.count if n == "all" else min(at + n, self.count)
+            self.at = end if n == "all" or at + n > self.count else last
+            return first, last, False
+        if direction == "backward":
+            self._backward(True)
+            first, last = 1 if n == "all" else max(at - n, 1), at - 1
+            self.at = 0 if n == "all" or at - n < 1 else first
+            return first, last, True
+        raise ValueError(direction)
+
+    def _backward(self, goes_back: bool) -> None:
+        if goes_back and not self.scroll:
+            raise ValueError("this cursor can only scan forward")
+
+    def fetch(self, direction: int | str = "next", n: int | str | None = None) -> DataFrame:
+        """Rows in the order they are passed; a number alone is ``forward``."""
+        rows = self.fetch_numbered(direction, n)
+        return rows.drop("position")
+
+    def fetch_numbered(self, direction: int | str = "next", n: int | str | None = None) -> DataFrame:
+        """The same with ``position``, the row's number from 1."""
+        if isinstance(direction, int):
+            direction, n = "forward", direction
+        first, last, backward = self._span(direction, n)
+        first, last = max(first, 1), min(last, self.count)
+        return self._range(first, last).orderBy(F.desc("position") if backward else "position")
+
+    def move(self, direction: int | str = "next", n: int | str | None = None) -> int:
+        """Reposition without reading; returns how many rows a fetch would have given."""
+        if isinstance(direction, int):
+            direction, n = "forward", direction
+        first, last, _ = self._span(direction, n)
+        return max(0, min(last, self.count) - max(first, 1) + 1)
 
 
 def _bag(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tablewright.functions import textsearch as ts
+from tablewright.operators import ordered
 from tablewright.plans.registry import query
 from tablewright.session import scratch_path
 from tablewright.streaming import changes
@@ -14,6 +17,20 @@ def op_of(kind):
     return F.when(kind == "signup", "I").when(kind == "error", "D").otherwise("U")
 
 
+def in_turns(t, feed, key, seq, full, derive=None):
+    """Apply a feed that arrives in three turns, in order, compacting after all but the last; returns the target."""
+    base = scratch_path(t.spark, "changes")
+    third = ordered.chunk_of(feed, [seq], 3)
+    files = 1 + math.isqrt(feed.count()) // 1000
+    for turn in range(3):
+        part = feed.filter(third == turn) if turn < 2 else feed.filter(third >= 2)
+        part.repartitionByRange(files, seq).write.mode("append").parquet(f"{base}/feed")
+        changes.start_apply(t.spark, f"{base}/feed", feed.schema, f"{base}/target", key, seq, f"{base}/offsets", derive, files_per_batch=max(1, files // 2)).awaitTermination()
+        if turn < 2:
+            changes.compact(t.spark, f"{base}/target", key, seq, full=full)
+    return f"{base}/target"
+
+
 @query(
     "cdc_apply", "2.23.1",
     """
@@ -21,13 +38,9 @@ def op_of(kind):
     """,
 )
 def cdc_apply(t):
-    base = scratch_path(t.spark, "cdc")
     feed = t.events.select("user_id", "event_id", "value", op_of(F.col("event_type")).alias("op"))
-    feed.repartitionByRange(6, "event_id").write.parquet(f"{base}/feed")
-    q = changes.start_apply(t.spark, f"{base}/feed", feed.schema, f"{base}/target", ["user_id"], "event_id", f"{base}/offsets", files_per_batch=2)
-    q.awaitTermination()
-    changes.compact(t.spark, f"{base}/target", ["user_id"], "event_id")
-    return changes.current(t.spark, f"{base}/target", ["user_id"], "event_id", base=True).select("user_id", "event_id", "value")
+    target = in_turns(t, feed, ["user_id"], "event_id", full=False)
+    return changes.current(t.spark, target, ["user_id"], "event_id").select("user_id", "event_id", "value")
 
 
 @query(
@@ -54,13 +67,10 @@ def change_feed_text(t):
     """,
 )
 def derived_column_upkeep(t):
-    base = scratch_path(t.spark, "derived")
     feed = t.conversations.select("conv_id", "turn", "text", F.lit("U").alias("op"))
-    feed.repartitionByRange(4, "turn", "conv_id").write.parquet(f"{base}/feed")
     derive = lambda rows: rows.withColumn("words", ts.length(ts.to_vector(F.col("text"))))
-    q = changes.start_apply(t.spark, f"{base}/feed", feed.schema, f"{base}/target", ["conv_id"], "turn", f"{base}/offsets", derive, files_per_batch=2)
-    q.awaitTermination()
-    return changes.current(t.spark, f"{base}/target", ["conv_id"], "turn").select("conv_id", "turn", "words")
+    target = in_turns(t, feed, ["conv_id"], "turn", full=True, derive=derive)
+    return changes.current(t.spark, target, ["conv_id"], "turn").select("conv_id", "turn", "words")
 
 
 @query("unchanged_updates_dropped", "2.23.3", "SELECT c_custkey, c_mktsegment FROM (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment, c_mktsegment AS old FROM customer) WHERE c_mktsegment <> old")

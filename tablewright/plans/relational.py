@@ -247,17 +247,38 @@ def sample_rows(t):
 @query(
     "cursor_pages", "2.6.11",
     """
-    SELECT page::INTEGER AS page, o_orderkey, o_totalprice FROM (
-      SELECT o_orderkey, o_totalprice, (row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) // 20 AS page FROM orders) WHERE page < 3
+    SELECT (position - 1) // 20 AS page, position, o_orderkey, o_totalprice FROM (
+      SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice NULLS LAST, o_orderkey) AS position FROM (
+        SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders))
     """,
 )
 def cursor_pages(t):
-    cursor = relational.Cursor(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"])
-    out = None
-    for page in range(3):
-        part = cursor.fetch(20).withColumn("page", F.lit(page))
+    # every page to the end, in one pass; some keys are NULL
+    priced = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 50 != 0, F.col("o_totalprice")).alias("o_totalprice"))
+    cursor = relational.Cursor(priced, ["o_totalprice", "o_orderkey"])
+    return cursor.fetch_numbered("forward", "all").select(F.expr("(position - 1) div 20").alias("page"), "position", "o_orderkey", "o_totalprice")
+
+
+#: Direction, number, and the positions that it gives, in SQL over ``n`` rows.
+SCROLLS = [
+    ("forward", 5, "p BETWEEN 1 AND 5"), ("backward", 3, "p BETWEEN 2 AND 4"), ("absolute", -1, "p = n"), ("relative", -10, "p = n - 10"), ("prior", None, "p = n - 11"),
+    ("last", None, "p = n"), ("next", None, "false"), ("backward", 7, "p BETWEEN n - 6 AND n"), ("first", None, "p = 1"), ("prior", None, "false"), ("absolute", 700, "p = 700"),
+    ("forward", 0, "p = 700"), ("backward", "all", "p < 700"), ("forward", 2, "p BETWEEN 1 AND 2"), ("forward", "all", "p > 2"),
+]
+
+
+@query(
+    "cursor_scroll", "2.6.11",
+    """
+    WITH o AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey) AS p, count(*) OVER () AS n FROM orders)
+    """ + " UNION ALL ".join(f"SELECT {i}::INTEGER AS step, p AS position, o_orderkey FROM o WHERE {where}" for i, (_, _, where) in enumerate(SCROLLS)),
+)
+def cursor_scroll(t):
+    cursor, out = relational.Cursor(t.orders.select("o_orderkey", "o_orderdate"), ["-o_orderdate", "o_orderkey"]), None
+    for i, (direction, n, _) in enumerate(SCROLLS):
+        part = cursor.fetch_numbered(direction, n).select(F.lit(i).alias("step"), "position", "o_orderkey")
         out = part if out is None else out.unionByName(part)
-    return out.select("page", "o_orderkey", "o_totalprice")
+    return out
 
 
 @query(

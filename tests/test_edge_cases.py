@@ -24,7 +24,7 @@ def test_cursor_passes_null_keys(spark):
     rows = [(None, 1), (None, 2), (None, 3), (1, 4), (2, 5)]
     cursor = Cursor(spark.createDataFrame(rows, "a int, b int"), ["a", "b"])
     pages = [[r.b for r in cursor.fetch(2).collect()] for _ in range(4)]
-    assert pages == [[1, 2], [3, 4], [5], []]
+    assert pages == [[4, 5], [1, 2], [3], []]
 
 
 def test_json_arrays_have_their_strings(spark):

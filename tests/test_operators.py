@@ -83,25 +83,6 @@ def test_samples_are_stable_and_sized(spark):
     assert relational.reservoir(df, 50, 1, ["id"]).count() == 50
 
 
-def test_cursor(spark):
-    df = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 0)], "a int, b int")
-    c = relational.Cursor(df, ["a", "b"])
-    assert [tuple(r) for r in c.fetch(2).collect()] == [(1, 1), (1, 2)]
-    c.move(1)
-    assert [tuple(r) for r in c.fetch(5).collect()] == [(3, 0)]
-    assert c.fetch(5).count() == 0
-
-
-def test_replayed_batches_do_not_double(spark):
-    base = scratch_path(spark, "replay")
-    feed = spark.createDataFrame([(1, 1, "I", 5.0), (1, 2, "U", 6.0), (2, 3, "I", 7.0), (2, 4, "D", None)], "k int, seq int, op string, v double")
-    feed.write.parquet(f"{base}/feed")
-    for attempt in range(2):  # a second query with fresh offsets runs every batch again
-        changes.start_apply(spark, f"{base}/feed", feed.schema, f"{base}/t", ["k"], "seq", f"{base}/offsets{attempt}").awaitTermination()
-    assert rows(changes.current(spark, f"{base}/t", ["k"], "seq").select("k", "v")) == [(1, 6.0)]
-    assert changes.deltas(spark, f"{base}/t").count() == 2
-
-
 def test_feed_options(spark):
     c = spark.createDataFrame([(7, 1, "I", 3, "it's")], "xid int, seq int, op string, id int, note string")
     f = changes.feed_texts(c, "public.t", ["id"], ["id", "note"], "op", "xid", "seq", include_xids=False, skip_empty=False, all_xids=spark.createDataFrame([(8,)], "xid int"))

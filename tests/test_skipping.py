@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import skipping
 from tablewright.session import scratch_path
+from tests.plans import files_opened
 
 PREDICATES = [("<", 100), ("<=", 5000), ("=", 5000), ("=", 777), (">=", 19990), (">", 19999), ("=", -3), ("<", -3), (">", 1000000)]
 
@@ -29,24 +30,6 @@ def clean(spark):
     return skipping.read_blocks(spark, path)
 
 
-def files_opened(df):
-    """Files that the scans of a plan with a partition filter have read, from their own counters."""
-    df.collect()
-    names, stack = [], [df._jdf.queryExecution().executedPlan()]
-    while stack:
-        node = stack.pop()
-        if "AdaptiveSparkPlan" in node.nodeName():
-            stack.append(node.executedPlan())
-        elif "QueryStage" in node.nodeName():
-            stack.append(node.plan())
-        elif "Scan parquet" in node.nodeName():
-            metric = node.metrics().get("numFiles")
-            names.append((metric.get().value(), "dynamicpruning" in node.simpleString(1000)))
-        else:
-            stack += [node.children().apply(i) for i in range(node.children().size())]
-    return names
-
-
 @pytest.mark.parametrize("op, value", PREDICATES)
 def test_skipping_equals_full_scan(spark, history, op, value):
     index = skipping.Index.build(history, "id2", buckets=50, density=20)
