@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablewright.functions.expressions import parse
+
 
 def position(a: Column, v: Column, start: int = 1) -> Column:
     """First index of a value at or after ``start``; NULL when absent."""
@@ -106,17 +108,10 @@ def intersect_sorted(a: Column, b: Column) -> Column:
 
 def boolean_query(text: str, leaf) -> Column:
     """Column of a small boolean expression with ``& | ! ( )`` over leaf words."""
-    tokens = re.findall(r"[&|!()]|[^&|!()\s]+", text)
-    words: list[Column] = []
-    source = []
-    glue = {"&": "&", "|": "|", "!": "~", "(": "(", ")": ")"}
-    for token in tokens:
-        if token in glue:
-            source.append(glue[token])
-        else:
-            source.append(f"w[{len(words)}]")
-            words.append(leaf(token))
-    return eval("".join(source), {"__builtins__": {}}, {"w": words})  # noqa: S307 - only w[i] and operators
+    out = parse(text, leaf, lambda a, b: a & b, lambda a, b: a | b, lambda a: ~a)
+    if out is None:
+        raise ValueError("an empty expression")
+    return out
 
 
 def matches_query(a: Column, query: str) -> Column:

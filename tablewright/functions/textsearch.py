@@ -7,6 +7,7 @@ evaluated inside the scan; nothing is shuffled.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
@@ -15,9 +16,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions import arrays as ar
 from tablewright.functions import stemming
 from tablewright.functions.core import bind
+from tablewright.functions.expressions import parse as parse_expression
+from tablewright.functions.expressions import unquoted
 
 # English stop words.
 STOP_ENGLISH = (
@@ -162,6 +164,15 @@ class Query:
         """Distinct words, outside of negations."""
         return list(dict.fromkeys(t for p in self.parts for t in p.terms()))
 
+    def leaves(self) -> list[Term]:
+        """Distinct words, those of negations as well."""
+        return list(dict.fromkeys(t for p in self.parts for t in p.leaves()))
+
+    def extents(self, at: Mapping[Term, list[int]]) -> list[tuple[int, int]]:
+        """Shortest stretches (first and last position) that match, given each word's positions in order. None of them
+        holds another one, so they are in order by both ends."""
+        raise NotImplementedError
+
     def nodes(self) -> int:
         """Number of words and operators."""
         return 1 + sum(p.nodes() for p in self.parts)
@@ -216,6 +227,12 @@ class Term(Query):
     def terms(self) -> list[Term]:
         return [self]
 
+    def leaves(self) -> list[Term]:
+        return [self]
+
+    def extents(self, at):
+        return [(p, p) for p in at[self]]
+
     def nodes(self) -> int:
         return 1
 
@@ -237,12 +254,26 @@ class And(Query):
     def __init__(self, *parts: Query):
         self.parts = parts
 
+    @classmethod
+    def of(cls, *parts: Query) -> Query:
+        """Joined parts, those of the same kind taken apart."""
+        return cls(*[q for p in parts for q in (p.parts if isinstance(p, cls) else (p,))])
+
     def on(self, v: Column) -> Column:
         out = self.parts[0].on(v)
         for p in self.parts[1:]:
             out = out & p.on(v)
         return out
 
+    def extents(self, at):
+        """Stretches with a match of every part that is not negated, and with none of those that are."""
+        wanted = [p.extents(at) for p in self.parts if not isinstance(p, Not)]
+        out = _together(wanted)
+        for p in self.parts:
+            if isinstance(p, Not):
+                out = _without(out, p.parts[0].extents(at))
+        return out
+
     def __repr__(self):
         return " & ".join(f"( {p} )" if isinstance(p, Or) else repr(p) for p in self.parts)
 
@@ -251,6 +282,8 @@ class Or(Query):
     def __init__(self, *parts: Query):
         self.parts = parts
 
+    of = classmethod(And.of.__func__)
+
     def on(self, v: Column) -> Column:
         out = self.parts[0].on(v)
         for p in self.parts[1:]:
@@ -263,6 +296,10 @@ class Or(Query):
             out = F.array_union(out, p.positions(v))
         return out
 
+    def extents(self, at):
+        """Of any part; a negation alone has no place."""
+        return _shortest(e for p in self.parts for e in p.extents(at))
+
     def __repr__(self):
         return " | ".join(map(repr, self.parts))
 
@@ -277,6 +314,9 @@ class Not(Query):
     def terms(self) -> list[Term]:
         return []
 
+    def extents(self, at):
+        return []
+
     def indexable(self) -> Query | None:
         return None
 
@@ -293,6 +333,11 @@ class Phrase(Query):
         left, right = (p.positions(v) for p in self.parts)
         return F.array_intersect(F.transform(left, lambda x: x + self.distance), right)
 
+    def extents(self, at):
+        left, right = (p.extents(at) for p in self.parts)
+        starts = {last: first for first, last in left}
+        return _shortest((starts[q - self.distance], q) for _, q in right if q - self.distance in starts)
+
     def rebuild(self, parts: list[Query]) -> Query:
         return Phrase(*parts, self.distance)
 
@@ -303,6 +348,40 @@ class Phrase(Query):
         return (" <-> " if self.distance == 1 else f" <{self.distance}> ").join(map(repr, self.parts))
 
 
+def _shortest(extents: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Without those that hold another one."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(set(extents), key=lambda e: (e[1], -e[0])):
+        if not out or first > out[-1][0]:
+            out.append((first, last))
+    return out
+
+
+def _together(parts: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """Shortest stretches that hold one of each part: for every end the latest match of each part up to it."""
+    if not parts or not all(parts):
+        return []
+    ends = sorted((last, i, first) for i, part in enumerate(parts) for first, last in part)
+    latest: list[int | None] = [None] * len(parts)
+    out = []
+    for last, i, first in ends:
+        latest[i] = first
+        if None not in latest:
+            out.append((min(latest), last))
+    return _shortest(out)
+
+
+def _without(extents: list[tuple[int, int]], unwanted: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those that hold none of the unwanted ones."""
+    out, k = [], 0
+    for first, last in extents:
+        while k < len(unwanted) and unwanted[k][0] < first:
+            k += 1
+        if k == len(unwanted) or unwanted[k][1] > last:
+            out.append((first, last))
+    return out
+
+
 def match(v: Column, query: Query) -> Column:
     """``vector @@ query``; the vector is made once, however many words are asked for."""
     return bind(v, query.on)
@@ -368,13 +447,32 @@ def phrase_query(text: str, config: str = "simple") -> Query:
     return out
 
 
-def to_query(text: str, config: str = "simple") -> Query:
-    """``fat & (rat | cat:*) & !dog:AB`` as a query."""
-    def leaf(token: str) -> Query:
-        word, _, flags = token.partition(":")
-        return Term(normalise(word, config), "*" in flags, flags.replace("*", "").upper())
+def to_query(text: str, config: str = "simple") -> Query | None:
+    """``fat & (rat | cat:*) & !dog:AB``, ``'old town' <-> (hall | square) <2> clock`` as a query; None when only stop
+    words are left."""
+
+    def leaf(token: str) -> Query | None:
+        word, flags = unquoted(token)
+        found = [w for w in re.findall(r"[^\W_]+", word.lower()) if config == "simple" or w not in STOP_ENGLISH]
+        parts = [Term(normalise(w, config), "*" in flags, "".join(sorted(set(flags.upper()) & set("ABCD")))) for w in found]
+        return None if not parts else parts[0] if len(parts) == 1 else And(*parts)
+
+    return parse_expression(text, leaf, And.of, Or.of, Not, in_sequence)
 
-    return ar.boolean_query(text, leaf)
+
+def in_sequence(left: Query, right: Query, distance: int = 1) -> Query:
+    """``right`` so many words after ``left``, with the operators of both drawn out of the phrase: words and phrases are
+    left in it. What may not follow, or precede, is excluded from what must stand there."""
+    for side, other, put in ((left, right, lambda p, o: in_sequence(p, o, distance)), (right, left, lambda p, o: in_sequence(o, p, distance))):
+        if isinstance(side, (And, Or)):
+            return type(side).of(*[put(p, other) for p in side.parts])
+    if isinstance(left, Not) and isinstance(right, Not):
+        return And.of(left, right)
+    if isinstance(left, Not):
+        return And.of(Not(in_sequence(left.parts[0], right, distance)), right)
+    if isinstance(right, Not):
+        return And.of(left, Not(in_sequence(left, right.parts[0], distance)))
+    return Phrase(left, right, distance)
 
 
 # -- ranking -------------------------------------------------------------------
@@ -451,10 +549,57 @@ def rank(v: Column, query: Query, weights: Mapping[str, float] = WEIGHTS, norm:
     return normalise_rank(bind(F.filter(v, asked), lambda few: score(few, terms, weights)), v, norm)
 
 
-def normalise_rank(r: Column, v: Column, norm: int, log_base: float = 2.0) -> Column:
-    """Rank adjusted for the size of the document."""
+def cover_rank(v: Column, query: Query, weights: Mapping[str, float] = WEIGHTS, norm: int = 0) -> Column:
+    """Struct of ``rank`` and ``covers``: every shortest stretch that matches adds its words' weight, divided by one
+    plus the number of other words inside. Any query will do; a negation excludes the stretches that hold its match.
+
+    ``norm`` as for :func:`rank`, and 4 for the mean harmonic distance between covers. Only the occurrences of the
+    query's words leave the JVM.
+    """
+    leaves = query.leaves()
+
+    def seen(o: Column) -> Column:
+        bits = F.lit(0).cast("long")
+        for i, t in enumerate(leaves):
+            bits = bits + F.when(t._test(o), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+        return F.struct(o["pos"].cast("int").alias("pos"), bits.alias("bits"), (1.0 / _weight(o["w"], weights)).alias("inv"))
+
+    @F.pandas_udf("struct<rank:double,covers:long>")
+    def covered(occurrences: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_covers(o, query, leaves, bool(norm & 4)) for o in occurrences], columns=["rank", "covers"])
+
+    few = F.filter(F.transform(v, seen), lambda o: o["bits"] > 0)
+    return bind(F.struct(covered(few).alias("c"), v.alias("v")), lambda s: F.struct(
+        normalise_rank(s["c"]["rank"], s["v"], norm, natural=True).alias("rank"), s["c"]["covers"].alias("covers")))
+
+
+def _covers(occurrences, query: Query, leaves: Sequence[Term], spread: bool) -> tuple[float, int]:
+    rows = sorted((o["pos"], o["inv"], o["bits"]) for o in occurrences) if occurrences is not None else []
+    at = {t: [p for p, _, bits in rows if bits >> i & 1] for i, t in enumerate(leaves)}
+    places, sums = [p for p, _, _ in rows], [0.0]
+    for _, inv, _ in rows:
+        sums.append(sums[-1] + inv)
+    total = near = 0.0
+    before = None
+    extents = query.extents(at)
+    for first, last in extents:
+        a, b = bisect.bisect_left(places, first), bisect.bisect_right(places, last)
+        others = (last - first) - (b - a - 1)
+        total += (b - a) / (sums[b] - sums[a]) / (1 + (others if others >= 0 else (b - a - 1) // 2))
+        middle = (first + last) / 2
+        if before is not None and middle > before:
+            near += 1 / (middle - before)
+        before = middle
+    if spread and near > 0:
+        total /= len(extents) / near
+    return total, len(extents)
+
+
+def normalise_rank(r: Column, v: Column, norm: int, natural: bool = False) -> Column:
+    """Rank adjusted for the size of the document; with ``natural`` logarithms for its length."""
     import math
 
+    log_base = math.e if natural else 2.0
     size, uniq = F.size(v), length(v)
     if norm & 1:
         r = r / (F.log(size + 1.0) / math.log(log_base))

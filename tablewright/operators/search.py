@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions import textsearch as ts
@@ -38,51 +39,10 @@ def match_postings(index: DataFrame, key: str, all_of: Sequence[str], none_of: S
     return hits.filter((F.col("__yes") == len(set(all_of))) & (F.col("__no") == 0)).select(key)
 
 
-def cover_rank(df: DataFrame, key: str, vector: Column, query: ts.Query, weights=ts.WEIGHTS) -> DataFrame:
-    """Cover density: every shortest stretch that holds all words adds its weight,
-    divided by one plus the number of other words inside.
-
-    For alternatives every occurrence is a stretch; a phrase of two words keeps the
-    stretches of its distance. Only occurrences of the query's words leave the scan.
-    """
-    terms = query.terms()
-    seen = occurrences(df, key, vector).withColumn("__t", _which(terms)).filter("__t >= 0")
-    if isinstance(query, (ts.Or, ts.Term)):
-        return seen.groupBy(key).agg(F.sum(ts._weight(F.col("w"), weights)).alias("rank"), F.count(F.lit(1)).alias("covers"))
-    w = Window.partitionBy(key).orderBy("pos", "__t").rowsBetween(Window.unboundedPreceding, 0)
-    latest = F.array(*[F.last(F.when(F.col("__t") == i, F.struct("pos", "__i")), ignorenulls=True).over(w) for i in range(len(terms))])
-    inverse = 1.0 / ts._weight(F.col("w"), weights)
-    marked = (
-        seen.withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy("pos", "__t")))
-        .withColumn("__inv", F.sum(inverse).over(w)).withColumn("__own", inverse)
-        .withColumn("__latest", latest).filter(~F.exists("__latest", lambda x: x.isNull()))
-        .withColumn("__p", F.array_min("__latest"))
-    )
-    # the first end for each start is the shortest stretch from there
-    covers = marked.groupBy(key, "__p").agg(F.min_by(F.struct("pos", "__i", "__inv"), "__i").alias("e"))
-    starts = marked_inverse(seen, key, inverse)
-    spans = covers.withColumn("__i", F.col("__p.__i")).join(starts, [key, "__i"])
-    if isinstance(query, ts.Phrase):
-        spans = spans.filter((F.col("e.pos") - F.col("__p.pos") == query.distance) & (F.col("__first") == 0))
-    count = F.col("e.__i") - F.col("__i") + 1
-    inv = F.col("e.__inv") - F.col("__before")
-    noise = (F.col("e.pos") - F.col("__p.pos")) - (count - 1)
-    noise = F.when(noise < 0, F.floor((count - 1) / 2)).otherwise(noise)
-    return spans.groupBy(key).agg(F.sum((count / inv) / (1 + noise)).alias("rank"), F.count(F.lit(1)).alias("covers"))
-
-
-def _which(terms: Sequence[ts.Term]) -> Column:
-    out = F.lit(-1)
-    for i, t in reversed(list(enumerate(terms))):
-        out = F.when(t._test(F.struct("term", "w")), F.lit(i)).otherwise(out)
-    return out
-
-
-def marked_inverse(seen: DataFrame, key: str, inverse: Column) -> DataFrame:
-    """Sum of inverse weights before each occurrence."""
-    w = Window.partitionBy(key).orderBy("pos", "__t")
-    before = F.coalesce(F.sum(inverse).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return seen.select(key, F.row_number().over(w).alias("__i"), before.alias("__before"), F.col("__t").alias("__first"))
+def cover_rank(df: DataFrame, key: str, vector: Column, query: ts.Query, weights=ts.WEIGHTS, norm: int = 0) -> DataFrame:
+    """``key rank covers`` of the documents with a cover, for any query; nothing is shuffled."""
+    found = df.select(key, ts.cover_rank(vector, query, weights, norm).alias("c"))
+    return found.filter("c.covers > 0").select(key, "c.rank", "c.covers")
 
 
 def apply_dictionary(tokens: DataFrame, column: str, dictionary: DataFrame, word: str, to: str) -> DataFrame:
@@ -99,12 +59,61 @@ def integer_dictionary(token: Column, max_length: int = 6, reject_long: bool = F
     return F.when(number & (F.length(token) > max_length), cut).otherwise(token)
 
 
-def thesaurus(text: Column, phrases: dict[str, str]) -> Column:
-    """Replace whole-word phrases, the longest first."""
-    out = F.concat(F.lit(" "), F.array_join(ts.words(text), " "), F.lit(" "))
-    for phrase in sorted(phrases, key=len, reverse=True):
-        out = F.replace(out, F.lit(f" {phrase} "), F.lit(f" {phrases[phrase]} "))
-    return F.trim(out)
+def thesaurus(tokens: Column, phrases: dict[str, str], stop: Sequence[str] = ()) -> Column:
+    """Replace phrases in an array of words: the longest that begins at a word, then on behind it. What was put in is not
+    looked at again. ``?`` in a phrase stands for any one of the stop words. The phrases form one tree of words, so a
+    document costs its words, times the longest phrase at most.
+    """
+    tree: dict = {}
+    for phrase, to in phrases.items():
+        node = tree
+        for w in phrase.split():
+            node = node.setdefault(w, {})
+        node[None] = to.split()
+    stops = frozenset(stop)
+
+    @F.pandas_udf("array<string>")
+    def replaced(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda ws: None if ws is None else _replaced(list(ws), tree, stops))
+
+    return replaced(tokens)
+
+
+def _replaced(words: list[str], tree: dict, stops: frozenset[str]) -> list[str]:
+    out, at = [], 0
+    while at < len(words):
+        # all ways through the tree at once: a word may be both itself and a stop word
+        nodes, end, best, to = [tree], at, 0, None
+        while nodes and end < len(words):
+            w = words[end]
+            nodes = [n for node in nodes for n in (node.get(w), node.get("?") if w in stops else None) if n is not None]
+            end += 1
+            for n in nodes:
+                if None in n:
+                    best, to = end, n[None]
+                    break
+        if to is None:
+            out.append(words[at])
+            at += 1
+        else:
+            out += to
+            at = best
+    return out
+
+
+def extended_synonyms(
+    tokens: DataFrame, column: str, rules: DataFrame, word: str, synonyms: str,
+    keep_word: bool = True, match_word: bool = True, keep_synonyms: bool = True, match_synonyms: bool = False,
+) -> DataFrame:
+    """Replace a word by the words of its rule, one row each. A rule is a word and an array of synonyms; the options tell
+    which of them match and which are given back. Words of no rule stay; a word of several rules gets all of them, once
+    each; a word whose rule gives nothing back goes.
+    """
+    pick = lambda head, rest: F.concat(*[F.array(F.lower(word)) if head else F.array().cast("array<string>"), F.transform(synonyms, F.lower) if rest else F.array().cast("array<string>")])
+    matching = rules.select(F.explode(F.array_distinct(pick(match_word, match_synonyms))).alias("__w"), pick(keep_word, keep_synonyms).alias("__to"))
+    to = matching.groupBy("__w").agg(F.array_distinct(F.flatten(F.collect_list("__to"))).alias("__to"))
+    found = tokens.join(broadcast_if_small(to), F.lower(column) == F.col("__w"), "left")
+    return found.withColumn(column, F.explode(F.when(F.col("__w").isNull(), F.array(column)).otherwise(F.col("__to")))).drop("__w", "__to")
 
 
 def affix_stems(tokens: DataFrame, column: str, rules: Sequence[tuple[str, str]], vocabulary: DataFrame, word: str) -> DataFrame:

@@ -123,6 +123,41 @@ def fts_rank_cover(t):
     return search.cover_rank(t.spread("documents", "doc_id"), "doc_id", vec(), q).select("doc_id", F.round("rank", 6).alias("rank"), "covers")
 
 
+@query(
+    "fts_rank_cover_nested", "2.18.4",
+    f"""
+    WITH o AS (SELECT doc_id, pos, CASE term WHEN 'with' THEN 'a' WHEN 'of' THEN 'n' ELSE 'b' END AS part FROM {OCC} WHERE term IN ('with', 'was', 'by', 'of')),
+    m AS (SELECT *, row_number() OVER w AS i, max(CASE WHEN part = 'a' THEN pos END) OVER w AS pa, max(CASE WHEN part = 'b' THEN pos END) OVER w AS pb FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    e AS (SELECT doc_id, least(pa, pb) AS p, min(pos) AS q, min(i) AS qi FROM m WHERE pa IS NOT NULL AND pb IS NOT NULL GROUP BY ALL),
+    c AS (SELECT e.doc_id, p, q, qi - m.i + 1 AS k FROM e JOIN m ON m.doc_id = e.doc_id AND m.pos = e.p
+          WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = e.doc_id AND o.part = 'n' AND o.pos BETWEEN e.p AND e.q)),
+    d AS (SELECT *, (p + q) / 2 - lag((p + q) / 2) OVER (PARTITION BY doc_id ORDER BY q) AS gap FROM c)
+    SELECT doc_id, round(sum(0.1 / (1 + (q - p) - (k - 1))) / CASE WHEN sum(1 / gap) > 0 THEN count(*) / sum(1 / gap) ELSE 1 END, 6) AS rank, count(*) AS covers FROM d GROUP BY 1
+    """,
+)
+def fts_rank_cover_nested(t):
+    q = ts.to_query("with & (was | by) & !of")
+    return search.cover_rank(t.spread("documents", "doc_id"), "doc_id", vec(), q, norm=4).select("doc_id", F.round("rank", 6).alias("rank"), "covers")
+
+
+@query(
+    "fts_query_text", "2.18.2 2.18.3",
+    f"""
+    WITH o AS {OCC}, w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+    p AS (SELECT DISTINCT a.doc_id FROM o a JOIN o b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term IN ('the', 'that')),
+    q AS (SELECT DISTINCT a.doc_id FROM o a JOIN o b ON a.doc_id = b.doc_id AND b.pos = a.pos + 2 WHERE a.term = 'is' AND b.term = 'the'),
+    n AS (SELECT DISTINCT a.doc_id FROM o a JOIN o b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'with' AND b.term = 'the')
+    SELECT doc_id, doc_id IN (FROM p) AS near, doc_id IN (FROM q) AS far, list_contains(w, 'with') AND doc_id NOT IN (FROM n) AS excluded FROM w
+    WHERE doc_id IN (FROM p) OR doc_id IN (FROM q) OR list_contains(w, 'with') AND doc_id NOT IN (FROM n)
+    """,
+)
+def fts_query_text(t):
+    near, far, excluded = (ts.to_query(q) for q in ("of <-> (the | 'that')", "is <2> the", "with <-> !the"))
+    hits = lambda v: F.struct(near.on(v).alias("near"), far.on(v).alias("far"), excluded.on(v).alias("excluded"))
+    found = t.spread("documents", "doc_id").select("doc_id", bind(vec(), hits).alias("h")).select("doc_id", "h.*")
+    return found.filter("near OR far OR excluded")
+
+
 @query(
     "fts_headline", "2.18.5",
     r"""
@@ -194,10 +229,30 @@ def fts_dictionaries(t):
 
 @query(
     "fts_thesaurus", "2.18.10",
-    f"SELECT doc_id, md5(trim(replace(replace(' ' || array_to_string({WORDS_SQL}, ' ') || ' ', ' by the ', ' bythe '), ' of ', ' from '))) AS digest FROM documents",
+    f"""
+    WITH o AS (SELECT *, lead(term) OVER w AS next, lag(term) OVER w AS before FROM {OCC} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    r AS (SELECT doc_id, pos, CASE WHEN term IN ('by', 'of') AND next = 'the' THEN term || 'the' WHEN term = 'the' AND before IN ('by', 'of') THEN NULL WHEN term = 'of' THEN 'by' ELSE term END AS term FROM o)
+    SELECT d.doc_id, md5(coalesce(string_agg(term, ' ' ORDER BY pos), '')) AS digest FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND term IS NOT NULL GROUP BY 1
+    """,
 )
 def fts_thesaurus(t):
-    return t.spread("documents", "doc_id").select("doc_id", F.md5(search.thesaurus(F.col("text"), {"of": "from", "by the": "bythe"})).alias("digest"))
+    # 'of' becomes 'by', and that 'by' does not begin 'by the'
+    words = search.thesaurus(ts.words(F.col("text")), {"of": "by", "by the": "bythe", "of the": "ofthe"})
+    return t.spread("documents", "doc_id").select("doc_id", F.md5(F.array_join(words, " ")).alias("digest"))
+
+
+@query(
+    "fts_extended_synonyms", "2.18.10",
+    f"""
+    WITH r(word, others) AS (VALUES ('the', ['that', 'this']), ('is', ['was', 'be'])), o AS (SELECT term, count(*) AS n FROM {OCC} GROUP BY 1),
+    m AS (SELECT word AS w, list_prepend(word, others) AS outs FROM r UNION ALL SELECT unnest(others), list_prepend(word, others) FROM r)
+    SELECT term, sum(n)::BIGINT AS n FROM (SELECT unnest(coalesce(outs, [term])) AS term, n FROM o LEFT JOIN m ON m.w = o.term) GROUP BY 1
+    """,
+)
+def fts_extended_synonyms(t):
+    rules = t.spark.createDataFrame([("the", ["that", "this"]), ("is", ["was", "be"])], "word string, others array<string>")
+    tokens = t.spread("documents", "doc_id").select(F.explode(ts.words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return search.extended_synonyms(tokens, "term", rules, "word", "others", match_synonyms=True).groupBy("term").agg(F.sum("n").alias("n"))
 
 
 @query("fts_stems", "2.18.11")
