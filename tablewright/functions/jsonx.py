@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import decimal
 import json
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def path_of(keys: Sequence[str | int]) -> str:
@@ -233,5 +236,53 @@ def contains(j: Column, pattern: str) -> Column:
     return _holds(F.parse_json(j), json.loads(pattern), True)
 
 
+@F.pandas_udf(T.BooleanType())
+def _contains_json(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else held_in(_read(x), _read(y), True) for x, y in zip(a, b)], dtype="boolean")
+
+
+def contains_json(a: Column, b: Column) -> Column:
+    """``a @> b`` for two JSON texts of any shape: each key of an object with a value that holds the other's, each
+    element of an array in some element; at the top an array also holds a plain value. Texts that are no JSON raise."""
+    return _contains_json(a, b)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def leaves(j: pd.Series) -> pd.Series:
+    """Plain values of a JSON text with their path of keys, without the places in arrays; distinct."""
+    return pd.Series([None if x is None else sorted(set(_leaves(_read(x), ""))) for x in j])
+
+
+def _read(text: str):
+    # numbers as exact decimals, so that 1, 1.0 and 10e-1 are equal and long ones keep their digits
+    return json.loads(text, parse_int=decimal.Decimal, parse_float=decimal.Decimal)
+
+
+def held_in(a, b, top: bool = False) -> bool:
+    if isinstance(b, dict):
+        return isinstance(a, dict) and all(k in a and held_in(a[k], v) for k, v in b.items())
+    if isinstance(b, list):
+        if not isinstance(a, list):
+            return False
+        # plain elements by lookup, the others one by one
+        plain = {(type(x), x) for x in a if not isinstance(x, (dict, list))}
+        return all(any(held_in(y, x) for y in a if isinstance(y, (dict, list))) if isinstance(x, (dict, list)) else (type(x), x) in plain for x in b)
+    if top and isinstance(a, list):
+        return any(type(x) is type(b) and x == b for x in a)
+    return type(a) is type(b) and a == b
+
+
+def _leaves(x, path: str):
+    if isinstance(x, dict):
+        for k, v in x.items():
+            yield from _leaves(v, path + json.dumps(k) + ":")
+    elif isinstance(x, list):
+        for v in x:
+            yield from _leaves(v, path)
+    else:
+        # equal decimals are written alike
+        yield path + (str(x.normalize()) if isinstance(x, decimal.Decimal) and x else "0" if isinstance(x, decimal.Decimal) else json.dumps(x))
+
+
 def pretty(j: Column) -> Column:
     return F.to_json(F.parse_json(j), {"pretty": "true"})

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablewright.functions.core import bind
 
 
 def words(c: Column) -> Column:
@@ -40,54 +43,99 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def word_similarity(needle: Column, haystack: Column) -> Column:
-    """Greatest similarity of ``needle`` to any contiguous run of trigrams of ``haystack``."""
-    x = trigrams(needle)
-    stream = F.flatten(
-        F.transform(
-            words(haystack),
-            lambda w: F.transform(
-                F.sequence(F.lit(1), F.length(w) + 1),
-                lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)),
-            ),
-        )
-    )
-    n = F.size(stream)
-
-    def score(lo: Column, hi: Column) -> Column:
-        part = F.array_distinct(F.slice(stream, lo, hi - lo + 1))
-        return F.size(F.array_intersect(x, part)) / F.size(F.array_union(x, part))
-
-    best = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda lo: F.array_max(F.transform(F.sequence(lo, n), lambda hi: score(lo, hi))),
-    )
-    return F.when((n == 0) | (F.size(x) == 0), F.lit(0.0)).otherwise(F.array_max(best))
+    """Greatest similarity of ``needle`` to any contiguous run of trigrams of ``haystack``.
 
+    Work grows with the length of ``haystack``, times the trigrams of ``needle``.
+    """
+    return _word_similarity(F.lower(needle), F.lower(haystack))
 
-def edit_cost(a: Column, b: Column, insert: int = 1, delete: int = 1, substitute: int = 1) -> Column:
-    """Least cost of edits that turn ``a`` into ``b``, for short texts.
 
-    The table of costs is folded one letter of ``a`` at a time.
-    """
-    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+@F.pandas_udf(T.DoubleType())
+def _word_similarity(needle: pd.Series, haystack: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else best_extent(trigram_stream(x), trigram_stream(y)) for x, y in zip(needle, haystack)], dtype="float64")
 
-    def whole(s: Column) -> Column:
-        xs, ys = s["x"], s["y"]
-        n = F.size(ys)
-        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        first = F.transform(F.sequence(F.lit(0), n), lambda j: j * insert)
 
-        def row(costs: Column, letter: Column) -> Column:
-            def cell(done: Column, j: Column) -> Column:
-                swap = F.when(letter == F.get(ys, j - 1), 0).otherwise(substitute)
-                best = F.least(F.get(costs, j) + delete, F.element_at(done, -1) + insert, F.get(costs, j - 1) + swap)
-                return F.array_append(done, best)
+def trigram_stream(text: str) -> list[str]:
+    """All trigrams of a lower-case text in order, each word padded as in :func:`trigrams`."""
+    return [padded[i:i + 3] for w in re.findall(r"[^\W_]+", text) for padded in [f"  {w} "] for i in range(len(w) + 1)]
 
-            return F.aggregate(places, F.array(F.get(costs, F.lit(0)) + delete), cell)
 
-        return F.element_at(F.aggregate(xs, first, row), -1)
+def best_extent(wanted: list[str], stream: list[str]) -> float:
+    """Greatest share, of all distinct trigrams of both, that a run of ``stream`` has in common with ``wanted``.
 
-    return bind(F.struct(letters(a).alias("x"), letters(b).alias("y")), whole)
+    For every count of common trigrams the shortest run that ends at each place and has as many is found by moving its
+    start forward only; of those a shorter run never has more other trigrams.
+    """
+    own = set(wanted)
+    # what stands before the first and after the last common trigram is in no best run
+    hits = [i for i, g in enumerate(stream) if g in own]
+    if not hits:
+        return 0.0
+    stream = stream[hits[0]:hits[-1] + 1]
+    codes: dict[str, int] = {}
+    run = [codes.setdefault(g, len(codes)) for g in stream]
+    common = [g in own for g in codes]
+    best = 0.0
+    for count in range(1, sum(common) + 1):
+        seen, start, hit, other = [0] * len(codes), 0, 0, 0
+        for end, g in enumerate(run):
+            seen[g] += 1
+            if seen[g] == 1:
+                if common[g]:
+                    hit += 1
+                else:
+                    other += 1
+            # drop what is not needed at the start
+            while hit > count or (seen[run[start]] > 1 or not common[run[start]]) and hit >= count and start < end:
+                s = run[start]
+                seen[s] -= 1
+                if not seen[s]:
+                    if common[s]:
+                        hit -= 1
+                    else:
+                        other -= 1
+                start += 1
+            if hit == count and common[g]:
+                best = max(best, hit / (len(own) + other))
+    return best
+
+
+@F.pandas_udf(T.IntegerType())
+def _bounded_cost(a: pd.Series, b: pd.Series, insert: pd.Series, delete: pd.Series, substitute: pd.Series, bound: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else banded_cost(x, y, *w) for x, y, *w in zip(a, b, insert, delete, substitute, bound)], dtype="Int32")
+
+
+def edit_cost(a: Column, b: Column, insert: int = 1, delete: int = 1, substitute: int = 1, bound: int | None = None) -> Column:
+    """Least cost of edits that turn ``a`` into ``b``; with a bound, -1 for what is above it.
+
+    Only the band of the cost table that the bound can reach is filled. Equal costs without Python.
+    """
+    if insert == delete == substitute:
+        least = F.levenshtein(a, b) if bound is None else F.levenshtein(a, b, bound // insert)
+        return F.when(least >= 0, least * insert).otherwise(least)
+    return _bounded_cost(a, b, *[F.lit(x) for x in (insert, delete, substitute, -1 if bound is None else bound)])
+
+
+def banded_cost(a: str, b: str, insert: int, delete: int, substitute: int, bound: int) -> int:
+    """Least cost of turning ``a`` into ``b``, or -1 above the bound; a negative bound is none."""
+    if bound < 0:
+        bound = insert * len(b) + delete * len(a)
+    # so many letters of a, or of b, can be passed over within the bound
+    ahead = bound // insert if insert else len(b)
+    behind = bound // delete if delete else len(a)
+    above = bound + 1
+    row = [j * insert if j <= ahead else above for j in range(len(b) + 1)]
+    for i, letter in enumerate(a, 1):
+        low, high = max(0, i - behind), min(len(b), i + ahead)
+        new = [above] * (len(b) + 1)
+        if low == 0:
+            new[0] = min(above, i * delete)
+        for j in range(max(low, 1), high + 1):
+            new[j] = min(row[j - 1] + (letter != b[j - 1]) * substitute, row[j] + delete, new[j - 1] + insert, above)
+        row = new
+        if min(row[low:high + 1], default=above) > bound:
+            return -1
+    return row[-1] if row[-1] <= bound else -1
 
 
 # The digit each letter A..Z stands for in a sound code; 0 is silent.

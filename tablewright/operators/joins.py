@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions import strings
+from tablewright.functions import jsonx, strings
 from tablewright.operators import ordered
 
 LEVEL_LIMIT = 64
@@ -232,3 +232,59 @@ def edit_one_join(left: DataFrame, right: DataFrame, a: str, b: str, same: Seque
         pairs.withColumn("distance", F.levenshtein(a, b)).filter("distance <= 1")
         .select(*same, a, b, "distance").distinct()
     )
+
+
+def edit_join(
+    left: DataFrame, right: DataFrame, a: str, b: str, bound: int, insert: int = 1, delete: int = 1, substitute: int = 1, same: Sequence[str] = (),
+) -> DataFrame:
+    """Pairs of distinct texts whose edits from ``a`` to ``b`` cost at most ``bound``, within equal ``same`` columns.
+
+    So many edits are at most ``bound`` over the least cost. A text of ``b`` is cut into one piece more than that, so one
+    piece is left unchanged in ``a``, and it cannot have moved further than the edits before and after it allow. Pairs
+    meet on piece, number of the piece and length, and are verified once, in a band of the cost table. Texts of ``b`` too
+    short to be cut meet all texts of ``a`` of nearly their length.
+    """
+    same, edits = list(same), bound // min(insert, delete, substitute)
+    pieces = edits + 1
+    one = lambda df, c: df.select(*same, c).distinct().filter(F.col(c).isNotNull())
+    size = lambda n, i: F.floor((n + i) / pieces).cast("int")  # noqa: E731  pieces of nearly one length, the longer ones last
+    start = lambda n, i: F.aggregate(F.sequence(F.lit(0), i), F.lit(0), lambda s, k: s + F.when(k < i, size(n, k)).otherwise(0))
+    numbers = F.sequence(F.lit(0), F.lit(edits))
+
+    held, n = one(right, b), F.length(b)
+    cut = F.transform(numbers, lambda i: F.struct(i.alias("i"), F.substring(F.col(b), start(n, i) + 1, size(n, i)).alias("piece")))
+    whole = F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("piece")))
+    held = held.select(*same, b, n.alias("n"), F.explode(F.when(n >= pieces, cut).otherwise(whole)).alias("p")).select(*same, b, "n", "p.i", "p.piece")
+
+    probe, m = one(left, a), F.length(a)
+    probe = probe.withColumn("n", F.explode(F.sequence(F.greatest(m - edits, F.lit(0)), m + edits)))
+
+    def places(i: Column) -> Column:
+        """Where piece ``i`` of a text of length ``n`` may stand here, and what stands there."""
+        at, moved = start(F.col("n"), i), m - F.col("n")
+        low = F.greatest(at - i, at + moved - (edits - i), F.lit(0))
+        high = F.least(at + i, at + moved + (edits - i), m - size(F.col("n"), i))
+        span = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(span, lambda x: F.struct(i.alias("i"), F.substring(F.col(a), x + 1, size(F.col("n"), i)).alias("piece"))))
+
+    probe = probe.select(*same, a, "n", F.explode(F.when(F.col("n") >= pieces, F.flatten(F.transform(numbers, places))).otherwise(whole)).alias("p")).select(*same, a, "n", "p.i", "p.piece")
+    pairs = probe.join(held, [*same, "n", "i", "piece"]).select(*same, a, b).distinct()
+    return pairs.withColumn("distance", strings.edit_cost(F.col(a), F.col(b), insert, delete, substitute, bound)).filter("distance >= 0")
+
+
+def json_contains_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of distinct JSON texts of which ``a`` contains ``b``.
+
+    A document contains another one only if it has each of its values under the same keys. Pairs meet on the value of
+    ``b`` that the fewest texts of ``a`` have, and are verified; texts of ``b`` without any value (empty objects and
+    arrays) meet the texts of ``a`` of their kind.
+    """
+    one = lambda df, c: df.select(c).distinct().filter(F.col(c).isNotNull())
+    kind = lambda c: F.array(F.concat(F.lit("kind "), F.substring(F.ltrim(c), 1, 1)))
+    have = one(left, a).select(a, F.explode(F.concat(jsonx.leaves(F.col(a)), kind(a))).alias("leaf"))
+    rarity = have.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    found = jsonx.leaves(F.col(b))
+    ask = one(right, b).select(b, F.explode(F.when(F.size(found) > 0, found).otherwise(kind(b))).alias("leaf"))
+    # a value that no text of a has leaves its text without a partner
+    best = ask.join(rarity, "leaf", "left").groupBy(b).agg(F.min_by("leaf", F.coalesce("n", F.lit(0))).alias("leaf"))
+    return best.join(have, "leaf").select(a, b).filter(jsonx.contains_json(F.col(a), F.col(b)))

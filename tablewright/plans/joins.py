@@ -347,6 +347,19 @@ def fuzzy_record_link(t):
     return joins.edit_one_join(a, b, "left_word", "right_word", ["code"]).select("code", "left_word", "right_word", "distance")
 
 
+@query(
+    "join_edit_distance", "2.9.33",
+    """
+    WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[a-z]+')) AS w FROM pages),
+    q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark)
+    SELECT a.w AS left_word, b.w AS right_word, levenshtein(a.w, b.w)::INTEGER AS distance FROM w a, q b WHERE abs(length(a.w) - length(b.w)) <= 2 AND levenshtein(a.w, b.w) <= 2
+    """,
+)
+def join_edit_distance(t):
+    vocabulary = lambda df, text, name: df.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)).alias(name))
+    return joins.edit_join(vocabulary(titles(t), "title", "left_word"), vocabulary(t.benchmark, "text", "right_word"), "left_word", "right_word", 2)
+
+
 @query(
     "join_salted_hot_key", "2.3.1 2.3.4",
     """

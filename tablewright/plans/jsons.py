@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import jsonx
 from tablewright.functions import maps
+from tablewright.operators import joins
 from tablewright.plans.registry import query
 
 # a nested document per order line group, built by both sides in the same text form
@@ -117,6 +118,37 @@ def json_containment(t):
     )
 
 
+@query(
+    "json_containment_columns", "2.13.13",
+    """
+    SELECT o_orderkey, true AS whole, o_custkey % 3 = o_orderkey % 3 AND o_orderkey % 3 <> 0 AS tier, o_orderkey % 4 = 1 AND o_orderstatus = 'F' AS tags,
+           o_orderkey % 4 = o_orderkey % 5 AS number FROM orders
+    """,
+)
+def json_containment_columns(t):
+    j, k = F.col("j"), F.col("o_orderkey")
+    asked = docs(t).select(
+        k, j, F.concat(F.lit('{"tags":[],"cust":{"key":'), F.get_json_object(j, "$.cust.key"), F.lit("}}")).alias("whole"),
+        F.format_string('{"cust":{"tier":"t%s"}}', k % 3).alias("tier"), F.lit('{"tags":[1.0,"F"]}').alias("tags"), F.format_string('{"tags":[%s]}', k % 5).alias("number"),
+    )
+    return asked.select("o_orderkey", *[jsonx.contains_json(j, F.col(c)).alias(c) for c in ("whole", "tier", "tags", "number")])
+
+
+@query(
+    "json_containment_join", "2.13.13",
+    """
+    WITH e AS (SELECT DISTINCT '{"k":' || (props->>'k') || ',"t":["' || event_type || '",' || user_id || ']}' AS doc, (props->>'k')::INTEGER AS k, event_type, user_id FROM events),
+    q AS (SELECT DISTINCT '{"t":["' || event_type || '"],"k":' || user_id || '}' AS part, event_type, user_id AS k FROM events)
+    SELECT doc, part FROM e JOIN q USING (event_type, k)
+    """,
+)
+def json_containment_join(t):
+    key, kind, user = F.get_json_object("props", "$.k"), F.col("event_type"), F.col("user_id")
+    a = t.events.select(F.format_string('{"k":%s,"t":["%s",%s]}', key, kind, user).alias("doc"))
+    b = t.events.select(F.format_string('{"t":["%s"],"k":%s}', kind, user).alias("part"))
+    return joins.json_contains_join(a, b, "doc", "part")
+
+
 @query(
     "json_editing", "2.13.15 2.13.16 2.13.18",
     """

@@ -192,6 +192,24 @@ def trigram_similarity(t):
     )
 
 
+@query(
+    "word_similarity", "2.9.36",
+    r"""
+    WITH txts AS (SELECT DISTINCT regexp_extract(html, '<title>([^<]*)</title>', 1) AS txt FROM pages),
+    w AS (SELECT txt, unnest(list_filter(regexp_split_to_array(lower(txt), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w, generate_subscripts(list_filter(regexp_split_to_array(lower(txt), '[^\p{L}\p{N}]+'), lambda x: x <> ''), 1) AS n FROM txts),
+    g AS (SELECT txt, row_number() OVER (PARTITION BY txt ORDER BY n, i) AS p, substr('  ' || w || ' ', i, 3) AS g FROM w, LATERAL (SELECT unnest(range(1, length(w) + 2)) AS i)),
+    s AS (SELECT txt, list(g ORDER BY p) AS gs FROM g GROUP BY txt),
+    q AS (SELECT ['  t', ' th', 'the', 'her', 'ere', 're '] AS q),
+    r AS (SELECT txt, q, list_distinct(gs[a:b]) AS part FROM s, q, LATERAL (SELECT unnest(range(1, len(gs) + 1)) AS a), LATERAL (SELECT unnest(range(a, len(gs) + 1)) AS b)),
+    m AS (SELECT txt, max(len(list_intersect(part, q)) / (6 + len(part) - len(list_intersect(part, q)))) AS sim FROM r GROUP BY txt)
+    SELECT page_id, round(coalesce(sim, 0), 9) AS sim FROM pages LEFT JOIN m ON txt = regexp_extract(html, '<title>([^<]*)</title>', 1)
+    """,
+)
+def word_similarity(t):
+    title = t.pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("txt"))
+    return title.select("page_id", F.round(strings.word_similarity(F.lit("there"), F.col("txt")), 9).alias("sim"))
+
+
 @query(
     "unaccent_text", "2.9.37",
     "SELECT doc_id, md5("

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import pivots, recursion, relational
 from tablewright.plans.registry import query
+from tablewright.session import scratch_path
 
 
 @query(
@@ -77,7 +78,7 @@ def recursive_union_all(t):
 @query(
     "recursive_cte_sql", "2.8.4",
     """
-    WITH RECURSIVE r AS (SELECT n_nationkey AS k, n_regionkey AS g, 1 AS step FROM nation WHERE n_nationkey < 5
+    WITH RECURSIVE r AS (SELECT n_nationkey AS k, n_regionkey AS g, 1 AS step FROM nation
       UNION ALL SELECT k + 5, g, step + 1 FROM r WHERE k + 5 < 25)
     SELECT g, count(*) AS n, max(step)::INTEGER AS steps, count(c_custkey) AS customers FROM r LEFT JOIN customer ON c_nationkey = k GROUP BY g
     """,
@@ -85,7 +86,7 @@ def recursive_union_all(t):
 def recursive_cte_sql(t):
     return t.sql(
         """
-        WITH RECURSIVE r AS (SELECT n_nationkey AS k, n_regionkey AS g, 1 AS step FROM {nation} WHERE n_nationkey < 5
+        WITH RECURSIVE r AS (SELECT n_nationkey AS k, n_regionkey AS g, 1 AS step FROM {nation}
           UNION ALL SELECT k + 5, g, step + 1 FROM r WHERE k + 5 < 25)
         SELECT g, count(*) AS n, max(step) AS steps, count(c_custkey) AS customers FROM r LEFT JOIN {customer} ON c_nationkey = k GROUP BY g
         """
@@ -95,38 +96,50 @@ def recursive_cte_sql(t):
 @query(
     "recursive_reachable", "2.8.5",
     """
-    WITH RECURSIVE edge AS (SELECT DISTINCT s_nationkey AS f, c_nationkey AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-        JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > o_totalprice / 10000),
-    r AS (SELECT f AS start, t AS node FROM edge UNION SELECT r.start, e.t FROM r JOIN edge e ON e.f = r.node)
+    WITH RECURSIVE edge AS (
+      SELECT DISTINCT o_custkey * 4 AS f, l_partkey * 4 + 1 AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+      UNION ALL SELECT DISTINCT l_partkey * 4 + 1, l_suppkey * 4 + 2 FROM lineitem
+      UNION ALL SELECT s_suppkey * 4 + 2, s_nationkey::BIGINT * 4 + 3 FROM supplier
+      UNION ALL SELECT c_nationkey::BIGINT * 4 + 3, c_custkey * 4 FROM customer),
+    r AS (SELECT c_custkey * 4 AS start, c_custkey * 4 AS node FROM customer WHERE c_custkey IN (SELECT min(c_custkey) FROM customer UNION ALL SELECT max(c_custkey) FROM customer)
+      UNION SELECT r.start, e.t FROM r JOIN edge e ON e.f = r.node)
     SELECT start, node FROM r
     """,
 )
 def recursive_reachable(t):
+    # customers, the parts they ordered, the suppliers of those, the customers of the suppliers' nations, and so on
+    link = lambda df, f, kind, to, to_kind: df.select((F.col(f).cast("long") * 4 + kind).alias("f"), (F.col(to).cast("long") * 4 + to_kind).alias("t"))
+    ordered_parts = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
     edges = (
-        t.lineitem.join(t.orders, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_quantity") > F.col("o_totalprice") / 10000))
-        .join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-        .select(F.col("s_nationkey").alias("f"), F.col("c_nationkey").alias("t")).distinct()
-    ).persist()
-    seed = edges.select(F.col("f").alias("start"), F.col("t").alias("node"))
-    step = lambda r: r.join(edges, F.col("node") == F.col("f")).select("start", F.col("t").alias("node"))
-    out = recursion.fixpoint(seed, step)
-    edges.unpersist()
-    return out
+        link(ordered_parts, "o_custkey", 0, "l_partkey", 1).distinct().unionAll(link(t.lineitem, "l_partkey", 1, "l_suppkey", 2).distinct())
+        .unionAll(link(t.supplier, "s_suppkey", 2, "s_nationkey", 3)).unionAll(link(t.customer, "c_nationkey", 3, "c_custkey", 0))
+    )
+    path = scratch_path(t.spark, "edges")
+    edges.write.parquet(path)
+    edges = t.spark.read.parquet(path)
+    ends = t.customer.agg(F.min("c_custkey").alias("a"), F.max("c_custkey").alias("b")).select(F.explode(F.array("a", "b")).alias("k"))
+    seed = ends.select((F.col("k") * 4).alias("start"), (F.col("k") * 4).alias("node"))
+    return recursion.fixpoint(seed, lambda r: r.join(edges, F.col("node") == F.col("f")).select("start", F.col("t").alias("node")))
 
 
 @query(
     "recursive_paths", "2.8.6",
     """
-    WITH RECURSIVE e AS (SELECT conv_id, turn AS f, (turn + 1) % 3 AS t FROM conversations WHERE turn < 3),
-    r AS (SELECT conv_id, f, t, [f, t] AS path, false AS cycle FROM e WHERE f = 0
+    WITH RECURSIVE e AS (SELECT conv_id, turn AS f, (turn + 1) % (max(turn) OVER (PARTITION BY conv_id) + 1) AS t FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+    r AS (SELECT conv_id, f, t, [f, t] AS path, f = t AS cycle FROM e WHERE f = 0
       UNION ALL SELECT r.conv_id, e.f, e.t, list_append(path, e.t), list_contains(path, e.t) FROM r JOIN e ON e.conv_id = r.conv_id AND e.f = r.t WHERE NOT cycle)
     SELECT conv_id, f, t, array_to_string(path, '>') AS path, cycle FROM r
     """,
 )
 def recursive_paths(t):
-    e = t.conversations.filter("turn < 3").select("conv_id", F.col("turn").alias("f"), ((F.col("turn") + 1) % 3).alias("t"))
-    seed = e.filter("f = 0").select("conv_id", "f", "t", F.array("f", "t").alias("path"), F.lit(False).alias("cycle"))
+    # the last turn of a conversation leads back to its first
+    turns = t.conversations.select("conv_id", "turn").distinct()
+    last = turns.groupBy("conv_id").agg((F.max("turn") + 1).alias("n"))
+    e = turns.join(last, "conv_id").select("conv_id", F.col("turn").alias("f"), ((F.col("turn") + 1) % F.col("n")).alias("t"))
+    path = scratch_path(t.spark, "turns")
+    e.write.parquet(path)
+    e = t.spark.read.parquet(path)
+    seed = e.filter("f = 0").select("conv_id", "f", "t", F.array("f", "t").alias("path"), (F.col("f") == F.col("t")).alias("cycle"))
     nxt = e.select("conv_id", F.col("f").alias("f2"), F.col("t").alias("t2"))
 
     def step(r):
