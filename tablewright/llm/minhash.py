@@ -9,10 +9,11 @@ empty component left goes on to twice that time. No later arrival could change a
 
 Equal word sequences are one text from here on. Bands of five components make buckets. First each member of a bucket is
 compared with the bucket's smallest, in a star; the groups so far come from connected components. Only buckets that
-still hold several groups are looked at again: there, members of different groups are compared when their rarest
-shingles and their signatures leave a link possible. So every pair of different texts in a bucket is compared, ruled
-out by a bound or, if both texts are long, by a sketch that is nearly 4 standard deviations off, or already connected, and no group of copies is expanded into its pairs. Links are verified on the whole
-texts.
+still hold several groups are looked at again: there, groups are compared with centres on their rarest shingles, in
+rounds, and what rounds no longer join is compared in pairs. So every pair of different texts in a bucket is compared,
+ruled out by a bound or, if both texts are long, by a sketch that is 5.5 standard deviations off (a linked pair is lost
+with a chance below 2 in 10^8), or already connected, and no group of copies is expanded
+into its pairs. Links are verified on the whole texts.
 
 Defined results: a text with fewer than five words is one shingle; a text without words, or null, is a group of its own;
 a group is named by its smallest doc_id; repeated rows with one doc_id are one document and stay together; a null doc_id
@@ -33,15 +34,17 @@ SHINGLE = 5
 SIMILARITY = 0.8
 COMPONENTS = 128
 BAND, BANDS = 5, 25
-#: Components of the longer sketch that documents of mixed buckets get, bits kept of each, and agreeing components, as a
-#: share, below which a pair is not similar enough: nearly 4 standard deviations from what 0.8 gives.
-SKETCH = 1024
+#: Rounds of comparing with centres go on while more than one in so many pairs is linked.
+FEW = 20
+#: Components of the longer sketch that documents get which are compared in pairs, bits kept of each, and agreeing
+#: components, as a share, below which a pair is not similar enough: 5.5 standard deviations from what 0.8 gives.
+SKETCH = 2048
 BITS = 2
-AGREEMENT = 0.806
+AGREEMENT = 0.8066
 #: Distinct shingles below which a text's pairs are verified whatever the sketch says.
 SHORT = 64
 #: Documents whose longer sketch is drawn at a time.
-SKETCH_ROWS = 64
+SKETCH_ROWS = 32
 
 
 def shingles(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,13 +109,13 @@ def packed(sig: np.ndarray) -> np.ndarray:
 
 def differing(a: str, b: str) -> Column:
     """Number of components in which two packed signatures differ."""
-    mask = int.from_bytes(b"\x55" * 8, "big")
-    total = F.lit(0)
-    for i in range(SKETCH * BITS // 64):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(mask)))
-    return total
+    pairs = int.from_bytes(b"\x55" * 8, "big")
+
+    def word(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, BITS // 2)).bitwiseAND(F.lit(pairs)))
+
+    return F.aggregate(F.zip_with(a, b, word), F.lit(0), lambda total, x: total + x)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -252,49 +255,90 @@ def sketches(docs: DataFrame) -> DataFrame:
     return per_batch(docs.select("doc_id", "text"), build, "doc_id long, sig array<long>")
 
 
-def _between_groups(buckets: DataFrame, labels: DataFrame, whole: DataFrame) -> DataFrame:
-    """Pairs ``a b lb far`` of members of different groups, from the documents whose buckets hold several groups.
+#: The larger share of its shingles that one of two linked texts may lack, and twice over what both may.
+NEAR = (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9
+
+
+def _load(before: str) -> Column:
+    return (1 + F.col(before)) / (1 - F.col(before))
+
+
+def _rare(buckets: DataFrame, labels: DataFrame, whole: DataFrame) -> DataFrame:
+    """``doc_id h before brief``: the rarest shingles of the documents whose buckets hold several groups, and whether
+    a document has few shingles.
 
-    Members of a bucket meet on their rarest shingles only. Let u and v be the shares of two documents' shingles that the
-    other lacks. Their similarity is at most 2 / ((1 + u) / (1 - u) + (1 + v) / (1 - v)), so u and v of a linked pair keep
-    within a bound, and the rarest shingle they share has no more than u and v before it. A passage that thousands of
-    otherwise different documents hold comes late in that order, so they do not meet. Shingles of one group only count as
-    not shared. The bound
-    loses no pair; the sketch loses one at 0.8 with a chance of about 1 in 10,000, and is not asked where one of the two
-    texts has fewer than SHORT shingles. ``lb`` is the larger group and ``b`` its member.
+    Let u and v be the shares of two documents' shingles that the other lacks. Their similarity is at most
+    2 / ((1 + u) / (1 - u) + (1 + v) / (1 - v)), so u and v of a linked pair keep within a bound, and the rarest shingle
+    they share has no more than u and v before it (``before``). A passage that thousands of otherwise different documents
+    hold comes late in that order, so they do not meet. Shingles of one group only count as not shared. No linked pair
+    is lost.
     """
     named = buckets.select("key", "doc_id").join(labels, "doc_id")
     several = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    members = named.join(several, "key", "left_semi").select("doc_id", "label").distinct()
-    members = stored(members.join(sizes, "label"), "minhash-mixed")
-
-    parts = stored(_elements(whole.join(members.select("doc_id", "label"), "doc_id")), "minhash-elements")
+    members = stored(named.join(several, "key", "left_semi").select("doc_id", "label").distinct(), "minhash-mixed")
+    parts = stored(_elements(whole.join(members, "doc_id")), "minhash-elements")
     common = parts.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("h", "n")
     own = Window.partitionBy("doc_id")
     # rows that repeat a document make this smaller, never larger
     before = 1 - F.sum("p").over(own) + F.sum("p").over(own.orderBy("n", "h")) - F.col("p")
-    rare = parts.withColumnRenamed("n", "length").join(common, "h").withColumn("before", F.greatest(before, F.lit(0.0)))
-    rare = rare.filter(F.col("before") <= 1 - SIMILARITY + 1e-9).select("doc_id", "h", "before", (F.col("length") < SHORT).alias("brief"))
-    rare = stored(rare, "minhash-rare")
-    # a document that rows repeat is sketched once
-    drawn = sketches(whole.join(rare.select("doc_id").distinct(), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("sig").alias("sig"))
-    rare = stored(rare.join(members, "doc_id").join(drawn, "doc_id"), "minhash-rare")
+    rare = parts.withColumn("brief", F.col("n") < SHORT).drop("n", "label").join(common, "h").withColumn("before", F.greatest(before, F.lit(0.0)))
+    return stored(rare.filter(F.col("before") <= 1 - SIMILARITY + 1e-9).groupBy("doc_id", "h").agg(F.min("before").alias("before"), F.max("brief").alias("brief")), "minhash-rare")
+
+
+def _open(rare: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``rare``, with labels, of shingles that are still in several groups."""
+    now = rare.join(labels, "doc_id")
+    several = now.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("h")
+    return stored(now.join(several, "h", "left_semi"), "minhash-open")
+
 
-    side = lambda x: [F.col(c).alias(c[0] + x) for c in ("doc_id", "before", "label", "size")] + [F.col("brief").alias("brief" + x)] + [F.col("sig").alias("g" + x)]
+def _to_centres(now: DataFrame, number: int) -> DataFrame:
+    """Pairs ``a b`` of a round: for each shingle one document is the centre, by a seeded order that is the same for all
+    shingles, and each other group sends one document to it. At most one pair for each group and shingle."""
+    by = F.xxhash64("doc_id", F.lit(number))
+    one = now.groupBy("h", "label").agg(F.min(F.struct(by.alias("o"), "doc_id", "before")).alias("d")).select("h", "label", "d.*")
+    centres = one.filter(F.col("before") <= NEAR).groupBy("h").agg(F.min(F.struct("o", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("before").alias("bb"))).alias("c")).select("h", "c.b", "c.lb", "c.bb")
+    met = one.join(centres, "h").filter((F.col("label") != F.col("lb")) & (_load("before") + _load("bb") <= 2 / SIMILARITY + 1e-6))
+    return met.select(F.col("doc_id").alias("a"), "b").distinct()
+
+
+def _all_pairs(now: DataFrame, whole: DataFrame) -> DataFrame:
+    """Every pair ``a b`` of different groups that may be linked, ``a`` the smaller id. A pair of texts with ``SHORT``
+    shingles or more is left out if its sketches differ by more than a linked pair's do with a chance of 2 in 10^8."""
+    asked = whole.join(now.select("doc_id").distinct(), "doc_id", "left_semi")
+    # a document that rows repeat is sketched once
+    drawn = stored(sketches(asked).groupBy("doc_id").agg(F.min("sig").alias("sig")), "minhash-sketches")
+    now = now.join(drawn, "doc_id")
+    side = lambda x: [F.col(c).alias(c[0] + x) for c in ("doc_id", "label")] + [F.col(c).alias(f"{c}{x}") for c in ("before", "brief", "sig")]
     # one of the two has no more than this before the shingle
-    near = (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9
-    load = lambda b: (1 + F.col(b)) / (1 - F.col(b))
-    left, right = rare.filter(F.col("before") <= near).select("h", *side("1")), rare.select("h", *side("2"))
-    far = differing("g1", "g2")
+    left, right = now.filter(F.col("before") <= NEAR).select("h", *side("1")), now.select("h", *side("2"))
     met = left.join(right, "h").filter(
-        (F.col("l1") != F.col("l2")) & ((F.col("b2") > near) | (F.col("d1") < F.col("d2")))
-        & (load("b1") + load("b2") <= 2 / SIMILARITY + 1e-6) & (F.col("brief1") | F.col("brief2") | (far <= int((1 - AGREEMENT) * SKETCH)))
+        (F.col("l1") != F.col("l2")) & ((F.col("before2") > NEAR) | (F.col("d1") < F.col("d2"))) & (_load("before1") + _load("before2") <= 2 / SIMILARITY + 1e-6)
+        & (F.col("brief1") | F.col("brief2") | (differing("sig1", "sig2") <= int((1 - AGREEMENT) * SKETCH)))
     )
-    swap = F.struct("s1", "l1") > F.struct("s2", "l2")
-    pick = lambda x: F.when(swap, F.col(x + "2")).otherwise(F.col(x + "1"))
-    other = lambda x: F.when(swap, F.col(x + "1")).otherwise(F.col(x + "2"))
-    return met.select(pick("d").alias("a"), other("d").alias("b"), other("l").alias("lb"), far.alias("far")).distinct()
+    return met.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).distinct()
+
+
+def _within_buckets(labels: DataFrame, tried: DataFrame, buckets: DataFrame, whole: DataFrame) -> DataFrame:
+    """Labels after all links between texts that share a bucket.
+
+    Documents meet on their rarest shingles. In rounds, groups are compared with one centre for each shingle and joined
+    where they are linked, so a group of n near copies costs about n pairs a round and not n squared. When a round links
+    few of its pairs, what is still in different groups is compared in pairs, all that the bound and the sketches leave.
+    """
+    rare, number = _rare(buckets, labels, whole), 0
+    while True:
+        now = _open(rare, labels)
+        pairs = stored(_to_centres(now, number).join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
+        links = stored(verified(pairs, whole), "minhash-verified")
+        tried = tried.union(pairs).union(pairs.select("b", "a"))
+        n_pairs, n_links, number = pairs.count(), links.count(), number + 1
+        if n_links:
+            labels = stored(components(links, labels), "minhash-labels")
+        if n_links * FEW <= n_pairs:
+            break
+    rest = stored(_all_pairs(_open(rare, labels), whole).join(tried, ["a", "b"], "left_anti"), "minhash-rest")
+    return labels if rest.isEmpty() else stored(components(verified(rest, whole), labels), "minhash-labels")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -310,18 +354,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whole = stored(whole.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), "minhash-whole")
     labels = texts.select("doc_id", F.col("doc_id").alias("label"))
     labels = stored(components(verified(stars, whole), labels), "minhash-labels")
-
-    tried = stars.union(stars.select("b", "a"))
-    pairs = stored(_between_groups(buckets, labels, whole).join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
-    # the nearest member of each other group first; what this leaves in different groups afterwards
-    first = stored(pairs.groupBy("a", "lb").agg(F.min(F.struct("far", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "minhash-first")
-    if not first.isEmpty():
-        labels = stored(components(verified(first, whole), labels), "minhash-labels")
-        now = lambda x: labels.select(F.col("doc_id").alias(x), F.col("label").alias("now_" + x))
-        rest = pairs.join(first, ["a", "b"], "left_anti").join(now("a"), "a").join(now("b"), "b").filter("now_a <> now_b").select("a", "b")
-        rest = stored(rest, "minhash-rest")
-        if not rest.isEmpty():
-            labels = stored(components(verified(rest, whole), labels), "minhash-labels")
+    labels = _within_buckets(labels, stars.union(stars.select("b", "a")), buckets, whole)
 
     named = sigs.select("doc_id", "h1", "h2").join(texts.select("h1", "h2", F.col("doc_id").alias("t")), ["h1", "h2"])
     classes = named.join(labels.withColumnRenamed("doc_id", "t"), "t").select(F.col("doc_id").alias("__doc"), F.col("label").alias("__class")).distinct()

@@ -90,8 +90,38 @@ def test_pairs_of_short_texts_pass_the_sketch(spark, monkeypatch):
     texts = [(1, one), (2, [*one[:12], "end"]), (3, other), (4, [*other[:199], "end"])]
     whole = spark.createDataFrame([(d, " ".join(t)) for d, t in texts], "doc_id long, text string")
     buckets = spark.createDataFrame([(7, d) for d, _ in texts], "key long, doc_id long")
-    got = minhash._between_groups(buckets, whole.selectExpr("doc_id", "doc_id as label"), whole).collect()
-    assert [{r.a, r.b} for r in got] == [{1, 2}]
+    labels = whole.selectExpr("doc_id", "doc_id as label")
+    got = minhash._all_pairs(minhash._open(minhash._rare(buckets, labels, whole), labels), whole).collect()
+    assert [(r.a, r.b) for r in got] == [(1, 2)]
+
+
+@pytest.mark.parametrize("few", [0, 20, 10**9])
+def test_templated_near_copies(spark, monkeypatch, few):
+    """Copies of one text with changed words, of which many pairs are linked and many are not."""
+    monkeypatch.setattr(minhash, "FEW", few or 10**6)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(500):
+        t = list(base)
+        for at in rng.choice(150, rng.integers(1, 6), replace=False):
+            t[at] = f"x{rng.integers(40)}"
+        texts.append(t)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{" ".join(t[i:i + 5]) for i in range(146)} for t in texts]
+    label = list(range(500))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(500):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    assert {r.doc_id: r.class_id for r in minhash.op1(docs).collect()} == {i: root(i) for i in range(500)}
 
 
 def test_nearest_neighbours(spark, monkeypatch):
