@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import re
 import struct
@@ -251,8 +252,17 @@ class Shard:
         return row
 
 
+def id_type(path: str) -> str:
+    """How ids are stored: little-endian integers of 16 bits if the vocabulary fits, else of 32."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    most = max([END_ID, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id ids`` with the end id appended; ids as little-endian 32-bit integers."""
+    """``doc_id ids`` with the end id appended; ids as :func:`id_type` tells."""
+    kind = id_type(path)
 
     def build():
         def step(batch: pa.RecordBatch):
@@ -263,7 +273,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 while stop < len(texts) and (stop == start or size + len(texts[stop]) <= BLOCK_CHARS):
                     size += len(texts[stop])
                     stop += 1
-                ids = [np.append(x, end).astype("<u4").tobytes() for x in e.encode(texts[start:stop])]
+                ids = [np.append(x, end).astype(kind).tobytes() for x in e.encode(texts[start:stop])]
                 yield record(doc_id=batch.column("doc_id").slice(start, stop - start), ids=pa.array(ids, pa.binary()))
                 start = stop
 
@@ -272,7 +282,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     return per_batch(docs.select(docs["doc_id"].cast("long"), "text"), build, "doc_id long, ids binary")
 
 
-def write_shards(ids: DataFrame, folder: str, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(ids: DataFrame, folder: str, kind: str, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes the shard files into a folder that all executors share; ``part seq n_ids`` of each, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +303,7 @@ def write_shards(ids: DataFrame, folder: str, shard_ids: int = SHARD_IDS) -> Dat
 
         for batch in batches:
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                row = np.frombuffer(raw.as_buffer(), "<u4")
+                row = np.frombuffer(raw.as_buffer(), kind)
                 if held and size + len(row) > shard_ids:
                     yield flush()
                     held, docs, size, seq = [], [], 0, seq + 1
@@ -341,7 +351,7 @@ def offsets(shards: DataFrame) -> DataFrame:
 def op9(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS) -> DataFrame:
     spark = docs.sparkSession
     folder = scratch_path(spark, "wavelet")
-    shards = write_shards(stored(encoded(docs, path), "wavelet-ids"), folder, shard_ids)
+    shards = write_shards(stored(encoded(docs, path), "wavelet-ids"), folder, id_type(path), shard_ids)
     if shards.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     rows = read_shards(spark, folder).select("part", "seq", "doc_id", "local_start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
