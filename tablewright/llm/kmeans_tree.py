@@ -100,10 +100,10 @@ class Tree:
             work += [(child, rows[near == j]) for j, child in enumerate(self.children[node]) if (near == j).any()]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visits(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, least_rows: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: so many, and more as long as they hold fewer rows than ``least_rows``."""
+        queue, out, rows = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or rows < least_rows):
             _, node = heapq.heappop(queue)
             while self.children[node]:
                 c = self.children[node]
@@ -114,6 +114,7 @@ class Tree:
                         heapq.heappush(queue, (-float(score[j]), child))
                 node = c[best]
             out.append(self.leaf_of[node])
+            rows += 0 if sizes is None else int(sizes[out[-1]])
         return out
 
 
@@ -191,10 +192,16 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
     depth = sorted(order[r["query_id"]][r["leaf"]] for r in truth)
     visits = depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))) - 1)] + 1 if depth else len(tree.leaf_of)
 
+    # rows of each leaf: at most LEAVES numbers
+    sizes = np.zeros(len(tree.leaf_of), np.int64)
+    for r in rows.groupBy("leaf").agg(F.countDistinct("vec_id").alias("n")).collect():
+        sizes[r["leaf"]] = r["n"]
+
     def route():
         def step(batch: pa.RecordBatch):
             q = matrix(batch.column("v"))
-            leaves = [tree.visits(x, visits) for x in q]
+            # the query itself is one of the rows
+            leaves = [tree.visits(x, visits, sizes, k + 1) for x in q]
             at = np.repeat(np.arange(len(q)), [len(x) for x in leaves])
             return record(query_id=batch.column("vec_id").take(pa.array(at)), q=batch.column("v").take(pa.array(at)), leaf=np.concatenate(leaves).astype(np.int64))
 
@@ -205,8 +212,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
     many = many.select("leaf", F.ceil(F.col("nq") / QUERIES_PER_CHUNK).alias("cq"), F.ceil(F.col("nv") / ROWS_PER_CHUNK).alias("cv"))
     deal = lambda name, count: F.pmod(F.xxhash64(name), F.col(count)).cast("int")
     spread = lambda count: F.explode(F.sequence(F.lit(0), (F.col(count) - 1).cast("int")))
-    left = routed.join(many, "leaf").select("leaf", deal("query_id", "cq").alias("a"), spread("cv").alias("b"), "query_id", "q")
-    right = rows.join(many, "leaf").select("leaf", spread("cq").alias("a"), deal("vec_id", "cv").alias("b"), "vec_id", "v")
+    left = routed.join(F.broadcast(many), "leaf").select("leaf", deal("query_id", "cq").alias("a"), spread("cv").alias("b"), "query_id", "q")
+    right = rows.join(F.broadcast(many), "leaf").select("leaf", spread("cq").alias("a"), deal("vec_id", "cv").alias("b"), "vec_id", "v")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
