@@ -146,15 +146,16 @@ def _div(a: Column, b: Column) -> Column:
 def mixed_texts(docs: DataFrame) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: a row for the words taken once, one more for those taken
     twice. A document taken whole keeps its text; else the taken words are joined by one space."""
-    m = mix(docs).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.lit(CAP))))
+    m = mix(docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"))).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.lit(CAP))))
     m = m.withColumn("__own", F.expr("filter(pieces, p -> p.times >= __pass)"))
     m = m.withColumn("__n", F.aggregate("__own", F.lit(0).cast("long"), lambda a, p: a + p.getField("end") - p.getField("start"))).filter("__n > 0")
     m = m.withColumn("__words", words_of(F.col("text")))
     part = F.array_join(F.flatten(F.transform("__own", lambda p: F.slice("__words", (p.getField("start") + 1).cast("int"), (p.getField("end") - p.getField("start")).cast("int")))), " ")
-    m = m.withColumn("text", F.when(F.col("__n") == F.col("size"), F.col("text")).otherwise(part))
+    m = m.select("row", F.when(F.col("__n") == F.col("size"), F.col("text")).otherwise(part).alias("taken_text"))
+    made = {"text": F.col("taken_text")}
     if "n_chars" in docs.columns:
-        m = m.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return m.select(*docs.columns)
+        made["n_chars"] = F.length("taken_text").cast(docs.schema["n_chars"].dataType)
+    return m.select(*[(made[c] if c in made else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -175,9 +175,11 @@ def judged(counted: DataFrame, refs: dict) -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` and ``n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed chars_distance
     words_distance kept``; columns of those names are replaced. Texts are read twice, as they are not stored."""
+    own = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed chars_distance words_distance kept".split()
     refs = references(_histograms(_plain(docs.select("text", "lang"))))
-    out = judged(_histograms(base_columns(docs)), refs)
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    # whatever the columns are called, they travel as one
+    out = judged(_histograms(base_columns(docs.select("text", "lang", F.struct(*[docs[c] for c in docs.columns]).alias("row")))), refs)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in own], *own)
 
 
 def passing(docs: DataFrame) -> DataFrame:
@@ -186,8 +188,10 @@ def passing(docs: DataFrame) -> DataFrame:
     A plain filter would be pushed below the columns it is made of and compute each of them anew at every place it is
     used; unnesting no or one row keeps them computed once.
     """
+    refs = references(_histograms(_plain(docs.select("text", "lang"))))
+    out = judged(_histograms(base_columns(docs.select("text", "lang", F.struct(*[docs[c] for c in docs.columns]).alias("row")))), refs)
     one = F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return quality(docs).withColumn("__pass", F.explode(one)).select(*docs.columns)
+    return out.select("row", F.explode(one)).select("row.*")
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -55,7 +55,10 @@ def _opened(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 starts, ends, bounds = w.word_spans(data, offsets)
                 prefix = w.Prefix(w.word_values(data, starts, ends))
                 for i in range(len(bounds) - 1):
-                    blocks = wanted[row + i]
+                    # rows of one doc_id with other texts may be shorter
+                    blocks = [b for b in wanted[row + i] if max(b["starts"]) + b["n"] + window - 1 <= bounds[i + 1] - bounds[i]]
+                    if not blocks:
+                        continue
                     n = np.array([b["n"] for b in blocks])
                     which, place = w.stretch_index(n)
                     begin = bounds[i] + np.array([b["starts"][0] for b in blocks])[which] + place

@@ -151,10 +151,10 @@ RUN_SCHEMA = "anchor long, content long, doc_id long, starts array<int>, n int"
 
 
 def covered(starts: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
-    """Which of ``size`` units lie in any of the stretches."""
+    """Which of ``size`` units lie in any of the stretches; what reaches beyond the end is cut there."""
     change = np.zeros(size + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + lengths, -1)
+    np.add.at(change, np.minimum(starts, size), 1)
+    np.add.at(change, np.minimum(starts + lengths, size), -1)
     return np.cumsum(change[:-1]) > 0
 
 
