@@ -106,9 +106,12 @@ class WordEncoder:
             self.learn({every[i] for i in new.tolist()})
             index[new] = [self.known[every[i]] for i in new.tolist()]
         sizes = self.size[index]
-        which, place = stretch_index(sizes)
-        ids = self.ids[self.first[index][which] + place]
-        ends = np.append(0, np.cumsum(sizes))[np.cumsum([len(ws) for ws in words])]
+        stops = np.cumsum(sizes)
+        # places in the remembered ids: each word's run, laid end to end
+        at = np.repeat(self.first[index] - (stops - sizes), sizes)
+        at += np.arange(len(at))
+        ids = self.ids.take(at)
+        ends = np.append(0, stops)[np.cumsum([len(ws) for ws in words])]
         return np.split(ids, ends[:-1]) if texts else []
 
 
@@ -146,8 +149,9 @@ def pack(ids: np.ndarray, doc_ids: list, sizes: list[int]) -> bytes:
         raw = packed.tobytes()
         step = BLOCK_BITS // 8
         blocks = [raw[i:i + step] for i in range(0, len(raw), step)]
-        small = [zlib.compress(x, 1) for x in blocks]
-        blocks = [min(x, y, key=len) for x, y in zip(blocks, small)]
+        # low planes are noise: a plane whose first block does not shrink is kept as it is
+        if len(blocks) < 2 or len(zlib.compress(blocks[0], 1)) < 0.97 * step:
+            blocks = [min(x, zlib.compress(x, 1), key=len) for x in blocks]
         per = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), step), dtype=np.int64) if len(row) else np.zeros(0, np.int64)
         before = np.cumsum(per) - per
         out += [struct.pack("<QI", len(row) - int(per.sum()), len(blocks)), before.astype("<u8").tobytes(), np.array([len(x) for x in blocks], "<u4").tobytes(), *blocks]
