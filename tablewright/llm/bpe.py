@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from tablewright.llm.common import per_batch, record
 
 #: Pieces remembered per Python worker.
-MEMORY = 1_200_000
+MEMORY = 300_000
 #: Longer pieces are not remembered.
 LONG_PIECE = 64
 
@@ -155,7 +155,7 @@ class Transducer:
                 a, limit = a_right, ra
             else:  # of equal merges the left one is done first
                 b, limit = b_left, rb + 1
-        if len(self.neighbours) > 2 * MEMORY:
+        if len(self.neighbours) > MEMORY:
             self.neighbours.clear()
         self.neighbours[left, right] = ok
         return ok
@@ -319,13 +319,23 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id n_tokens ids_sha256 decoded_sha256``."""
+    """``doc_id n_tokens ids_sha256 decoded_sha256``: as :func:`encode_documents` gives them, hashed where they are made,
+    so that no ids or texts leave the worker."""
 
     def build():
+        t = transducer(path)
+
         def step(batch: pa.RecordBatch):
-            sha = lambda name: [hashlib.sha256(x).hexdigest() for x in batch.column(name).cast(pa.binary()).to_pylist()]
-            return record(doc_id=batch.column("doc_id"), n_tokens=batch.column("n_tokens"), ids_sha256=sha("ids"), decoded_sha256=sha("decoded"))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                n, own, back = [], [], []
+                for x in part.column("text"):
+                    ids = t.encode(x.as_py() or "")
+                    n.append(len(ids))
+                    own.append(hashlib.sha256(little_endian(ids)).hexdigest())
+                    back.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
+                yield record(doc_id=part.column("doc_id"), n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(own, pa.string()), decoded_sha256=pa.array(back, pa.string()))
 
         return step
 
-    return per_batch(encode_documents(docs, path), build, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return per_batch(docs.select(docs["doc_id"].cast("long"), "text"), build, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
