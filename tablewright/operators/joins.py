@@ -132,6 +132,41 @@ def asof_join(
     return joined.filter("__row is not null").select("__row.*", "match")
 
 
+def neighbours_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], at: tuple[str, str], tie: tuple[str, str],
+    payload: Sequence[str], names: tuple[str, str] = ("before", "after"),
+) -> DataFrame:
+    """Left rows with the latest right row at or before and the first at or after them, in one pass.
+
+    ``tie`` names a unique column of each side; among right rows of one time the greatest is
+    ``before`` and the smallest ``after``. Both come out as structs of the payload columns,
+    NULL where there is none. NULL keys match as equal values do; a NULL time matches nothing.
+
+    Right rows of one key and time are folded into one before rows are ordered, so a time shared
+    by many rows costs one. The two sides are then ordered together once.
+    """
+    here = F.struct(*payload)
+    spots = right.filter(F.col(at[1]).isNotNull()).groupBy(*keys, F.col(at[1]).alias("__t")).agg(
+        F.max_by(here, F.col(tie[1])).alias("high"), F.min_by(here, F.col(tie[1])).alias("low")
+    )
+    spots = spots.select(*keys, "__t", F.struct("__t", "high", "low").alias("__hit"))
+    hit, row = spots.schema["__hit"].dataType, left.select(F.struct("*").alias("r")).schema["r"].dataType
+    none = F.lit(None)
+    both = spots.select(*keys, "__t", F.lit(0).alias("__side"), none.alias("__id"), none.cast(row).alias("__row"), "__hit").unionByName(
+        left.select(
+            *keys, F.col(at[0]).alias("__t"), F.lit(1).alias("__side"), F.col(tie[0]).alias("__id"),
+            F.struct("*").alias("__row"), none.cast(hit).alias("__hit"),
+        )
+    )
+    # at its own time a left row stands behind the right row, which is then its neighbour on both sides
+    placed = ordered.running(
+        both, keys, ["__t", "__side", "__id"], {"__back": ("last", "__hit"), "__fore": ("next", "__hit")}
+    ).filter("__row is not null")
+    after = F.when(F.col("__back")["__t"] == F.col("__t"), F.col("__back")["low"]).otherwise(F.col("__fore")["low"])
+    timed = F.col("__t").isNotNull()
+    return placed.select("__row.*", F.when(timed, F.col("__back")["high"]).alias(names[0]), F.when(timed, after).alias(names[1]))
+
+
 def nearest_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], at: tuple[str, str], tie: tuple[str, str],
     payload: Sequence[str],
@@ -140,8 +175,7 @@ def nearest_join(
 
     ``payload`` must contain the right axis column.
     """
-    back = asof_join(left, right, keys, at, tie, payload, "backward").withColumnRenamed("match", "__back")
-    both = asof_join(back, right, keys, at, tie, payload, "forward").withColumnRenamed("match", "__fore")
+    both = neighbours_join(left, right, keys, at, tie, payload, ("__back", "__fore"))
     gap_back = F.col(at[0]) - F.col("__back")[at[1]]
     gap_fore = F.col("__fore")[at[1]] - F.col(at[0])
     use_fore = F.col("__back").isNull() | (gap_fore < gap_back)

@@ -133,11 +133,11 @@ def _merge(fn: str, column: Column) -> Column:
     return {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}[fn](column)
 
 
-def _latest(order: Sequence[str], column: str) -> Column:
-    """Aggregate: the non-NULL value that comes last in a one-way order."""
+def _latest(order: Sequence[str], column: str, first: bool = False) -> Column:
+    """Aggregate: the non-NULL value that comes last (or ``first``) in a one-way order."""
     position, desc = _position(order)
     known = F.col(column).isNotNull()
-    return (F.min_by if desc else F.max_by)(F.when(known, F.col(column)), F.when(known, position))
+    return (F.min_by if desc != first else F.max_by)(F.when(known, F.col(column)), F.when(known, position))
 
 
 def running(
@@ -151,17 +151,23 @@ def running(
 ) -> DataFrame:
     """Running aggregates up to and including each row, or before it when not ``inclusive``.
 
-    ``aggs`` maps an output name to ``(sum|count|min|max|last, column)``; ``last``
-    is the latest non-NULL value. ``totals`` adds whole-key ``sum``/``count``/
+    ``aggs`` maps an output name to ``(sum|count|min|max|last|next, column)``; ``last``
+    is the latest non-NULL value, ``next`` the first non-NULL one from the row on, in an order
+    whose columns share a direction. ``totals`` adds whole-key ``sum``/``count``/
     ``min``/``max`` values. ``order`` must not leave ties.
     """
     totals = totals or {}
+    one_way = len({desc for _, desc in parse_order(order)}) == 1
+    if not one_way and any(fn == "next" for fn, _ in aggs.values()):
+        raise ValueError("next needs order columns of one direction")
     prepared = _prepare(df, keys, order, chunks)
     ordering = sort_columns(order)
     end = 0 if inclusive else -1
     local = Window.partitionBy(KEY, CHUNK).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, end)
-    if not inclusive and any(fn == "last" for fn, _ in aggs.values()):
-        raise ValueError("last is inclusive only")
+    if not inclusive and any(fn in ("last", "next") for fn, _ in aggs.values()):
+        raise ValueError("last and next are inclusive only")
+    # a frame that ends with the key is aggregated anew for each row; from the back it is a running one
+    backwards = Window.partitionBy(KEY, CHUNK).orderBy(*_reverse(order)).rowsBetween(Window.unboundedPreceding, 0)
     apply = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
     partial = prepared
@@ -169,12 +175,14 @@ def running(
     for name, (fn, column) in aggs.items():
         if fn == "last":
             partial = partial.withColumn(name, F.last(column, ignorenulls=True).over(local))
+        elif fn == "next":
+            partial = partial.withColumn(name, F.last(column, ignorenulls=True).over(backwards))
+            chunk_aggs.append(_latest(order, column, first=True).alias(f"__c_{name}"))
         else:
             partial = partial.withColumn(name, apply[fn](column).over(local))
             chunk_aggs.append(apply[fn](column).alias(f"__c_{name}"))
     for name, (fn, column) in totals.items():
         chunk_aggs.append(apply[fn](column).alias(f"__t_{name}"))
-    one_way = len({desc for _, desc in parse_order(order)}) == 1
     if one_way:
         chunk_aggs += [_latest(order, c).alias(f"__c_{n}") for n, (fn, c) in aggs.items() if fn == "last"]
 
@@ -192,14 +200,15 @@ def running(
 
     by_chunk = Window.partitionBy(KEY).orderBy(CHUNK)
     before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(KEY).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(KEY)
     carry = stats.select(
         KEY,
         CHUNK,
         *[
             (
-                F.last(f"__c_{name}", ignorenulls=True).over(before)
-                if fn == "last"
+                F.last(f"__c_{name}", ignorenulls=True).over(before if fn == "last" else after)
+                if fn in ("last", "next")
                 else _merge(fn, F.col(f"__c_{name}")).over(before)
             ).alias(f"__b_{name}")
             for name, (fn, _) in aggs.items()
@@ -213,7 +222,7 @@ def running(
             value = mine + F.coalesce(earlier, F.lit(0))
         elif fn == "sum":
             value = F.coalesce(mine + earlier, mine, earlier)
-        elif fn == "last":
+        elif fn in ("last", "next"):
             value = F.coalesce(mine, earlier)
         else:
             value = {"min": F.least, "max": F.greatest}[fn](mine, earlier)
@@ -339,6 +348,56 @@ def shifted(
     return out.drop(KEY, "__at", "__hit", RN)
 
 
+def nth_values(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    n: Mapping[str, Column | int],
+    frame: tuple[int | None, int | None] | str = (None, None),
+    chunks: int | None = None,
+) -> DataFrame:
+    """Value of the ``n``-th row of each row's frame, one column for each name in ``n``.
+
+    ``n`` counts from 1 and may be an expression that differs per row: NULL gives NULL,
+    a number below 1 ends the query with an error, and one past the frame's end gives NULL.
+    ``frame`` is ``(preceding, following)`` in rows, ``None`` for unbounded, negative for
+    the other side; or ``"range"``, from the start of the key to the last peer of the row.
+    The column order must not leave ties unless the frame is ``"range"`` and the tied
+    values equal.
+
+    Rows are numbered once. A place in the frame is then a row number of the key, fetched by
+    an equality join, however large ``n`` is. A place that does not depend on the row meets one
+    row of each key.
+    """
+    ranged = frame == "range"
+    preceding, following = (None, 0) if ranged else frame
+    numbered = number_rows(df, keys, order, RN, total="__total", chunks=chunks).withColumn(KEY, group_key(keys))
+    first = F.lit(1).cast("long") if preceding is None else F.greatest(F.col(RN) - preceding, F.lit(1).cast("long"))
+    last = F.col("__total") if following is None else F.least(F.col(RN) + following, F.col("__total"))
+    out = numbered
+    if ranged:
+        columns = [c for c, _ in parse_order(order)]
+        peers = numbered.groupBy(KEY, *[F.col(c).alias(f"__p{i}") for i, c in enumerate(columns)]).agg(F.max(RN).alias("__last"))
+        same = [F.col(KEY).eqNullSafe(F.col("__k"))] + [F.col(c).eqNullSafe(F.col(f"__p{i}")) for i, c in enumerate(columns)]
+        out = out.join(peers.withColumnRenamed(KEY, "__k"), _all(same)).drop("__k", *[f"__p{i}" for i in range(len(columns))])
+        last = F.col("__last")
+    for name, place in n.items():
+        place = F.lit(place) if isinstance(place, int) else place
+        wrong = F.raise_error(F.lit("the argument of nth_value must be greater than zero"))
+        at = first + F.when(place < 1, wrong.cast("long")).otherwise(place.cast("long")) - 1
+        found = numbered.select(KEY, F.col(RN).alias("__at"), F.col(value).alias(name))
+        out = out.withColumn("__at", F.when(at <= last, at)).join(found, [KEY, "__at"], "left").drop("__at")
+    return out.drop(KEY, RN, "__total", "__last")
+
+
+def _all(conditions: Sequence[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],

@@ -286,13 +286,13 @@ def join_asof_nearest(t):
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     clicks = t.events.filter("event_type = 'click'").select("event_id", "user_id", at.alias("at"))
     buys = t.events.filter("event_type = 'purchase'").select(F.col("event_id").alias("pid"), "user_id", at.alias("pat"))
-    args = (buys, ["user_id"], ("at", "pat"), ("event_id", "pid"), ["pid", "pat"])
-    back = joins.asof_join(clicks, *args).withColumnRenamed("match", "back")
-    fore = joins.asof_join(back, *args, direction="forward").withColumnRenamed("match", "fore")
+    both = joins.neighbours_join(
+        clicks, buys, ["user_id"], ("at", "pat"), ("event_id", "pid"), ["pid", "pat"], ("back", "fore")
+    )
     near = F.when(
         F.col("back").isNull() | (F.col("fore.pat") - F.col("at") < F.col("at") - F.col("back.pat")), F.col("fore.pid")
     ).otherwise(F.col("back.pid"))
-    return fore.select("event_id", F.col("back.pid").alias("before_id"), F.col("fore.pid").alias("after_id"), near.alias("nearest_id"))
+    return both.select("event_id", F.col("back.pid").alias("before_id"), F.col("fore.pid").alias("after_id"), near.alias("nearest_id"))
 
 
 def titles(t):

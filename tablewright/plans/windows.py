@@ -113,6 +113,27 @@ def window_first_last_nth(t):
     )
 
 
+@query(
+    "window_nth_any", "2.5.11",
+    """
+    SELECT o_orderkey,
+           nth_value(o_orderkey, 1 + o_orderkey % 5000) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS of_key,
+           nth_value(o_orderkey, 12) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS twelfth,
+           nth_value(o_orderkey, 1 + o_orderkey % 12) OVER (w ROWS BETWEEN 6 PRECEDING AND 4 FOLLOWING) AS of_frame,
+           strftime(nth_value(o_orderdate, 1 + o_orderkey % 5000) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate), '%Y-%m-%d') AS so_far
+    FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey)
+    """,
+)
+def window_nth_any(t):
+    o = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    date, number = ["o_orderdate", "o_orderkey"], F.col("o_orderkey")
+    whole = ordered.nth_values(o, ["o_orderstatus"], date, "o_orderkey", {"of_key": 1 + number % 5000, "twelfth": 12})
+    near = ordered.nth_values(o, ["o_orderstatus"], date, "o_orderkey", {"of_frame": 1 + number % 12}, frame=(6, 4))
+    peers = ordered.nth_values(o, ["o_orderpriority"], ["o_orderdate"], "o_orderdate", {"so_far": 1 + number % 5000}, frame="range")
+    out = whole.select("o_orderkey", "of_key", "twelfth").join(near.select("o_orderkey", "of_frame"), "o_orderkey")
+    return out.join(peers.select("o_orderkey", F.date_format("so_far", "yyyy-MM-dd").alias("so_far")), "o_orderkey")
+
+
 @query(
     "window_running_aggregates", "2.5.12",
     """

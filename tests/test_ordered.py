@@ -123,6 +123,60 @@ def test_nearest_join(spark):
     same(got, want)
 
 
+def test_neighbours_join_ties_nulls_and_hot_key(spark):
+    times = lambda salt, n: F.when(F.col("id") % 29 == 0, F.lit(None)).when(F.col("id") % 3 == 0, F.lit(n // 2)).otherwise(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)))
+    keys = F.when(F.col("id") % 3 == 0, F.lit(1)).when(F.col("id") % 17 == 0, F.lit(None)).otherwise(F.col("id") % 5)
+    a = spark.range(900).select(F.col("id").alias("a"), keys.alias("k"), times(1, 200).alias("t"))
+    b = spark.range(300).select(F.col("id").alias("b"), keys.alias("k"), times(2, 200).alias("u"))
+    got = joins.neighbours_join(a, b, ["k"], ("t", "u"), ("a", "b"), ["b", "u"])
+    pairs = a.alias("x").join(b.alias("y"), F.col("x.k").eqNullSafe(F.col("y.k")), "left")
+    place = F.struct("u", "b")
+    want = pairs.groupBy("x.a").agg(
+        F.max_by("b", F.when(F.col("u") <= F.col("t"), place)).alias("before"), F.min_by("b", F.when(F.col("u") >= F.col("t"), place)).alias("after")
+    )
+    same(got.select("a", F.col("before.b").alias("before"), F.col("after.b").alias("after")), want)
+    assert joins.neighbours_join(a, b.limit(0), ["k"], ("t", "u"), ("a", "b"), ["b"]).filter("before is null and after is null").count() == 900
+    assert joins.neighbours_join(a.limit(0), b, ["k"], ("t", "u"), ("a", "b"), ["b"]).count() == 0
+
+
+def test_neighbours_join_orders_once(spark):
+    a = spark.range(100).select(F.col("id").alias("a"), F.col("id").alias("t"))
+    plan = joins.neighbours_join(a, a.toDF("b", "u"), [], ("t", "u"), ("a", "b"), ["b"])._jdf.queryExecution().optimizedPlan().toString()
+    # the rows and the totals of their chunks, each a scan of both sides
+    assert plan.count("Range (") == 4
+
+
+def test_running_next_over_chunks(skewed):
+    w = Window.partitionBy("k").orderBy(*ordered.sort_columns(["v", "id"])).rowsBetween(0, Window.unboundedFollowing)
+    rows = skewed.withColumn("x", F.when(F.col("id") % 50 == 0, F.col("id")))
+    got = ordered.running(rows, ["k"], ["v", "id"], {"n": ("next", "x"), "c": ("count", "id")}, chunks=30).drop("c")
+    same(got, rows.withColumn("n", F.first("x", ignorenulls=True).over(w)))
+    with pytest.raises(ValueError, match="direction"):
+        ordered.running(rows, ["k"], ["v", "-id"], {"n": ("next", "x")})
+
+
+@pytest.mark.parametrize("frame", [(None, None), (None, 0), (0, None), (5, 3), (-2, 4), (7, -1), "range"])
+def test_nth_values(skewed, frame):
+    order = ["v"] if frame == "range" else ["v", "-id"]
+    value = "v" if frame == "range" else "id"
+    w = Window.partitionBy("k").orderBy(*ordered.sort_columns(order))
+    if frame != "range":
+        w = w.rowsBetween(Window.unboundedPreceding if frame[0] is None else -frame[0], Window.unboundedFollowing if frame[1] is None else frame[1])
+    place = F.when(F.col("id") % 13 == 0, F.lit(None)).otherwise(1 + F.pmod(F.col("id"), F.lit(9 if frame == (5, 3) else 2500)))
+    got = ordered.nth_values(skewed, ["k"], order, value, {"own": place, "third": 3, "far": 1000000}, frame=frame, chunks=20)
+    listed = skewed.withColumn("l", F.collect_list(F.struct(F.col(value).alias("x"))).over(w)).withColumn("p", place)
+    want = listed.select(
+        "id", "k", "v", F.get("l", (F.col("p") - 1).cast("int"))["x"].alias("own"), F.get("l", F.lit(2))["x"].alias("third"), F.lit(None).cast("long").alias("far")
+    )
+    same(got, want)
+
+
+def test_nth_values_inputs(skewed):
+    with pytest.raises(Exception, match="greater than zero"):
+        ordered.nth_values(skewed, ["k"], ["v", "id"], "id", {"x": F.col("id") % 2}).collect()
+    assert ordered.nth_values(skewed.limit(0), ["k"], ["v", "id"], "id", {"x": 1}).count() == 0
+
+
 def test_trigram_and_edit_joins_brute_force(spark):
     from tablewright.functions import strings
 
