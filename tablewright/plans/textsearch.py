@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright.functions import headlines
 from tablewright.functions import textsearch as ts
 from tablewright.functions.core import bind
 from tablewright.operators import search
@@ -170,6 +171,39 @@ def fts_headline(t):
     return t.spread("documents", "doc_id").select("doc_id", h.isNotNull().alias("marked"), F.length(h).alias("n"))
 
 
+@query(
+    "fts_headline_stretch", "2.18.5",
+    r"""
+    WITH d AS (
+      SELECT doc_id, w, len(w) AS n, list_transform(w, lambda x: NOT regexp_full_match(x, '\p{N}+')) AS ends,
+             list_filter(range(1, len(w) + 1), lambda i: w[i] = 'the') AS hits
+      FROM (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]*>', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM documents)),
+    m AS (SELECT doc_id, unnest(hits) AS a FROM d),
+    r AS (SELECT doc_id, a, CASE WHEN a + 9 < n AND NOT ends[a + 9] AND ends[a + 10] THEN a + 10 ELSE least(a + 9, n) END AS b FROM m JOIN d USING (doc_id)),
+    l AS (SELECT doc_id, a AS spot, b, CASE WHEN b - a >= 9 THEN a WHEN n > 10 AND NOT ends[n - 9] THEN n - 10 ELSE greatest(n - 9, 1) END AS a FROM r JOIN d USING (doc_id)),
+    c AS (SELECT doc_id, spot, a, b, ends[b] AS well, len(list_filter(hits, lambda i: i BETWEEN a AND b)) AS k FROM l JOIN d USING (doc_id)),
+    best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY well DESC, k DESC, spot) = 1)
+    SELECT d.doc_id, md5(array_to_string(w[coalesce(a, 1):coalesce(b, least(10, n))], ' ')) AS words,
+           (coalesce(b, least(10, n)) - coalesce(a, 1) + 1)::INTEGER AS n_words, CASE WHEN w IS NOT NULL THEN coalesce(k, 0) END::INTEGER AS n_hits
+    FROM d LEFT JOIN best USING (doc_id)
+    """,
+)
+def fts_headline_stretch(t):
+    options = headlines.Options(max_words=11, min_words=10, short_word=0, start_sel="\x01", stop_sel="\x02")
+    shown = headlines.headline(F.col("text"), ts.to_query("the"), options)
+    out = t.spread("documents", "doc_id").select("doc_id", shown.alias("h"))
+    words = F.regexp_extract_all(F.lower("h"), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    marks = F.length("h") - F.length(F.replace("h", F.lit("\x01"), F.lit("")))
+    return out.select("doc_id", F.md5(F.array_join(words, " ")).alias("words"), F.size(words).alias("n_words"), marks.alias("n_hits"))
+
+
+@query("fts_headline_fragments", "2.18.5")
+def fts_headline_fragments(t):
+    q = ts.to_query("water | (city & people) | first <-> time", "english")
+    shown = headlines.headline(F.col("text"), q, "MaxFragments=3, MaxWords=20, MinWords=5, FragmentDelimiter=\" ... \"", "english")
+    return t.spread("documents", "doc_id").select("doc_id", shown.alias("fragments"))
+
+
 @query("fts_term_stats", "2.18.6", f"SELECT term, count(DISTINCT doc_id) AS ndoc, count(*) AS nentry FROM {OCC} GROUP BY 1")
 def fts_term_stats(t):
     return search.term_statistics(t.spread("documents", "doc_id"), "doc_id", vec())

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.functions import arrays, labelpath
+from tablewright.functions import arrays, headlines, labelpath
 from tablewright.functions import textsearch as ts
 from tablewright.operators import search
 
@@ -124,3 +124,80 @@ def test_extended_synonyms(spark, how, expect):
     for r in search.extended_synonyms(tokens, "term", rules, "word", "others", **how).collect():
         got[r["at"]].append(r.term)
     assert got == expect
+
+
+POEM = """
+Day after day, day after day,
+  We stuck, nor breath nor motion,
+As idle as a painted Ship
+  Upon a painted Ocean.
+Water, water, every where
+  And all the boards did shrink;
+Water, water, every where,
+  Nor any drop to drink.
+S. T. Coleridge (1772-1834)
+"""
+
+
+def shown(spark, text, query, options, config="english"):
+    q = ts.to_query(query, config)
+    return spark.range(1).select(headlines.headline(F.lit(text), q, options, config).alias("h")).head().h
+
+
+# known results
+@pytest.mark.parametrize("query, options, want", [
+    ("paint & water", "", "<b>painted</b> Ocean.\n<b>Water</b>, <b>water</b>, every where\n  And all the boards did shrink;\n<b>Water</b>, <b>water</b>, every"),
+    ("breath & motion & water", "", "<b>breath</b> nor <b>motion</b>,\nAs idle as a painted Ship\n  Upon a painted Ocean.\n<b>Water</b>, <b>water</b>"),
+    ("ocean", "", "<b>Ocean</b>.\nWater, water, every where\n  And all the boards did shrink;\nWater, water, every where"),
+    ("day & drink", "", "<b>day</b>,\n  We stuck, nor breath nor motion,\nAs idle as a painted Ship\n  Upon a painted Ocean.\nWater, water, every where\n"
+     "  And all the boards did shrink;\nWater, water, every where,\n  Nor any drop"),
+    ("ocean", "MaxFragments=1", "after day,\n  We stuck, nor breath nor motion,\nAs idle as a painted Ship\n  Upon a painted <b>Ocean</b>.\nWater, water, every where\n"
+     "  And all the boards did shrink;\nWater, water, every where,\n  Nor any drop"),
+    ("Coleridge & stuck", "MaxFragments=2", "after day, day after day,\n  We <b>stuck</b>, nor breath nor motion,\nAs idle as a painted Ship\n  Upon a painted Ocean.\n"
+     "Water, water, every where\n  And all the boards did shrink;\nWater, water, every where ... drop to drink.\nS. T. <b>Coleridge</b>"),
+    ("ocean & seahorse", "MaxFragments=1", "\nDay after day, day after day,\n  We stuck, nor breath nor motion,\nAs idle as"),
+])
+def test_headlines(spark, query, options, want):
+    assert shown(spark, POEM, query, options) == want
+
+
+def test_headline_options(spark):
+    for query, options, want in [
+        ("1 <-> 3", "MaxWords=2, MinWords=1", "<b>1</b> <b>3</b>"), ("1 & 3", "MaxWords=4, MinWords=1", "<b>1</b> 2 <b>3</b>"),
+        ("1 <-> 3", "MaxWords=4, MinWords=1", "<b>1</b> <b>3</b>"),
+    ]:
+        assert shown(spark, "1 2 3 1 3", query, options, "simple") == want
+    both = "MaxFragments=2,FragmentDelimiter=***"
+    assert shown(spark, POEM, "Coleridge & stuck", both) == shown(spark, POEM, "Coleridge & stuck", "MaxFragments=2").replace(" ... ", "***")
+    page = "<body>\n<b>Sea</b> view <u>foo bar</u>\n</body>"
+    assert shown(spark, page, "sea & foo", "HighlightAll=true, StartSel=[, StopSel=]") == "<body>\n<b>[Sea]</b> view <u>[foo] bar</u>\n</body>"
+    assert shown(spark, page, "sea & foo", "StartSel=[, StopSel=], MinWords=1") == "[Sea]  view  [foo]"
+    assert shown(spark, "a b", "b & !c", "MinWords=1, MaxWords=2", "simple") == "<b>b</b>"
+    assert shown(spark, "thread three by", "thr:*", "MinWords=2, MaxWords=3", "simple") == "<b>thread</b> <b>three</b>"
+    for wrong, message in [("MinWords=9, MaxWords=9", "less"), ("MinWords=0", "positive"), ("ShortWord=-1", "negative"), ("Words=3", "unrecognized")]:
+        with pytest.raises(ValueError, match=message):
+            headlines.Options.of(wrong)
+
+
+def test_headline_inputs(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (4, "x"), (5, "the " * 200_000), (6, "w " * 300_000 + "the end")], "id int, text string")
+    for options, long in (("", 15), ("MaxFragments=2", 35)):
+        got = {r.id: r.h for r in rows.select("id", headlines.headline(F.col("text"), ts.to_query("the"), options).alias("h")).collect()}
+        assert (got[1], got[2], got[3], got[4]) == (None, "", "", "x")
+        assert got[5].count("<b>the</b>") == (long if long == 15 else 70) and "<b>the</b>" in got[6]
+    assert rows.limit(0).select(headlines.headline(F.col("text"), None)).count() == 0
+    assert spark.range(1).select(headlines.headline(F.lit("a b"), None).alias("h")).head().h == "a b"
+
+
+def test_fragments_do_not_overlap_and_show_most(spark):
+    rnd = random.Random(3)
+    for _ in range(30):
+        words = [rnd.choice("xyzabcdefgh") * rnd.randint(1, 6) for _ in range(rnd.randint(1, 120))]
+        text = " ".join(f"{w}{i}" if w[0] not in "xyz" else w[0] for i, w in enumerate(words))
+        q = ts.to_query("x & (y | z)")
+        o = headlines.Options(max_words=9, min_words=4, max_fragments=3)
+        t = headlines._Text(text, q, o, "simple", {})
+        parts = t._fragments()
+        assert len(parts) <= 3 and all(b < c for (_, b), (c, _) in zip(parts, parts[1:])) and all(b - a < 9 for a, b in parts)
+        if parts:
+            assert max(t._count(a, b) for a, b in parts) >= max(t._count(a, b) for a, b in t._pieces())
