@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import jsonx, strings
 from tablewright.operators import ordered
+from tablewright.session import scratch_path
 
 LEVEL_LIMIT = 64
 
@@ -218,18 +219,25 @@ def trigram_join(left: DataFrame, right: DataFrame, a: str, b: str, threshold: f
     must share one of them, so common trigrams join nothing. The place of a shared
     trigram bounds how many more can follow; pairs that cannot reach the threshold are
     dropped inside the join. Pairs travel without their trigrams until the last test.
+    The texts with their trigrams, rarest first, are written to the shared folder once and read
+    for both indexes and the test.
     """
     slack = F.lit(1e-9)
-    texts = left.select(F.col(a).alias("txt")).union(right.select(F.col(b).alias("txt"))).filter("txt is not null").distinct()
-    grams = texts.select("txt", F.explode(strings.trigram_codes(F.col("txt"))).alias("g"))
+    sides = left.select(F.col(a).alias("txt"), F.lit(True).alias("l"), F.lit(False).alias("r")).union(
+        right.select(F.col(b).alias("txt"), F.lit(False).alias("l"), F.lit(True).alias("r"))
+    )
+    texts = sides.filter("txt is not null").groupBy("txt").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    grams = texts.select("txt", "l", "r", F.explode(strings.trigram_codes(F.col("txt"))).alias("g"))
     rarity = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    keyed = grams.join(rarity, "g").groupBy("txt").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("gs"))
-    keyed = keyed.select("txt", F.transform("gs", lambda s: s["g"]).alias("gs"), F.size("gs").alias("size"))
+    keyed = grams.join(rarity, "g").groupBy("txt", "l", "r").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("gs"))
+    keyed = keyed.select("txt", "l", "r", F.transform("gs", lambda s: s["g"]).alias("gs"), F.size("gs").alias("size"))
+    path = scratch_path(left.sparkSession, "trigrams")
+    keyed.write.parquet(path)
+    keyed = left.sparkSession.read.parquet(path)
     keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - slack).cast("int") + 1
-    indexed = keyed.select("txt", "size", F.posexplode(F.slice("gs", F.lit(1), F.least(F.greatest(keep, F.lit(1)), F.col("size")))).alias("at", "g"))
-    only = lambda df, side, name: df.join(side.select(F.col(name).alias("txt")).distinct(), "txt", "left_semi")
-    x = only(indexed, left, a).select("g", F.col("txt").alias(a), F.col("size").alias("__m"), F.col("at").alias("__i"))
-    y = only(indexed, right, b).select("g", F.col("txt").alias(b), F.col("size").alias("__n"), F.col("at").alias("__j"))
+    indexed = lambda side: keyed.filter(side).select("txt", "size", F.posexplode(F.slice("gs", F.lit(1), F.least(F.greatest(keep, F.lit(1)), F.col("size")))).alias("at", "g"))
+    x = indexed("l").select("g", F.col("txt").alias(a), F.col("size").alias("__m"), F.col("at").alias("__i"))
+    y = indexed("r").select("g", F.col("txt").alias(b), F.col("size").alias("__n"), F.col("at").alias("__j"))
     m, n = F.col("__m"), F.col("__n")
     needed = F.lit(threshold / (1.0 + threshold)) * (m + n) - slack
     reach = F.least(m - F.col("__i"), n - F.col("__j"))
