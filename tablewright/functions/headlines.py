@@ -12,8 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions import stemming
 from tablewright.functions import textsearch as ts
+from tablewright.functions.stemmers import STEMMERS
 
 # Markup counts as a blank, anything else that is no word stays as it is.
 TAG = r"</?[A-Za-z][^<>]*>"
@@ -187,7 +187,7 @@ def _key(word: str, config: str, stems: dict) -> str | None:
     if config == "simple":
         return low
     if low not in stems:
-        stems[low] = None if low in ts.STOP_ENGLISH else stemming.english(low)
+        stems[low] = None if low in ts.STOPS.get(config, ()) else STEMMERS[config](low)
     return stems[low]
 
 

@@ -20,6 +20,7 @@ from tablewright.functions import stemming
 from tablewright.functions.core import bind
 from tablewright.functions.expressions import parse as parse_expression
 from tablewright.functions.expressions import unquoted
+from tablewright.functions.stemmers import STEMMERS
 
 # English stop words.
 STOP_ENGLISH = (
@@ -58,6 +59,10 @@ def parse(c: Column) -> Column:
     return F.transform(found, typed)
 
 
+# Types of words of a language, which are stemmed.
+LANGUAGE_TYPES = (1, 2, 16)
+
+
 def type_name(tokid: Column) -> Column:
     out = F.lit(None).cast("string")
     for number, name, _ in TOKEN_TYPES:
@@ -69,9 +74,41 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stem_english(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ws: None if ws is None else [stemming.english(w) for w in ws])
+#: Stop words by configuration; others have none unless they are given.
+STOPS = {"english": STOP_ENGLISH}
+
+
+def stem(word: Column, config: str = "english") -> Column:
+    """Stem of one lower-case word in ``english``, ``german``, ``spanish`` or ``french``; the word itself in ``simple``."""
+    if config == "simple":
+        return word
+    strip_suffix = STEMMERS[config]
+
+    @F.pandas_udf(T.StringType())
+    def stems(words: pd.Series) -> pd.Series:
+        return words.map(strip_suffix, na_action="ignore")
+
+    return stems(word)
+
+
+def stem_by(word: Column, config: Column) -> Column:
+    """Stem of a word by the configuration of its row; an unknown or NULL configuration leaves the word."""
+
+    @F.pandas_udf(T.StringType())
+    def stems(words: pd.Series, configs: pd.Series) -> pd.Series:
+        return pd.Series([w if w is None or c not in STEMMERS else STEMMERS[c](w) for w, c in zip(words, configs)], dtype=object)
+
+    return stems(word, config)
+
+
+def _stem_all(tokens: Column, config: str) -> Column:
+    strip_suffix = STEMMERS[config]
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def stems(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda ws: None if ws is None else [strip_suffix(w) for w in ws])
+
+    return stems(tokens)
 
 
 @F.pandas_udf(T.StringType())
@@ -79,22 +116,53 @@ def stem_english(word: pd.Series) -> pd.Series:
     return word.map(stemming.english, na_action="ignore")
 
 
-def to_vector(c: Column, config: str = "simple", weight: str = "D") -> Column:
-    """Document vector. ``simple`` keeps lower-case words, ``english`` drops stop words and stems."""
+def to_vector(c: Column, config: str = "simple", weight: str = "D", stop: Sequence[str] | None = None) -> Column:
+    """Document vector. ``simple`` keeps lower-case words; the languages stem them and drop stop words, those of
+    :data:`STOPS` unless ``stop`` names others. Positions count every word."""
     tokens = words(c)
-    if config == "simple":
+    if config == "simple" and not stop:
         return F.transform(tokens, lambda t, i: F.struct(t.alias("term"), (i + 1).alias("pos"), F.lit(weight).alias("w")))
-    stems = _stem_english(tokens)
+    stems = tokens if config == "simple" else _stem_all(tokens, config)
+    dropped = list(STOPS.get(config, ()) if stop is None else stop)
     pairs = F.arrays_zip(tokens.alias("t"), stems.alias("s"))
     marked = F.transform(
-        pairs, lambda p, i: F.struct(p["s"].alias("term"), (i + 1).alias("pos"), F.lit(weight).alias("w"), p["t"].isin(*STOP_ENGLISH).alias("stop"))
+        pairs, lambda p, i: F.struct(p["s"].alias("term"), (i + 1).alias("pos"), F.lit(weight).alias("w"), p["t"].isin(*dropped).alias("stop"))
     )
     return F.transform(F.filter(marked, lambda o: ~o["stop"]), lambda o: F.struct(o["term"].alias("term"), o["pos"].alias("pos"), o["w"].alias("w")))
 
 
+def lexize(word: Column, config: str = "simple", stop: Sequence[str] | None = None) -> Column:
+    """What a dictionary makes of one token: its lexeme in an array, an empty array for a stop word, NULL for NULL."""
+    low = F.lower(word)
+    dropped = list(STOPS.get(config, ()) if stop is None else stop)
+    return F.when(low.isin(*dropped), F.array().cast("array<string>")).when(word.isNotNull(), F.array(stem(low, config)))
+
+
+def debug(c: Column, config: str = "simple", stop: Sequence[str] | None = None) -> Column:
+    """Every token of a text with its type, the dictionary that takes it and its lexemes, as
+    ``array<struct<alias, token, dictionary, lexemes>>``. Blanks go to no dictionary; numbers, addresses and
+    the like to the one that keeps words as they are."""
+    dropped = list(STOPS.get(config, ()) if stop is None else stop)
+    tokens = parse(c)
+    low = F.transform(tokens, lambda t: F.lower(t["token"]))
+    both = F.arrays_zip(tokens.alias("t"), (low if config == "simple" else _stem_all(low, config)).alias("s"), low.alias("l"))
+
+    def told(x: Column) -> Column:
+        kind = x["t"]["tokid"]
+        spoken = kind.isin(*LANGUAGE_TYPES)
+        dictionary = F.when(kind == 12, F.lit(None)).when(spoken & F.lit(config != "simple"), F.lit(f"{config}_stem")).otherwise(F.lit("simple"))
+        lexemes = (
+            F.when(kind == 12, F.lit(None)).when(~spoken, F.array(x["l"]))
+            .when(x["l"].isin(*dropped), F.array().cast("array<string>")).otherwise(F.array(x["s"]))
+        )
+        return F.struct(type_name(kind).alias("alias"), x["t"]["token"].alias("token"), dictionary.alias("dictionary"), lexemes.alias("lexemes"))
+
+    return F.transform(both, told)
+
+
 def normalise(word: str, config: str) -> str:
     word = word.lower()
-    return word if config == "simple" else stemming.english(word)
+    return word if config == "simple" else STEMMERS[config](word)
 
 
 # -- vector editing ------------------------------------------------------------
@@ -429,7 +497,7 @@ def _chain(query: Query) -> list[tuple[Term, int]]:
 
 def plain_query(text: str, config: str = "simple") -> Query:
     """All words of a text, joined by ``&``."""
-    found = [w for w in re.findall(r"[^\W_]+", text.lower()) if config == "simple" or w not in STOP_ENGLISH]
+    found = [w for w in re.findall(r"[^\W_]+", text.lower()) if w not in STOPS.get(config, ())]
     parts = [Term(normalise(w, config)) for w in found]
     return parts[0] if len(parts) == 1 else And(*parts)
 
@@ -438,7 +506,7 @@ def phrase_query(text: str, config: str = "simple") -> Query:
     """All words of a text in sequence; stop words widen the distance."""
     out, gap = None, 1
     for w in re.findall(r"[^\W_]+", text.lower()):
-        if config != "simple" and w in STOP_ENGLISH:
+        if w in STOPS.get(config, ()):
             gap += 1
             continue
         term = Term(normalise(w, config))
@@ -453,7 +521,7 @@ def to_query(text: str, config: str = "simple") -> Query | None:
 
     def leaf(token: str) -> Query | None:
         word, flags = unquoted(token)
-        found = [w for w in re.findall(r"[^\W_]+", word.lower()) if config == "simple" or w not in STOP_ENGLISH]
+        found = [w for w in re.findall(r"[^\W_]+", word.lower()) if w not in STOPS.get(config, ())]
         parts = [Term(normalise(w, config), "*" in flags, "".join(sorted(set(flags.upper()) & set("ABCD")))) for w in found]
         return None if not parts else parts[0] if len(parts) == 1 else And(*parts)
 
@@ -620,7 +688,7 @@ def headline(c: Column, terms: Iterable[str], start: str = "<b>", stop: str = "<
     pieces = F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), F.lit(1))
     keys = F.transform(pieces, F.lower)
     if config != "simple":
-        keys = _stem_english(keys)
+        keys = _stem_all(keys, config)
     both = F.arrays_zip(pieces.alias("p"), keys.alias("k"))
     marked = F.transform(both, lambda x: F.when(x["k"].isin(*wanted), F.concat(F.lit(start), x["p"], F.lit(stop))).otherwise(x["p"]))
     if max_words is not None:

@@ -295,6 +295,40 @@ def fts_stems(t):
     return words.select("word", ts.stem_english(F.col("word")).alias("stem"))
 
 
+#: Configuration of each language tag of the documents.
+CONFIGS = {"en": "english", "de": "german", "es": "spanish", "fr": "french"}
+
+
+@query("fts_stems_by_language", "2.18.11")
+def fts_stems_by_language(t):
+    # each distinct word of a language is stemmed once
+    config = F.coalesce(*[F.when(F.col("lang") == tag, F.lit(name)) for tag, name in CONFIGS.items()], F.lit("simple"))
+    words = t.spread("documents", "doc_id").select(config.alias("config"), F.explode(ts.words(F.col("text"))).alias("word")).distinct()
+    return words.select("config", "word", ts.stem_by(F.col("word"), F.col("config")).alias("stem"))
+
+
+@query(
+    "fts_lexize", "2.18.9",
+    f"""
+    SELECT word, CASE WHEN word IN ({", ".join(f"'{w}'" for w in ts.STOP_ENGLISH)}) THEN 0 ELSE 1 END::INTEGER AS english_lexemes,
+           CASE WHEN word IN ('der', 'die', 'das') THEN '' ELSE word END AS kept
+    FROM (SELECT DISTINCT unnest({WORDS_SQL}) AS word FROM documents)
+    """,
+)
+def fts_lexize(t):
+    words = t.spread("documents", "doc_id").select(F.explode(ts.words(F.col("text"))).alias("word")).distinct()
+    return words.select(
+        "word", F.size(ts.lexize(F.col("word"), "english")).alias("english_lexemes"),
+        F.array_join(ts.lexize(F.col("word"), "simple", ["der", "die", "das"]), "").alias("kept"),
+    )
+
+
+@query("fts_debug", "2.18.9")
+def fts_debug(t):
+    tokens = t.spread("documents", "doc_id").select(F.explode(ts.debug(F.col("text"), "english")).alias("d")).select("d.*")
+    return tokens.groupBy("alias", "dictionary", F.array_join("lexemes", ",").alias("lexemes")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "fts_affix_dictionary", "2.18.11",
     rf"""

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.functions import arrays, headlines, labelpath
+from tablewright.functions import arrays, headlines, labelpath, stemmers
 from tablewright.functions import textsearch as ts
 from tablewright.operators import search
 
@@ -201,3 +201,62 @@ def test_fragments_do_not_overlap_and_show_most(spark):
         assert len(parts) <= 3 and all(b < c for (_, b), (c, _) in zip(parts, parts[1:])) and all(b - a < 9 for a, b in parts)
         if parts:
             assert max(t._count(a, b) for a, b in parts) >= max(t._count(a, b) for a, b in t._pieces())
+
+
+# known stems
+STEMS = {
+    "german": (
+        "aufeinander:aufeinand aufeinanderbiss:aufeinanderbiss aufeinanderfolge:aufeinanderfolg aufeinanderfolgen:aufeinanderfolg "
+        "aufeinanderfolgend:aufeinanderfolg aufeinanderfolgende:aufeinanderfolg aufeinanderfolgenden:aufeinanderfolg "
+        "aufeinanderfolgt:aufeinanderfolgt aufeinanderschlügen:aufeinanderschlug auferlegen:auferleg auferlegt:auferlegt "
+        "aufenthalt:aufenthalt auffällig:auffall auffälliges:auffall auffällt:auffallt kategorie:kategori kategorien:kategori "
+        "kategorischen:kategor kater:kat katers:kat kathedrale:kathedral kathinka:kathinka katholik:kathol katholischen:kathol "
+        "katholizismus:katholizismus kätzchen:katzch kätzchens:katzch kauen:kau kauern:kau kauf:kauf kaufen:kauf käufer:kauf"
+    ),
+    "spanish": (
+        "cheque:chequ cheques:chequ cheyene:cheyen chi:chi chía:chi chiapaneca:chiapanec chic:chic chica:chic chicago:chicag "
+        "chicas:chic chicharrones:chicharron chicos:chic chico:chic chihuahua:chihuahu chihuahuense:chihuahuens chiítas:chiit torá:tor "
+        "tórax:torax torcer:torc toreado:tor toreados:tor toreándolo:tor torear:tor toreara:tor torearlo:tor toreó:tore torero:torer "
+        "toreros:torer torio:tori tormenta:torment tormentas:torment tornado:torn tornados:torn tornar:torn tornen:torn torneo:torne "
+        "torneos:torne tornillo:tornill"
+    ),
+    "french": (
+        "continu:continu continua:continu continuait:continu continuant:continu continuation:continu continue:continu continué:continu "
+        "continuel:continuel continuelle:continuel continuellement:continuel main:main mains:main maintenaient:mainten "
+        "maintenait:mainten maintenant:mainten maintenir:mainten maintenue:maintenu maintien:maintien majestueuse:majestu "
+        "majestueusement:majestu majestueux:majestu majeur:majeur majeure:majeur majordome:majordom majorité:major malade:malad "
+        "maladie:malad maladies:malad maladroit:maladroit"
+    ),
+}
+
+
+@pytest.mark.parametrize("language", sorted(STEMS))
+def test_stems_of_languages(spark, language):
+    pairs = [p.split(":") for p in STEMS[language].split()]
+    assert [stemmers.STEMMERS[language](w) for w, _ in pairs] == [s for _, s in pairs]
+    rows = spark.createDataFrame([(w, language) for w, _ in pairs] + [(None, language), ("worte", None), ("worte", "other")], "w string, c string")
+    got = [r.s for r in rows.select(ts.stem_by(F.col("w"), F.col("c")).alias("s")).collect()]
+    assert got == [s for _, s in pairs] + [None, "worte", "worte"]
+    assert [f("") for f in stemmers.STEMMERS.values()] == ["", "", "", ""] and all(isinstance(f(c), str) for f in stemmers.STEMMERS.values() for c in "asyé")
+
+
+def test_language_vectors_meet_queries(spark):
+    text = spark.range(1).select(F.lit("Die Kategorien der Katholiken").alias("t"))
+    v = ts.to_vector(F.col("t"), "german", stop=["die", "der"])
+    row = text.select(F.transform(v, lambda o: F.concat_ws(":", o["term"], o["pos"])).alias("v"), ts.match(v, ts.to_query("kategorie & katholik", "german")).alias("m")).head()
+    assert row.v == ["kategori:2", "kathol:4"] and row.m
+    h = text.select(headlines.headline(F.col("t"), ts.to_query("kategorie", "german"), "MinWords=1, MaxWords=3", "german").alias("h")).head().h
+    assert h == "<b>Kategorien</b>"
+
+
+def test_lexize_and_debug(spark):
+    words = spark.createDataFrame([("Stars",), ("the",), (None,)], "w string")
+    assert [r.x for r in words.select(ts.lexize(F.col("w"), "english").alias("x")).collect()] == [["star"], [], None]
+    text = F.lit("The stars: 3.5 a@b.org well-known")
+    got = [tuple(r) for r in spark.range(1).select(F.explode(ts.debug(text, "english")).alias("d")).select("d.*").collect() if r.alias != "blank"]
+    assert got == [
+        ("asciiword", "The", "english_stem", []), ("asciiword", "stars", "english_stem", ["star"]), ("float", "3.5", "simple", ["3.5"]),
+        ("email", "a@b.org", "simple", ["a@b.org"]), ("asciihword", "well-known", "english_stem", ["well-known"]),
+    ]
+    assert spark.range(1).select(ts.debug(F.lit(None).cast("string")).alias("d")).head().d is None
+    assert spark.range(1).select(F.size(ts.debug(F.lit(""))).alias("n")).head().n == 0
