@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tablewright.operators import dml, ordered
+from tablewright.operators.views import View
 from tablewright.plans.registry import query
 from tablewright.session import scratch_path
 from tablewright.sources import versions
@@ -244,9 +247,62 @@ def partition_exclusion(t):
     "SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000 GROUP BY 1",
 )
 def views(t):
-    t.orders.filter("o_orderstatus = 'O'").createOrReplaceTempView("tw_open_orders")
-    t.spark.sql("CREATE OR REPLACE TEMPORARY VIEW tw_big_open_orders AS SELECT * FROM tw_open_orders WHERE o_totalprice > 100000")
-    return t.spark.sql("SELECT o_custkey, count(*) AS n FROM tw_big_open_orders GROUP BY o_custkey")
+    # names of their own, so that two runs in one session do not meet
+    inner, outer = (f"tw_{kind}_{uuid.uuid4().hex}" for kind in ("open_orders", "big_open_orders"))
+    t.orders.filter("o_orderstatus = 'O'").createOrReplaceTempView(inner)
+    t.spark.sql(f"CREATE TEMPORARY VIEW {outer} AS SELECT * FROM {inner} WHERE o_totalprice > 100000")
+    return t.spark.sql(f"SELECT o_custkey, count(*) AS n FROM {outer} GROUP BY o_custkey")
+
+
+@query(
+    "view_recursive", "2.20.9 2.8.4",
+    """
+    WITH RECURSIVE turns AS (SELECT DISTINCT c_nationkey AS start, c_nationkey AS k, 0 AS depth FROM customer
+      UNION ALL SELECT start, k // 2, depth + 1 FROM turns WHERE k > 0)
+    SELECT k, count(*) AS customers, max(depth)::INTEGER AS depth FROM turns JOIN customer ON c_nationkey = start GROUP BY k
+    """,
+)
+def view_recursive(t):
+    # a view whose definition is recursive, over the closed set of nation keys, and joined with all customers
+    name = f"tw_turns_{uuid.uuid4().hex}"
+    t.spark.sql(
+        f"""CREATE TEMPORARY VIEW {name} AS
+        WITH RECURSIVE turns AS (SELECT start, start AS k, 0 AS depth FROM (SELECT DISTINCT c_nationkey AS start FROM parquet.`{t.path("customer")}`)
+          UNION ALL SELECT start, CAST(k DIV 2 AS INT), depth + 1 FROM turns WHERE k > 0)
+        SELECT * FROM turns"""
+    )
+    return t.sql(f"SELECT k, count(*) AS customers, max(depth) AS depth FROM {name} JOIN {{customer}} ON c_nationkey = start GROUP BY k")
+
+
+@query(
+    "view_updatable", "2.20.9",
+    """
+    WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderstatus = 'O' AND o_totalprice > 100000 AS seen FROM orders),
+    u AS (SELECT o_orderkey, CASE WHEN seen AND o_orderkey % 3 = 0 THEN 'P' ELSE o_orderstatus END AS o_orderstatus,
+                 CASE WHEN seen AND o_orderkey % 3 = 0 THEN o_totalprice + 1000 ELSE o_totalprice END AS o_totalprice, seen AND o_orderkey % 3 = 0 AS w FROM o),
+    d AS (SELECT * FROM u WHERE NOT coalesce(o_orderstatus = 'O' AND o_totalprice > 100000 AND o_orderkey % 5 = 0, false)),
+    i AS (SELECT -o_orderkey, NULL, o_totalprice FROM o WHERE seen AND o_orderkey % 7 = 0)
+    SELECT 'table' AS what, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_orderkey) AS low
+    FROM (SELECT o_orderkey, o_orderstatus, o_totalprice FROM d UNION ALL SELECT * FROM i) GROUP BY 2
+    UNION ALL SELECT 'written', 'P', count(*), round(sum(o_totalprice), 2), min(o_orderkey) FROM u WHERE w
+    """,
+)
+def view_updatable(t):
+    # a view of a view: an update that takes rows out of sight, a deletion, and rows added with a NULL status
+    orders = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+    def big_open(table):
+        named = View(table, F.col("o_orderstatus") == "O", {"k": "o_orderkey", "price": "o_totalprice", "status": "o_orderstatus"})
+        return View(named, F.col("price") > 100000)
+
+    updated = big_open(orders).update({"status": F.lit("P"), "price": F.col("price") + 1000}, F.col("k") % 3 == 0)
+    left = big_open(updated.table).delete(F.col("k") % 5 == 0)
+    rows = big_open(orders).rows().filter("k % 7 = 0").select((-F.col("k")).alias("k"), "price")
+    table = big_open(left.table).insert(rows).table
+    tally = lambda what, df: df.toDF("k", "status", "price").groupBy(F.lit(what).alias("what"), F.col("status").alias("o_orderstatus")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"), F.min("k").alias("low")
+    )
+    return tally("table", table).unionByName(tally("written", updated.returning.select("k", "status", "price")))
 
 
 @query(

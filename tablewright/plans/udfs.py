@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tablewright.functions import user
@@ -46,6 +48,7 @@ def python_table_function(t):
 
 @query("prepared_query", "2.24.9", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 300000 AND o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def prepared_query(t):
-    t.orders.createOrReplaceTempView("tw_prepared_orders")
-    text = "SELECT o_orderkey, o_totalprice FROM tw_prepared_orders WHERE o_totalprice > :floor AND o_orderstatus = :status AND array_contains(:urgent, o_orderpriority)"
+    name = f"tw_prepared_orders_{uuid.uuid4().hex}"  # two runs in one session do not meet
+    t.orders.createOrReplaceTempView(name)
+    text = f"SELECT o_orderkey, o_totalprice FROM {name} WHERE o_totalprice > :floor AND o_orderstatus = :status AND array_contains(:urgent, o_orderpriority)"
     return t.spark.sql(text, args={"floor": 300000, "status": "F", "urgent": F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))})
