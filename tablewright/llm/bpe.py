@@ -1,16 +1,17 @@
-"""BPE encoding and decoding as a streaming transducer.
-
-Encoding. For every prefix of a piece of text the last token of its encoding is unique: it is the one token that ends
-there and whose predecessor, the last token of the shorter prefix, may stand before it. Two tokens may be neighbours
-when the merge list, run on their joined bytes, gives the pair back. So one pass over the bytes keeps a last token for
-each of the most recent ``width`` prefixes (``width``: bytes of the longest token), and nothing older can be the start
-of a later token. A token is emitted once every live prefix passes through it: then it is stable. ``lookahead`` is a
-bound on the bytes to read before that happens, from the merge list: a token's end can only be moved by a merge that
-reaches over it, that merge's right side only by another one of higher rank, and so on; the longest such chain times
-``width`` bounds it. Memory is ``lookahead`` bytes of state whatever the length of the text; in practice prefixes meet
-again after a few bytes.
-
-Texts are first cut by the tokenizer's pattern. A bounded table keeps encodings of pieces already seen.
+"""BPE encoding and decoding: a transducer that settles tokens by live prefixes.
+
+Encoding. Texts are cut by the tokenizer's pattern. A piece no longer than the longest token, nearly all text, is encoded
+whole by a search that goes back where two tokens may not be neighbours; a bounded table keeps encodings of pieces
+already seen. Longer pieces are streamed. For every prefix of a piece the last token of its encoding is unique: it is the
+one token that ends there and whose predecessor, the last token of the shorter prefix, may stand before it. Two tokens may
+be neighbours when the merge list, run on their joined bytes, gives the pair back. So one pass over the bytes keeps a last
+token for each of the most recent ``width`` prefixes (``width``: bytes of the longest token), and nothing older can be the
+start of a later token. A token is emitted once every live prefix passes through it: then it is stable.
+
+``lookahead`` is a bound on the bytes to read before that happens, from the merge list: a token's end can only be moved by a
+merge that reaches over it, that merge's right side only by another one of higher rank, and so on; the longest such chain
+times ``width`` bounds it. It states how much a stream may hold and is not used to emit tokens. The ids of a document are
+collected whole, so memory grows with its length.
 
 Decoding. Token bytes go through an incremental UTF-8 state machine, which holds back an unfinished character and
 replaces invalid bytes.

@@ -1,11 +1,13 @@
-"""Substring dedup by relative Lempel-Ziv parsing over words.
+"""Substring dedup: runs of 50-word windows joined by hash with their smallest owner.
 
 The reference is every document of smaller id. It is indexed in blocks: runs of 50-word windows that share an anchor
-(``windows``), each owned by the smallest document that holds it. A document is parsed from its front: while its next
-block is in the index under a smaller owner the factor grows, so a factor is a maximal row of such blocks. Each block is
-50 words or more, so every factor is long enough to be a duplicate span. At factor boundaries the next block is not in
-the index as a whole although its anchor is; part of its windows may be, and those are looked up one by one among the
-windows of the distinct blocks of that anchor.
+(``windows``), each owned by the smallest document that holds it. A document's blocks are joined with that index by
+anchor and content; a block that has a smaller owner is a duplicate span of 50 words or more. Where an anchor has
+several contents, parts of a block may be duplicates although the whole is not: those windows are looked up one by one
+among the windows of the distinct blocks of that anchor. The spans of a document are united when words are cut.
+
+This takes the place of greedy relative Lempel-Ziv factoring: no factor is grown from the front of a document. The union
+of the spans is what factors checked at their ends would give.
 
 A passage shared by a third of all documents is one row per document and block until it is summed before the shuffle
 to one row per block; joins are on (anchor, content) and split by Spark where skewed. Only blocks of anchors that two
