@@ -6,6 +6,7 @@ import re
 from functools import lru_cache
 
 VOWEL = "aeiouy"
+# Doubled consonants that lose one letter.
 DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
 # Whole words with their own stem, and words left alone.
 WHOLE = {

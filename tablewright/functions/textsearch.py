@@ -575,6 +575,7 @@ def _rank_any(v: Column, terms: Sequence[Term], weights: Mapping[str, float]) ->
 
 
 def word_distance(gap: Column) -> Column:
+    # fixed values: the constants of the distance curve
     return F.when(gap > 100, F.lit(1e-30)).otherwise(1.0 / (1.005 + 0.05 * F.exp(gap / 1.5 - 2)))
 
 
