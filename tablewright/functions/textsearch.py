@@ -144,20 +144,20 @@ def debug(c: Column, config: str = "simple", stop: Sequence[str] | None = None)
     the like to the one that keeps words as they are."""
     dropped = list(STOPS.get(config, ()) if stop is None else stop)
     tokens = parse(c)
-    low = F.transform(tokens, lambda t: F.lower(t["token"]))
-    both = F.arrays_zip(tokens.alias("t"), (low if config == "simple" else _stem_all(low, config)).alias("s"), low.alias("l"))
-
-    def told(x: Column) -> Column:
-        kind = x["t"]["tokid"]
-        spoken = kind.isin(*LANGUAGE_TYPES)
-        dictionary = F.when(kind == 12, F.lit(None)).when(spoken & F.lit(config != "simple"), F.lit(f"{config}_stem")).otherwise(F.lit("simple"))
-        lexemes = (
-            F.when(kind == 12, F.lit(None)).when(~spoken, F.array(x["l"]))
-            .when(x["l"].isin(*dropped), F.array().cast("array<string>")).otherwise(F.array(x["s"]))
-        )
-        return F.struct(type_name(kind).alias("alias"), x["t"]["token"].alias("token"), dictionary.alias("dictionary"), lexemes.alias("lexemes"))
-
-    return F.transform(both, told)
+    stems = F.transform(tokens, lambda t: F.lower(t["token"]))
+    both = F.arrays_zip(tokens.alias("t"), (stems if config == "simple" else _stem_all(stems, config)).alias("s"))
+    return F.transform(both, lambda x: described(x["t"]["tokid"], x["t"]["token"], x["s"], config, dropped))
+
+
+def described(tokid: Column, token: Column, stemmed: Column, config: str, stop: Sequence[str]) -> Column:
+    """One token of :func:`debug`, given its type and the stem of its lower-case form."""
+    spoken, low = tokid.isin(*LANGUAGE_TYPES), F.lower(token)
+    dictionary = F.when(tokid == 12, F.lit(None)).when(spoken & F.lit(config != "simple"), F.lit(f"{config}_stem")).otherwise(F.lit("simple"))
+    lexemes = (
+        F.when(tokid == 12, F.lit(None)).when(~spoken, F.array(low))
+        .when(low.isin(*stop), F.array().cast("array<string>")).otherwise(F.array(stemmed))
+    )
+    return F.struct(type_name(tokid).alias("alias"), token.alias("token"), dictionary.alias("dictionary"), lexemes.alias("lexemes"))
 
 
 def normalise(word: str, config: str) -> str:
