@@ -14,6 +14,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tablewright.functions.core import bind
+
 KEY, CHUNK, RN, BLOCK = "__key", "__chunk", "__rn", "__block"
 SAMPLES_PER_CHUNK = 16
 FLAT_SEARCH = 64
@@ -108,21 +110,24 @@ def _find(value: Column, bounds: list[str], kind: str, desc: bool, compiled: boo
     def literal(items: list[str]) -> Column:
         return F.from_json(F.lit("[" + ",".join(items) + "]"), f"array<{kind}>")
 
-    def passed(array: Column, n: int | None) -> Column:
-        if compiled and n is not None:
-            return _search_tree(value, array, n, desc)
-        return F.size(F.filter(array, (lambda b: b >= value) if desc else (lambda b: b <= value)))
-
-    if len(bounds) <= FLAT_SEARCH:
-        return passed(literal(bounds), len(bounds))
-    fan = max(FANOUT, math.isqrt(len(bounds)))
-    blocks = [bounds[i : i + fan] for i in range(0, len(bounds), fan)]
-    outer = passed(literal([b[0] for b in blocks]), len(blocks))
-    nested = F.from_json(
-        F.lit("[" + ",".join("[" + ",".join(b) + "]" for b in blocks) + "]"), f"array<array<{kind}>>"
-    )
-    inner = passed(F.get(nested, F.greatest(outer - 1, F.lit(0))), None)
-    return F.when(outer == 0, F.lit(0)).otherwise((outer - 1) * fan + inner)
+    def counted(array: Column, v: Column) -> Column:
+        return F.size(F.filter(array, (lambda b: b >= v) if desc else (lambda b: b <= v)))
+
+    def place(v: Column) -> Column:
+        passed = (lambda array, n: _search_tree(v, array, n, desc)) if compiled else (lambda array, n: counted(array, v))
+        if len(bounds) <= FLAT_SEARCH:
+            return passed(literal(bounds), len(bounds))
+        fan = max(FANOUT, math.isqrt(len(bounds)))
+        blocks = [bounds[i : i + fan] for i in range(0, len(bounds), fan)]
+        outer = passed(literal([b[0] for b in blocks]), len(blocks))
+        nested = F.from_json(
+            F.lit("[" + ",".join("[" + ",".join(b) + "]" for b in blocks) + "]"), f"array<array<{kind}>>"
+        )
+        inner = bind(v, lambda w: counted(F.get(nested, F.greatest(outer - 1, F.lit(0))), w))
+        return F.when(outer == 0, F.lit(0)).otherwise((outer - 1) * fan + inner)
+
+    # the planner may put a value's whole expression in its place: a lambda's is evaluated once a row, not once a bound
+    return place(value) if compiled else bind(value.cast(kind), place)
 
 
 def _prepare(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunks: int | None) -> DataFrame:

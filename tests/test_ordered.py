@@ -1,5 +1,7 @@
 """Ordered operators against plain windows, with a hot key, NULL keys and no rows."""
 
+import re
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -38,6 +40,16 @@ def test_many_chunks_use_two_level_search(skewed, order, chunks):
     same(got, skewed.withColumn("rn", F.row_number().over(w)))
 
 
+def test_a_made_key_is_made_once_a_row_not_once_a_bound(skewed):
+    made = skewed.select("id", F.concat(F.lit("k"), F.col("v") % 3).alias("a"), F.col("v").alias("b"))
+    got = ordered.number_rows(made, [], ["a", "b", "id"], "rn", chunks=100)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    compared = re.findall(r"lambdafunction\(\(lambda \S+ <= (.{7})", plan)
+    assert compared and all(c.startswith("lambda ") for c in compared)
+    w = Window.orderBy(*ordered.sort_columns(["a", "b", "id"]))
+    same(got, made.withColumn("rn", F.row_number().over(w)))
+
+
 def test_running(skewed):
     w = Window.partitionBy("k").orderBy(*ordered.sort_columns(["v", "id"])).rowsBetween(Window.unboundedPreceding, 0)
     got = ordered.running(
