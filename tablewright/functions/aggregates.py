@@ -53,6 +53,24 @@ def json_object_agg(key: Column, value: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: p["t"]), ","), F.lit("}"))
 
 
+def interval_micros(c: Column) -> Column:
+    """Microseconds of a day-time interval, as a number wide enough to add up any number of them."""
+    span = c.cast("interval day to second")
+    part = lambda field, factor: (F.extract(F.lit(field), span) * F.lit(factor)).cast("long")
+    micros = part("DAY", 86_400_000_000) + part("HOUR", 3_600_000_000) + part("MINUTE", 60_000_000) + part("SECOND", 1_000_000)
+    return micros.cast("decimal(20,0)")
+
+
+def interval_sum(c: Column) -> Column:
+    """Sum of intervals in microseconds. An interval itself ends at 106,751,991 days, which a large group exceeds."""
+    return F.sum(interval_micros(c))
+
+
+def interval_avg(c: Column) -> Column:
+    """Mean of intervals in microseconds, rounded."""
+    return F.round(interval_sum(c) / F.nullif(F.count(c), F.lit(0)), 0)
+
+
 def hypothetical(value: Column, arg: Column) -> dict[str, Column]:
     """Ranks that a row with ``arg`` would have among the group's values."""
     below, upto, n = F.count_if(value < arg), F.count_if(value <= arg), F.count(F.lit(1))

@@ -204,12 +204,9 @@ def basic_aggregates(t):
 def interval_aggregates(t):
     wait = (F.col("l_shipdate") - F.col("o_orderdate")).alias("wait")
     rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_returnflag", wait)
-    return rows.groupBy("l_returnflag").agg(
-        F.expr("extract(DAY FROM sum(wait))").cast("long").alias("days"),
-        F.expr(
-            "extract(DAY FROM avg(wait)) * 86400L + extract(HOUR FROM avg(wait)) * 3600 + "
-            "extract(MINUTE FROM avg(wait)) * 60 + floor(extract(SECOND FROM avg(wait)))"
-        ).cast("long").alias("mean_seconds"),
+    totals = rows.groupBy("l_returnflag").agg(agg.interval_sum(F.col("wait")).alias("total"), agg.interval_avg(F.col("wait")).alias("mean"))
+    return totals.select(
+        "l_returnflag", F.expr("total div 86400000000").cast("long").alias("days"), F.floor(F.col("mean") / 1_000_000).cast("long").alias("mean_seconds"),
     )
 
 

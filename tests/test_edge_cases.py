@@ -20,6 +20,25 @@ def test_groups_of_nulls_stay(spark):
     assert {r.k: r["mode"] for r in ordered.modes(df, ["k"], "v").collect()} == {"a": 1.0, "b": None}
 
 
+def test_intervals_add_up_beyond_the_longest_interval(spark):
+    rows = [("a", datetime.timedelta(days=100_000_000)), ("a", datetime.timedelta(days=100_000_000, microseconds=3)), ("b", datetime.timedelta(seconds=-61.5)), ("b", None), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, w interval day to second")
+    got = {r.k: (r.s, r.m) for r in df.groupBy("k").agg(aggregates.interval_sum(F.col("w")).alias("s"), aggregates.interval_avg(F.col("w")).alias("m")).collect()}
+    day = 86_400_000_000
+    assert got == {"a": (200_000_000 * day + 3, 100_000_000 * day + 2), "b": (-61_500_000, -61_500_000), "c": (None, None)}
+
+
+def test_interval_aggregates_of_large_groups(spark, tmp_path):
+    # 40 lines of over 3,000,000 days each, more than an interval holds
+    start, end = datetime.datetime(1601, 1, 1), datetime.datetime(9999, 12, 30)
+    wait = (end - start).days
+    spark.range(40).select(F.col("id").alias("o_orderkey"), F.lit(start).alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.range(40).select(F.col("id").alias("l_orderkey"), F.lit("R").alias("l_returnflag"), F.lit(end).alias("l_shipdate"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    row = load_all()["interval_aggregates"].run(spark, str(tmp_path)).first()
+    assert 40 * wait > 106_751_991 and tuple(row) == ("R", 40 * wait, wait * 86_400)
+
+
 def test_cursor_passes_null_keys(spark):
     rows = [(None, 1), (None, 2), (None, 3), (1, 4), (2, 5)]
     cursor = Cursor(spark.createDataFrame(rows, "a int, b int"), ["a", "b"])
