@@ -131,3 +131,15 @@ def test_recursion_can_be_stopped(spark):
         with pytest.raises(RuntimeError):
             recursion.fixpoint(spark.range(1).select(F.col("id").alias("n")), step, distinct, max_rounds=3)
     assert recursion.fixpoint(spark.range(0).select(F.col("id").alias("n")), step).count() == 0
+
+
+def test_trigram_pairs_are_tested_inside_the_join(spark):
+    texts = [f"{x}{y} {y}{z}" for x in ("alpha", "beta", "gamma") for y in ("water", "stone") for z in ("line", "lane", "")]
+    df = spark.createDataFrame([(t,) for t in texts + texts[:4]] + [(None,), ("",)], "t string")
+    got = joins.trigram_join(df.select(F.col("t").alias("a")), df.select(F.col("t").alias("b")), "a", "b", 0.4)
+    # candidates grow with the square of the texts: none is aggregated or joined again
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join ") == 1
+    a, b = df.filter("t <> ''").select(F.col("t").alias("a")).distinct(), df.filter("t <> ''").select(F.col("t").alias("b")).distinct()
+    want = a.crossJoin(b).withColumn("similarity", strings.similarity(F.col("a"), F.col("b"))).filter("similarity >= 0.4")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
