@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tablewright.functions.core import bind
+from tablewright.session import stored
 
 KEY, CHUNK, RN, BLOCK = "__key", "__chunk", "__rn", "__block"
 SAMPLES_PER_CHUNK = 16
@@ -413,9 +414,10 @@ def exact_percentiles(
     """Exact quantiles per key, one column for each name in ``probs``.
 
     Equal values are counted first and only cumulative counts are compared, so
-    no task holds the values of a key. ``disc`` works for any ordered type.
+    no task holds the values of a key. ``disc`` works for any ordered type. The counts
+    are stored: what makes the values is read and evaluated once.
     """
-    every = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    every = stored(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")), "counts")
     counts = every.filter(F.col(value).isNotNull())
     ranked = running(counts, keys, [value], {"__cum": ("sum", "__n")}, totals={"__total": ("sum", "__n")})
     total, high = F.col("__total"), F.col("__cum") - 1
