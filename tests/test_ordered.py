@@ -204,3 +204,10 @@ def test_packing_keeps_touching_and_drops_empty(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 5, 7), (1, 9, 12), (1, 10, 11), (1, 20, 20), (None, 1, 2)], "k int, lo int, hi int")
     assert sorted(map(tuple, intervals.pack(df, ["k"], "lo", "hi").collect()), key=str) == sorted([(1, 0, 7, 2), (1, 9, 12, 2), (None, 1, 2, 1)], key=str)
     assert [tuple(r) for r in intervals.gaps(df, ["k"], "lo", "hi").collect()] == [(1, 7, 9)]
+
+
+def test_percentiles_make_their_values_once(spark):
+    df = spark.range(100).select(F.length(F.repeat(F.lit("x"), F.col("id").cast("int"))).alias("n"))
+    got = ordered.exact_percentiles(df, [], "n", {"p": 0.5}, "disc")
+    assert "repeat(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.first().p == 49
