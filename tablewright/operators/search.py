@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,9 +72,11 @@ def thesaurus(tokens: Column, phrases: dict[str, str], stop: Sequence[str] = ())
         node[None] = to.split()
     stops = frozenset(stop)
 
-    @F.pandas_udf("array<string>")
-    def replaced(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda ws: None if ws is None else _replaced(list(ws), tree, stops))
+    @F.arrow_udf("array<string>")
+    def replaced(rows: pa.Array) -> pa.Array:
+        # one row at a time becomes Python objects
+        made = (pa.array([None if ws is None else _replaced(ws, tree, stops)], pa.list_(pa.string())) for ws in (r.as_py() for r in rows))
+        return pa.concat_arrays([pa.array([], pa.list_(pa.string())), *made])
 
     return replaced(tokens)
 
