@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,17 +49,27 @@ TOKEN_TYPES = (
 )
 
 
-def parse(c: Column) -> Column:
-    """Tokens of a text as ``array<struct<tokid, token>>``, blanks included."""
-    found = F.regexp_extract_all(c, F.lit("(" + "|".join(p for _, _, p in TOKEN_TYPES) + ")"), F.lit(1))
+# The two commonest tokens first: a letter run that nothing longer can begin with, and a sign that begins no token.
+QUICK = r"[A-Za-z]++(?![\p{L}\p{N}@.:_+-])|[^\p{L}\p{N}._+-]"
+
 
-    def typed(token: Column) -> Column:
-        kind = F.lit(12)
-        for number, _, pattern in reversed(TOKEN_TYPES[:-1]):
-            kind = F.when(token.rlike(f"^(?:{pattern})$"), F.lit(number)).otherwise(kind)
-        return F.struct(kind.alias("tokid"), token.alias("token"))
+def tokens(c: Column) -> Column:
+    """Tokens of a text in order, blanks included."""
+    return F.regexp_extract_all(c, F.lit("(" + "|".join([QUICK, *(p for _, _, p in TOKEN_TYPES)]) + ")"), F.lit(1))
 
-    return F.transform(found, typed)
+
+def token_type(token: Column) -> Column:
+    """Number of the type of one token of :func:`tokens`."""
+    kind = F.lit(12)
+    for number, _, pattern in reversed(TOKEN_TYPES[:-1]):
+        kind = F.when(token.rlike(f"^(?:{pattern})$"), F.lit(number)).otherwise(kind)
+    # most tokens are one blank or a run of ASCII letters, and need no other test
+    return F.when(token == " ", F.lit(12)).when(token.rlike("^[A-Za-z]+$"), F.lit(1)).otherwise(kind)
+
+
+def parse(c: Column) -> Column:
+    """Tokens of a text as ``array<struct<tokid, token>>``, blanks included."""
+    return F.transform(tokens(c), lambda token: F.struct(token_type(token).alias("tokid"), token.alias("token")))
 
 
 # Types of words of a language, which are stemmed.
@@ -104,13 +117,23 @@ def stem_by(word: Column, config: Column) -> Column:
 def _stem_all(tokens: Column, config: str) -> Column:
     strip_suffix = STEMMERS[config]
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def stems(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda ws: None if ws is None else [strip_suffix(w) for w in ws])
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def stems(lists: pa.Array) -> pa.Array:
+        return over_distinct(lists, lambda words: [w if w is None else strip_suffix(w) for w in words])
 
     return stems(tokens)
 
 
+def over_distinct(lists: pa.Array, rule: Callable[[list], list]) -> pa.Array:
+    """Lists of words with every word replaced by what ``rule`` makes of it. Python sees each distinct word of a
+    batch once; the occurrences stay in Arrow."""
+    coded = lists.flatten().dictionary_encode()
+    made = pa.array(rule(coded.dictionary.to_pylist()), pa.string()).take(coded.indices)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32"))
+    return pa.ListArray.from_arrays(offsets, made, mask=lists.is_null())
+
+
 @F.pandas_udf(T.StringType())
 def stem_english(word: pd.Series) -> pd.Series:
     return word.map(stemming.english, na_action="ignore")
@@ -633,9 +656,13 @@ def cover_rank(v: Column, query: Query, weights: Mapping[str, float] = WEIGHTS,
             bits = bits + F.when(t._test(o), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
         return F.struct(o["pos"].cast("int").alias("pos"), bits.alias("bits"), (1.0 / _weight(o["w"], weights)).alias("inv"))
 
-    @F.pandas_udf("struct<rank:double,covers:long>")
-    def covered(occurrences: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_covers(o, query, leaves, bool(norm & 4)) for o in occurrences], columns=["rank", "covers"])
+    kind = pa.struct([("rank", pa.float64()), ("covers", pa.int64())])
+
+    @F.arrow_udf("struct<rank:double,covers:long>")
+    def covered(occurrences: pa.Array) -> pa.Array:
+        # one row at a time becomes Python objects
+        ranks = [_covers(o.as_py(), query, leaves, bool(norm & 4)) for o in occurrences]
+        return pa.array([{"rank": r, "covers": k} for r, k in ranks], kind)
 
     few = F.filter(F.transform(v, seen), lambda o: o["bits"] > 0)
     return bind(F.struct(covered(few).alias("c"), v.alias("v")), lambda s: F.struct(

@@ -325,9 +325,10 @@ def fts_lexize(t):
 
 @query("fts_debug", "2.18.9")
 def fts_debug(t):
-    # tokens are counted first, so each distinct one is stemmed once
-    parsed = t.spread("documents", "doc_id").select(F.explode(ts.parse(F.col("text"))).alias("t"))
-    counted = parsed.groupBy(F.col("t.tokid").alias("tokid"), F.lower("t.token").alias("token")).agg(F.count(F.lit(1)).alias("k"))
+    # tokens are counted first, so each distinct one is typed and stemmed once
+    found = t.spread("documents", "doc_id").select(F.explode(ts.tokens(F.col("text"))).alias("t"))
+    typed = found.groupBy("t").agg(F.count(F.lit(1)).alias("k")).select(ts.token_type(F.col("t")).alias("tokid"), F.lower("t").alias("token"), "k")
+    counted = typed.groupBy("tokid", "token").agg(F.sum("k").alias("k"))
     stemmed = ts.stem(F.col("token"), "english")
     told = counted.select(ts.described(F.col("tokid"), F.col("token"), stemmed, "english", ts.STOPS["english"]).alias("d"), "k")
     return told.groupBy("d.alias", "d.dictionary", F.array_join("d.lexemes", ",").alias("lexemes")).agg(F.sum("k").alias("n"))

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tablewright.functions import arrays, headlines, labelpath, stemmers
@@ -260,3 +261,42 @@ def test_lexize_and_debug(spark):
     ]
     assert spark.range(1).select(ts.debug(F.lit(None).cast("string")).alias("d")).head().d is None
     assert spark.range(1).select(F.size(ts.debug(F.lit(""))).alias("n")).head().n == 0
+
+
+def test_tokens_and_types_equal_the_plain_list_of_patterns(spark):
+    odd = ["a.b@c.de, x", "see http://x.y/z?q=1 now", "http: //x", "www.site.org.", "3.14 2a a2 22", "well-known-fact - end-", "a_b+c", "++a@b.cd", "naïve Straße x²", "Ab\u0301c",
+           "\n\ttab\u0085 end.", "https://", "a:b", "--- ... ___", "x@y", "-", "", "été.fr", "z-9-y", "日本語 test", "a.b.c", "a.bc1"]
+    plain = "(" + "|".join(p for _, _, p in ts.TOKEN_TYPES) + ")"
+
+    def typed(token):
+        kind = F.lit(12)
+        for number, _, pattern in reversed(ts.TOKEN_TYPES[:-1]):
+            kind = F.when(token.rlike(f"^(?:{pattern})$"), F.lit(number)).otherwise(kind)
+        return kind
+
+    df = spark.createDataFrame([(t,) for t in odd] + [(None,)], "t string")
+    found = F.regexp_extract_all("t", F.lit(plain), F.lit(1))
+    for row in df.select("t", ts.tokens(F.col("t")).alias("got"), found.alias("want"), F.transform(found, ts.token_type).alias("k"), F.transform(found, typed).alias("types")).collect():
+        assert row.got == row.want and row.k == row.types, row.t
+
+
+def test_list_words_are_handled_once_a_batch():
+    seen = []
+
+    def rule(words):
+        seen.extend(words)
+        return [w and w.upper() for w in words]
+
+    lists = pa.array([["a", "b", "a"], None, [], ["b", None, "a"]] * 50, pa.list_(pa.string()))
+    assert ts.over_distinct(lists, rule).to_pylist() == [["A", "B", "A"], None, [], ["B", None, "A"]] * 50
+    assert ts.over_distinct(lists.slice(1, 3), rule).to_pylist() == [None, [], ["B", None, "A"]]
+    assert len([w for w in seen if w]) == 4
+
+
+def test_headlines_ask_few_words_whether_they_may_end(monkeypatch):
+    asked = []
+    plain = headlines._Text._ends
+    monkeypatch.setattr(headlines._Text, "_ends", lambda self, i: asked.append(i) or plain(self, i))
+    text = "word " * 3000 + "hit " + "tail " * 3000
+    shown = headlines._Text(text, ts.to_query("hit"), headlines.Options(), "simple", {}).headline()
+    assert "<b>hit</b>" in shown and len(asked) < 100
