@@ -1,9 +1,11 @@
 """Inputs that once failed or gave too little: one doc_id with several texts, clashing names, far vectors."""
 
 import collections
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tablewright.llm import kmeans_tree, mixing, quality, substrings, suffixes, wavelet
@@ -66,3 +68,43 @@ def test_far_vectors_have_all_neighbours(spark, monkeypatch):
     tree = kmeans_tree.Tree(v, 40)
     assert any(tree.children[c] for c in tree.children[0]), "two levels"
     assert sorted(tree.visits(v[0], 1, np.zeros(len(tree.leaf_of), int), 1)) == sorted(tree.leaf_of.values())
+
+
+def test_sorting_suffixes_takes_memory_for_one_block(spark):
+    class Opened:
+        sparkSession = spark
+
+        def repartition(self, *_):
+            return self
+
+        sortWithinPartitions = repartition
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = np.random.default_rng(7)
+    # anchor 5 holds 1,000 runs in one piece, anchor 6 two pieces; the others hold two runs whose first 500 bytes are equal
+    several = {5: 1000, 6: 40}
+    rows = []
+    for anchor in range(4000):
+        head = rng.bytes(500)
+        for i in range(several.get(anchor, 2)):
+            piece = 1 if anchor == 6 and i >= 20 else 0
+            rows.append((len(rows), anchor, piece, 2 if anchor == 6 else 1, 100, True, 1000, 201, head + rng.bytes(100)))
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+    names = "doc_id anchor piece pieces place single start n raw".split()
+    batches = pa.Table.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names).to_batches(10_000)
+    assert len(rows) * 600 > 5 << 20
+    tracemalloc.start()
+    try:
+        found = pa.Table.from_batches(suffixes._sorted_pieces(Opened(), 400)(iter(batches))).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    seen = collections.Counter((anchor, piece, raw[i:i + 400]) for _, anchor, piece, *_, raw in rows for i in range(100, 110))
+    equal = {doc: 100 + sum(seen[anchor, piece, raw[i:i + 400]] > 1 for i in range(100, 110)) for doc, anchor, piece, *_, raw in rows}
+    plain = [(r["doc_id"], r["start"], r["n"]) for r in found if not r["open"]]
+    assert sorted(plain) == [(doc, 1000, n) for doc, n in equal.items()]
+    left = [r for r in found if r["open"]]
+    assert len(left) == 40 * 201 and sum(r["done"] for r in left) == sum(equal[r[0]] for r in rows if r[1] == 6)
+    assert peak < 160 << 20, peak
