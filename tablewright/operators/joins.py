@@ -9,11 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions import jsonx, strings
-from tablewright.operators import ordered
-from tablewright.session import stored
+from tablewright.operators import ordered, overlaps
 
 LEVEL_LIMIT = 64
-SIGNATURE_WORDS = 8
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
@@ -213,62 +211,20 @@ def within_distance_join(
     return out.drop(*[f"__a{i}" for i in dims], *[f"__b{i}" for i in dims])
 
 
-def _signature(gs: Column) -> list[Column]:
-    """Words of a bit set with the hash of every number of an array."""
-    bits = F.transform(gs, lambda g: F.pmod(F.xxhash64(g), F.lit(64 * SIGNATURE_WORDS)).cast("int"))
-    none = F.lit(0).cast("long")
+def trigram_join(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float = 0.3, ascending: bool = False) -> DataFrame:
+    """Pairs of distinct texts with trigram similarity of at least ``threshold``; with ``ascending`` those with ``a < b`` only.
 
-    def word(i: int) -> Column:
-        one = lambda k: F.when(F.floor(k / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), k % 64)).otherwise(none)
-        return F.aggregate(bits, none, lambda s, k: s.bitwiseOR(one(k)))
-
-    return [word(i) for i in range(SIGNATURE_WORDS)]
-
-
-def trigram_join(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float = 0.3) -> DataFrame:
-    """Pairs of distinct texts with trigram similarity of at least ``threshold``.
-
-    Each text is indexed under its rarest trigrams only: two texts above the threshold
-    must share one of them, so common trigrams join nothing. The place of a shared
-    trigram bounds how many more can follow, and a signature of ``SIGNATURE_WORDS`` words bounds how
-    many trigrams are shared at all: a bit of one text that the other lacks is a trigram it lacks. Pairs
-    that cannot reach the threshold by either bound are dropped inside the join. The others are tested there, and
-    kept at their first shared trigram only, so that nothing but the indexes is shuffled.
-    The texts with their trigrams, rarest first, are written to the shared folder once and read
-    for both indexes.
+    Every text is cut into its trigrams once. Rare trigrams bound little where few are shared, and common ones are in
+    nearly all texts, so no index of trigrams keeps the pairs few: blocks of texts are compared as matrices instead, and
+    only pairs that can reach the threshold are counted. Nothing but the texts is shuffled.
     """
-    slack = F.lit(1e-9)
     sides = left.select(F.col(a).alias("txt"), F.lit(True).alias("l"), F.lit(False).alias("r")).union(
         right.select(F.col(b).alias("txt"), F.lit(False).alias("l"), F.lit(True).alias("r"))
     )
     texts = sides.filter("txt is not null").groupBy("txt").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    grams = texts.select("txt", "l", "r", F.explode(strings.trigram_codes(F.col("txt"))).alias("g"))
-    rarity = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    keyed = grams.join(rarity, "g").groupBy("txt", "l", "r").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("gs"))
-    keyed = keyed.select("txt", "l", "r", F.transform("gs", lambda s: s["g"]).alias("gs"), F.size("gs").alias("size"))
-    words = [f"s{i}" for i in range(SIGNATURE_WORDS)]
-    keyed = keyed.withColumns(dict(zip(words, _signature(F.col("gs")))))
-    # trigrams that share a bit with another one of their text
-    keyed = keyed.withColumn("spare", F.col("size") - sum((F.bit_count(w) for w in words), F.lit(0)))
-    keyed = stored(keyed, "trigrams")
-    keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - slack).cast("int") + 1
-    first = F.slice("gs", F.lit(1), F.least(F.greatest(keep, F.lit(1)), F.col("size")))
-    indexed = lambda side: keyed.filter(side).select("txt", "gs", "size", "spare", *words, F.posexplode(first).alias("at", "g"))
-    x = indexed("l").select("g", F.col("txt").alias(a), F.col("gs").alias("__x"), F.col("size").alias("__m"), F.col("at").alias("__i"), F.col("spare").alias("__p"), *[F.col(w).alias(f"__x{w}") for w in words])
-    y = indexed("r").select("g", F.col("txt").alias(b), F.col("gs").alias("__y"), F.col("size").alias("__n"), F.col("at").alias("__j"), F.col("spare").alias("__q"), *[F.col(w).alias(f"__y{w}") for w in words])
-    m, n = F.col("__m"), F.col("__n")
-    needed = F.lit(threshold / (1.0 + threshold)) * (m + n) - slack
-    reach = F.least(m - F.col("__i"), n - F.col("__j"))
-    bits = sum((F.bit_count(F.col(f"__x{w}").bitwiseAND(F.col(f"__y{w}"))) for w in words), F.least("__p", "__q"))
-    shared = F.array_intersect("__x", "__y")
-    similarity = F.size(shared) / (m + n - F.size(shared))
-    # a small index makes many pairs: its partitions are not put together
-    tasks = ordered.default_chunks(left)
-    pairs = x.repartition(tasks, "g").join(y.repartition(tasks, "g"), "g")
-    return (
-        pairs.filter((reach >= needed) & (bits >= needed) & (F.get(shared, F.lit(0)) == F.col("g")) & (similarity >= threshold))
-        .select(a, b, similarity.alias("similarity"))
-    )
+    # texts are short and their trigrams take long to make: the few partitions of the texts are dealt out again
+    dealt = texts.repartition(ordered.default_chunks(left), F.xxhash64("txt"))
+    return overlaps.similar_pairs(dealt.withColumn("gs", strings.trigram_codes(F.col("txt"))), a, b, threshold, ascending)
 
 
 def edit_one_join(left: DataFrame, right: DataFrame, a: str, b: str, same: Sequence[str] = ()) -> DataFrame:

@@ -318,7 +318,7 @@ TRGM_MACRO = """
 def join_trigram(t):
     left = titles(t).select(F.col("title").alias("a"))
     right = titles(t).select(F.col("title").alias("b"))
-    return joins.trigram_join(left, right, "a", "b", 0.3).filter("a < b").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return joins.trigram_join(left, right, "a", "b", 0.3, ascending=True).filter("a < b").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 SOUND_SQL = """rpad(upper(w[1]) || regexp_replace(substr(
