@@ -216,7 +216,8 @@ def trigram_join(left: DataFrame, right: DataFrame, a: str, b: str, threshold: f
 
     Every text is cut into its trigrams once. Rare trigrams bound little where few are shared, and common ones are in
     nearly all texts, so no index of trigrams keeps the pairs few: blocks of texts are compared as matrices instead, and
-    only pairs that can reach the threshold are counted. Nothing but the texts is shuffled.
+    only pairs that can reach the threshold are counted. Shuffled are the texts with their trigrams, once for each block
+    they meet.
     """
     sides = left.select(F.col(a).alias("txt"), F.lit(True).alias("l"), F.lit(False).alias("r")).union(
         right.select(F.col(b).alias("txt"), F.lit(False).alias("l"), F.lit(True).alias("r"))
